@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covarium.llm import neardup
+from covarium.llm import neardup, suffixes
 from covarium.llm.shared import table
 
 
@@ -10,5 +10,9 @@ def op3_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_minhash_neardup": op3_minhash_neardup}
+def op5_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
+
+
+QUERIES = {"op3_minhash_neardup": op3_minhash_neardup, "op5_suffix_dedup": op5_suffix_dedup}
 ORACLES: dict[str, str] = {}
