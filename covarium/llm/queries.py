@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covarium.llm import neardup, suffixes
+from covarium.llm import language, neardup, secretscan, suffixes, tokencount
 from covarium.llm.shared import table
 
 
@@ -14,5 +14,17 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
 
 
-QUERIES = {"op3_minhash_neardup": op3_minhash_neardup, "op5_suffix_dedup": op5_suffix_dedup}
+def op7_secret_scan(spark, sf_dir):
+    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_token_count(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_minhash_neardup, op5_suffix_dedup, op7_secret_scan, op8_language_id, op10_token_count)}
 ORACLES: dict[str, str] = {}
