@@ -6,11 +6,13 @@
    (Mitzenmacher, Pagh, Pham 2014). Bins are filled by "fast similarity sketching" (Dahlgaard,
    Knudsen, Thorup 2017), whose cost is that of a few hashes a shingle instead of one per bin.
 2. Equal sets are one class from here on: copies are never paired with each other.
-3. Band keys make buckets. Round one links each member of a bucket with the bucket's smallest id
-   (a star: as many pairs as members). Round two compares, in blocks of bounded size, the members
-   that round one left in different components; only pairs whose odd sketches allow the threshold
-   leave a block. So a bucket of any size is compared wholly, but no group's pairs are written out.
-4. Every surviving pair is confirmed on both full sets, and components follow from the links.
+3. Band keys make buckets. Round one pairs each member of a bucket with two leaders, its smallest id
+   and its hub (two stars: twice as many pairs as members); pairs whose odd sketches allow the
+   threshold are confirmed on both full sets, and components follow from the links.
+4. Round two compares, in blocks of bounded size, the members that round one left in different
+   components, each pair in the first bucket that both share. Odd sketches come first there too, full
+   sets decide, and a block gives at most one link less than it has members: a bucket of any
+   size is compared wholly, but no group's pairs are written out.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: at 0.75 all but
 3 in ten million pairs, above it fewer still. The odd-sketch filter lies 0.17 below the threshold, more than
@@ -157,36 +159,76 @@ def _groups(batches, key: str):
         yield pa.concat_tables(held)
 
 
-def _block_pairs(threshold: float):
+class _Sets:
+    """Members of one block, and the exact test of one against several others."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray) -> None:
+        self.flat, self.at = flat, at
+
+    def shared_with(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set x with each of the others; sets are sorted and not empty."""
+        own = self.flat[self.at[x] : self.at[x + 1]]
+        size = self.at[others + 1] - self.at[others]
+        edge = np.cumsum(size) - size
+        take = np.repeat(self.at[others] - edge, size) + np.arange(int(size.sum()))
+        theirs = self.flat[take]
+        place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        return np.add.reduceat((own[place] == theirs).astype(np.int64), edge)
+
+
+def _block_links(percent: int):
+    """Links between different components in each block; a link that joins nothing new in its block is left out."""
+    threshold = percent / 100
     most = most_differing(threshold - LOOSE)
 
+    def block(ids, comp, n, side, keys, odd, bands, sets, a, b):
+        root = {c: c for c in comp[a:b].tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        rows = np.arange(a, b)
+        # side 0: pairs within one part; 1 and 2: pairs between the two parts
+        right = rows[side[a:b] != 1]
+        for x in rows[side[a:b] != 2].tolist():
+            y = right[(comp[right] != comp[x]) & (n[right] >= threshold * n[x]) & (n[x] >= threshold * n[right])]
+            if side[a] == 0:
+                y = y[ids[y] > ids[x]]
+            if not len(y):
+                continue
+            differ = np.bitwise_count(odd[y] ^ odd[x]).sum(axis=1, dtype=np.int64)
+            y, differ = y[differ <= most], differ[differ <= most]
+            same = bands[y] == bands[x]
+            y, differ = (v[bands[x][same.argmax(axis=1)] == keys[a]] for v in (y, differ))  # else another bucket's block has the pair
+            y = y[np.argsort(differ, kind="stable")]
+            while len(y):
+                mine = find(int(comp[x]))
+                y = y[[find(c) != mine for c in comp[y].tolist()]]
+                now, y = y[:64], y[64:]
+                if not len(now):
+                    break
+                both = sets.shared_with(x, now)
+                for z in now[both * 100 >= (n[x] + n[now] - both) * percent].tolist():
+                    u, v = find(int(comp[x])), find(int(comp[z]))
+                    if u != v:
+                        root[u] = v
+                        yield min(ids[x], ids[z]), max(ids[x], ids[z])
+
     def run(batches):
         for t in _groups(batches, "cell"):
-            cell, ids, comp, n, side = (t.column(c).to_numpy() for c in ("cell", "id", "component", "n", "side"))
+            cell, ids, comp, n, side, keys = (t.column(c).to_numpy() for c in ("cell", "id", "component", "n", "side", "key"))
             odd = t.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-            found = []
-            edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a < 2:
-                    continue
-                # side 0: both ends lie in the block's own part; 1 and 2: the two parts of a mixed block
-                left = np.arange(a, b)[side[a:b] != 2]
-                right = np.arange(a, b)[side[a:b] != 1]
-                if not len(left) or not len(right):
-                    continue
-                for s in range(0, len(left), 64):
-                    x = left[s : s + 64]
-                    ok = (comp[x][:, None] != comp[right][None, :]) & (n[x][:, None] >= threshold * n[right][None, :]) & (n[right][None, :] >= threshold * n[x][:, None])
-                    if side[a] == 0:
-                        ok &= ids[x][:, None] < ids[right][None, :]
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        differ = np.bitwise_count(odd[x[i]] ^ odd[right[j]]).sum(axis=1, dtype=np.int64)
-                        i, j = i[differ <= most], j[differ <= most]
-                        found.append(np.stack([ids[x[i]], ids[right[j]]]))
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            lists = t.column("set").combine_chunks()
+            sets = _Sets(lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)]))
+            edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+            found = [pair for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for pair in block(ids, comp, n, side, keys, odd, bands, sets, a, b)]
             if found:
-                pairs = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -220,46 +262,55 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = meta.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands", "odd")).alias("m")).select("s1", "s2", F.col("m.doc_id").alias("id"), "m.n", "m.bands", "m.odd")
     classes = cut(classes)
     member = classes.select("id", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    member = cut(member.join(bucket, "key").where("id <> leader"))
-
+    bucket = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    member = cut(member.join(bucket, "key").select("id", "key", "m"))
+
+    # Round one: each member with its bucket's smallest id, and with its hub, the member that meets most others.
+    degree = member.groupBy("id").agg(F.sum(F.col("m") - 1).alias("degree"))
+    leaders = member.join(degree, "id").groupBy("key").agg(F.min("id").alias("least"), F.max_by("id", F.struct("degree", F.negate("id"))).alias("hub"))
+    member = cut(member.join(leaders, "key"))
+    ends = F.explode(F.array_distinct(F.array("least", "hub"))).alias("leader")
+    star = member.select("id", ends).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+    sets = shared.only(docs, "doc_id", "text").join(member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_batches, "id long, set array<long>")
+    sets = cut(sets.dropDuplicates(["id"]))
     light = classes.select("id", "n", "odd")
     sides = [light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab"]
     bits = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     star = (
-        member.select(F.col("leader").alias("a"), F.col("id").alias("b"))
-        .distinct()
-        .join(sides[0], "a")
+        star.join(sides[0], "a")
         .join(sides[1], "b")
         .where((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
         .where(bits <= most_differing(threshold - LOOSE))
         .select("a", "b")
     )
-    star = cut(star)
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return cut(shared.only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_set_batches, "id long, set array<long>").dropDuplicates(["id"]))
-
-    links = cut(_confirm(star, sets_of(star), percent))
+    links = cut(_confirm(star, sets, percent))
     first = components(links)
 
-    # Round two: members that are no leaders and that round one left in different components.
+    # Round two: in each bucket, members outside the hub's component (side B) with each other and
+    # with those inside (side A). Least and hub were compared with all, and A with A is one component.
     placed = member.where("m > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    parts = F.ceil((F.col("m") - 1) / BLOCK).cast("int")
-    open_ = placed.join(mixed, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    hubs = first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    placed = placed.join(hubs, "hub", "left").withColumn("b", (F.col("component") != F.coalesce("hub_component", "hub")).cast("int")).where("id <> hub and id <> least")
+    sizes = placed.groupBy("key").agg(F.sum("b").alias("in_b"), F.sum(1 - F.col("b")).alias("in_a")).where("in_b > 0 and in_a + in_b > 1")
+    parts_b, parts_a = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("in_b", "in_a"))
+    open_ = placed.join(sizes, "key").select("id", "key", "component", "b", parts_b.alias("parts_b"), parts_a.alias("parts_a"))
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("b") == 1, F.col("parts_b")).otherwise(F.col("parts_a"))).cast("int")
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    name = lambda x, y, kind, side: F.struct(F.xxhash64("key", x, y, F.lit(kind)).alias("cell"), side.alias("side"))
+    among_b = F.transform(up_to(F.col("parts_b")), lambda o: name(F.least("part", o), F.greatest("part", o), "bb", F.when(F.col("part") == o, 0).when(F.col("part") < o, 1).otherwise(2)))
+    with_a = F.transform(up_to(F.col("parts_a")), lambda o: name(F.col("part"), o, "ba", F.lit(1)))
+    of_a = F.transform(up_to(F.col("parts_b")), lambda o: name(o, F.col("part"), "ba", F.lit(2)))
     cells = (
-        open_.select("id", "key", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("id", "component", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), F.signum(F.col("part") - F.col("other")).cast("int").alias("sign"))
-        .select("id", "component", "cell", F.when(F.col("sign") == 0, 0).when(F.col("sign") < 0, 1).otherwise(2).alias("side"))
-        .join(light, "id")
+        open_.withColumn("part", part)
+        .select("id", "key", "component", F.explode(F.when(F.col("b") == 1, F.concat(among_b, with_a)).otherwise(of_a)).alias("c"))
+        .select("id", "key", "component", "c.cell", "c.side")
     )
-    more = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
-    more = cut(more.join(star, ["a", "b"], "left_anti"))
+    cells = cells.join(classes.select("id", "n", "odd", "bands"), "id").join(sets, "id")
+    more = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_block_links(percent), "u long, v long")
+    more = cut(more.distinct())
     if not more.isEmpty():
-        links = links.union(_confirm(more, sets_of(more), percent))
-        first = components(links)
+        first = components(links.union(more))
     of_class = classes.select("s1", "s2", "id").join(first, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     return (
         meta.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
