@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from covarium.llm import language, neardup, secretscan, suffixes, tokencount
+from pyspark.sql import functions as F
+
+from covarium.llm import chatformat, language, mixing, neardup, secretscan, suffixes, tokencount
 from covarium.llm.shared import table
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.production(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    attack = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(chatformat.ATTACK).alias("text"),
+    )
+    return chatformat.digest(chatformat.read_chats(chatformat.format_chats(rows.union(attack))))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
 
@@ -26,5 +43,5 @@ def op10_token_count(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_neardup, op5_suffix_dedup, op7_secret_scan, op8_language_id, op10_token_count)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op7_secret_scan, op8_language_id, op10_token_count)}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL}
