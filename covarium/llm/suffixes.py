@@ -82,8 +82,7 @@ def runs(data: np.ndarray, offsets: np.ndarray):
 
 
 def _run_batches(batches):
-    """Rows (gram, context, doc, lo, hi, at): runs that are first in their batch, and repeats as rows without gram."""
-    names = ["gram", "context", "doc_id", "lo", "hi", "at"]
+    """Rows (gram, context, doc, place): runs that are first in their batch, and repeats as rows without context."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = shared.utf8(batch.column(1))
@@ -103,20 +102,30 @@ def _run_batches(batches):
         again[1:] = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
         repeat, first = order[again], order[~again]
         s, e, d = _merge(doc[repeat], lo[repeat], hi[repeat] + LENGTH)
+        if len(d) and (e - s).max() > PIECE:  # a place holds 24 bits
+            s, e, d = lo[repeat], hi[repeat] + LENGTH, doc[repeat]
         spread = mix64(d.astype(np.uint64) + np.uint64(99))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([gram[first], spread]).view(np.int64)),
                 pa.array(np.concatenate([context[first].view(np.int64), np.zeros(len(d), np.int64)]), mask=np.arange(len(first) + len(d)) >= len(first)),
                 pa.array(np.concatenate([doc[first], d]), pa.int64()),
-                pa.array(np.concatenate([lo[first], s]).astype(np.int32)),
-                pa.array(np.concatenate([hi[first], e - LENGTH]).astype(np.int32)),
-                pa.array(np.concatenate([at[first], s]).astype(np.int32)),
+                pa.array(np.concatenate([_place(lo[first], hi[first], at[first]), _place(s, e - LENGTH, s)])),
             ],
-            names,
+            ["gram", "context", "doc_id", "place"],
         )
 
 
+def _place(lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First start, number of further starts and gram offset in one number: 32, 24 and 7 bits."""
+    return (lo.astype(np.int64) << 31) | ((hi - lo).astype(np.int64) << 7) | (at - lo).astype(np.int64)
+
+
+def _placed(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo = place >> 31
+    return lo, lo + ((place >> 7) & ((1 << 24) - 1)), lo + (place & 127)
+
+
 def _merge(doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
     """Unions of overlapping or touching intervals of each document."""
     if not len(doc):
@@ -259,25 +268,40 @@ def repeats(doc, lo, hi, at, contexts: list[bytes]):
     return doc[hit], (at - high)[hit], (at - low)[hit] + LENGTH
 
 
-def _context_batches(batches):
+def _pack_batches(batches):
+    """Texts as compressed bytes: what a join shuffles is then about half."""
     for batch in batches:
         data, offsets = shared.utf8(batch.column(1))
         raw = data.tobytes()
-        places = batch.column(2)
+        packed = [_ZSTD.compress(raw[a:b], asbytes=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], ["doc_id", "size", "packed"])
+
+
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _unpack(batch) -> list[bytes]:
+    size = batch.column("size").to_pylist()
+    return [_ZSTD.decompress(z, n, asbytes=True) if n else b"" for z, n in zip(batch.column("packed"), size, strict=True)]
+
+
+def _context_batches(batches):
+    for batch in batches:
+        texts = _unpack(batch)
+        places = batch.column("places")
         owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(places).to_numpy(zero_copy_only=False))
         flat = places.flatten()
-        gram, lo, hi, at, wide = (flat.field(k) for k in range(5))
-        start = offsets[owner] + lo.to_numpy()
-        stop = offsets[owner] + hi.to_numpy() + LENGTH
-        bytes_ = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([gram, batch.column(0).take(pa.array(owner)), lo, hi, at, wide, pa.array(bytes_, pa.binary())], ["gram", "doc_id", "lo", "hi", "at", "wide", "context"])
+        lo, hi, _ = _placed(flat.field("place").to_numpy())
+        bytes_ = [texts[i][a:b] for i, a, b in zip(owner.tolist(), lo.tolist(), (hi + LENGTH).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([flat.field("gram"), batch.column("doc_id").take(pa.array(owner)), flat.field("place"), pa.array(bytes_, pa.binary())], ["gram", "doc_id", "place", "context"])
 
 
 def _repeat_batches(batches):
     from covarium.llm.neardup import _groups
 
     for t in _groups(batches, "gram"):
-        gram, doc, lo, hi, at = (t.column(c).to_numpy() for c in ("gram", "doc_id", "lo", "hi", "at"))
+        gram, doc = t.column("gram").to_numpy(), t.column("doc_id").to_numpy()
+        lo, hi, at = _placed(t.column("place").to_numpy())
         contexts = t.column("context").to_pylist()
         cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         a = 0
@@ -285,7 +309,7 @@ def _repeat_batches(batches):
             later = cuts[cuts >= a + WIDE]
             b = int(later[0]) if len(later) else len(gram)
             order = a + np.lexsort((at[a:b], doc[a:b]))
-            d, s, e = repeats(doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64), at[order].astype(np.int64), [contexts[i] for i in order.tolist()])
+            d, s, e = repeats(doc[order], lo[order], hi[order], at[order], [contexts[i] for i in order.tolist()])
             s, e, d = _merge(d, s, e)
             if len(d):
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc_id", "s", "e"])
@@ -294,21 +318,19 @@ def _repeat_batches(batches):
 
 def _wide_repeats(contexts: DataFrame) -> DataFrame:
     """The same for grams with very many contexts: the earliest place of every window, by grouped minima."""
-    w = contexts.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("p"), "lo", "context").select("doc_id", "p", F.expr("substring(context, p - lo + 1, 100)").alias("window"))
+    lo, more = F.shiftright("place", 31).alias("lo"), F.shiftright("place", 7).bitwiseAND((1 << 24) - 1)
+    w = contexts.select("doc_id", lo, (F.shiftright("place", 31) + more).alias("hi"), "context")
+    w = w.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("p"), "lo", "context").select("doc_id", "p", F.expr("substring(context, cast(p - lo + 1 as int), 100)").alias("window"))
     w = w.select("doc_id", "p", F.xxhash64("window").alias("h1"), F.md5("window").alias("h2"))
     first = w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return w.join(first, ["h1", "h2"]).where(F.struct("doc_id", "p") != F.col("first")).select("doc_id", F.col("p").alias("s"), (F.col("p") + LENGTH).cast("int").alias("e"))
+    return w.join(first, ["h1", "h2"]).where(F.struct("doc_id", "p") != F.col("first")).select("doc_id", F.col("p").cast("int").alias("s"), (F.col("p") + LENGTH).cast("int").alias("e"))
 
 
 def _keep_batches(batches):
     for batch in batches:
-        ids = batch.column(0)
-        data, offsets = shared.utf8(batch.column(1))
-        raw = data.tobytes()
-        cuts = batch.column(2).to_pylist()
+        ids = batch.column("doc_id")
         rows = []
-        for i, own in enumerate(cuts):
-            text = raw[offsets[i] : offsets[i + 1]]
+        for text, own in zip(_unpack(batch), batch.column("cuts").to_pylist(), strict=True):
             spans: list[list[int]] = []
             for s, e in sorted((x["s"], x["e"]) for x in own or ()):
                 if spans and s <= spans[-1][1]:
@@ -334,22 +356,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     unique for the order to be defined; extra columns are ignored; empty tables give empty results.
     """
     docs = shared.only(docs, "doc_id", "text")
-    found = docs.mapInArrow(_run_batches, "gram long, context long, doc_id long, lo int, hi int, at int")
-    by = Window.partitionBy("gram").orderBy("context", "doc_id", "lo")
+    found = docs.mapInArrow(_run_batches, "gram long, context long, doc_id long, place long")
+    by = Window.partitionBy("gram").orderBy("context", "doc_id", "place")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = (
         found.withColumn("again", F.coalesce(F.lag("context").over(by) == F.col("context"), F.lit(False)) | F.col("context").isNull())
         .withColumn("open", F.first("context").over(whole) != F.last("context").over(whole))
         .where("again or open")
-        .select("gram", "context", "doc_id", "lo", "hi", "at", "again")
+        .select("gram", "doc_id", "place", "again")
     )
     seen = cut(seen)
-    sure = seen.where("again").select("doc_id", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
-    unsure = seen.where("not again")
-    wide = unsure.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("gram", F.lit(True).alias("wide"))
-    place = unsure.join(wide, "gram", "left").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", F.coalesce("wide", F.lit(False)).alias("wide"))).alias("places"))
-    contexts = docs.join(place, "doc_id").select("doc_id", "text", "places").mapInArrow(_context_batches, "gram long, doc_id long, lo int, hi int, at int, wide boolean, context binary")
-    contexts = cut(contexts)
-    sorted_ = contexts.where("not wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeat_batches, "doc_id long, s int, e int")
-    cuts = sure.union(sorted_).union(_wide_repeats(contexts.where("wide"))).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
-    return docs.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_keep_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<s:int,e:int>>")
+    start = F.shiftright("place", 31)
+    stop = start + F.shiftright("place", 7).bitwiseAND((1 << 24) - 1) + LENGTH
+    cuts = seen.where("again").select("doc_id", start.cast("int").alias("s"), stop.cast("int").alias("e"))
+    packed = docs.mapInArrow(_pack_batches, "doc_id long, size long, packed binary")
+
+    def contexts(places: DataFrame) -> DataFrame:
+        listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "place")).alias("places"))
+        return packed.join(listed, "doc_id").select("doc_id", "size", "packed", "places").mapInArrow(_context_batches, "gram long, doc_id long, place long, context binary")
+
+    unsure = seen.where("not again").select("gram", "doc_id", "place")
+    wide = cut(unsure.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("gram"))
+    if not wide.isEmpty():
+        cuts = cuts.union(_wide_repeats(contexts(unsure.join(wide, "gram", "left_semi"))))
+        unsure = unsure.join(wide, "gram", "left_anti")
+    in_order = contexts(unsure).repartition("gram").sortWithinPartitions("gram")
+    cuts = cuts.union(in_order.mapInArrow(_repeat_batches, "doc_id long, s int, e int"))
+    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
+    return packed.join(cuts, "doc_id", "left").select("doc_id", "size", "packed", "cuts").mapInArrow(_keep_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<s:int,e:int>>")
