@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covarium.llm import chatformat, language, mixing, neardup, secretscan, suffixes, tokencount
+from covarium.llm import chatformat, language, mixing, neardup, secretscan, suffixes, tokencount, webp
 from covarium.llm.shared import table
 
 
@@ -39,9 +39,14 @@ def op8_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_media_webp(spark, sf_dir):
+    stored = webp.store(table(spark, sf_dir, "documents"))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op10_token_count(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op7_secret_scan, op8_language_id, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL}
