@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covarium.llm import chatformat, language, mixing, neardup, secretscan, suffixes, tokencount, webp
+from covarium.llm import chatformat, language, mixing, neardup, quality, secretscan, suffixes, tokencount, webp
 from covarium.llm.shared import table
 
 
@@ -12,6 +12,11 @@ def op1_mixing(spark, sf_dir):
     return mixing.production(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text", "lang", "source")
+
+
 def op3_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_token_count(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL}
