@@ -23,7 +23,7 @@ from covarium.llm import shared
 from covarium.llm.shared import cut
 
 #: Labelled rows used for fitting, about; a toxic word needs so many toxic documents, such a share of them, and such log-odds.
-SAMPLE = 8_000
+SAMPLE = 20_000
 LEXICON_LEAST, LEXICON_SHARE, LEXICON_ODDS, LEXICON_WORDS = 7, 0.015, 3.0, 4_096
 BROADCAST_PATHS = 200_000
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.98

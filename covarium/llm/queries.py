@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covarium.llm import chatformat, language, mixing, neardup, quality, secretscan, suffixes, tokencount, webp
+from covarium.llm import chatformat, decontaminate, language, mixing, neardup, quality, secretscan, suffixes, tokencount, webp
 from covarium.llm.shared import table
 
 
@@ -36,6 +36,10 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
 
@@ -53,5 +57,5 @@ def op10_token_count(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op6_decontaminate, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL}
