@@ -36,7 +36,8 @@ GRAM = 32
 SPREAD = LENGTH - GRAM + 1
 SHALLOW = 16
 WIDE = 20_000
-PIECE = 1 << 20
+PIECE = 1 << 19
+TOGETHER = 8 * PIECE
 
 _GRAMS, _CONTEXTS = Rolling(101), Rolling(202)
 
@@ -86,7 +87,7 @@ def _run_batches(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = shared.utf8(batch.column(1))
-        parts = []
+        parts, held = [], 0
         for a, b, start, stop in _pieces(offsets):
             base = offsets[a] + start
             inner = np.clip(offsets[a : b + 1] - base, 0, stop - start)
@@ -94,26 +95,35 @@ def _run_batches(batches):
                 row, lo, hi, at, gram, context = found
                 shift = base - offsets[a + row]
                 parts.append((gram, context, ids[a + row], lo + shift, hi + shift, at + shift))
-        if not parts:
-            continue
-        gram, context, doc, lo, hi, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((lo, doc, context, gram))
-        again = np.zeros(len(gram), bool)
-        again[1:] = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
-        repeat, first = order[again], order[~again]
-        s, e, d = _merge(doc[repeat], lo[repeat], hi[repeat] + LENGTH)
-        if len(d) and (e - s).max() > PIECE:  # a place holds 24 bits
-            s, e, d = lo[repeat], hi[repeat] + LENGTH, doc[repeat]
-        spread = mix64(d.astype(np.uint64) + np.uint64(99))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([gram[first], spread]).view(np.int64)),
-                pa.array(np.concatenate([context[first].view(np.int64), np.zeros(len(d), np.int64)]), mask=np.arange(len(first) + len(d)) >= len(first)),
-                pa.array(np.concatenate([doc[first], d]), pa.int64()),
-                pa.array(np.concatenate([_place(lo[first], hi[first], at[first]), _place(s, e - LENGTH, s)])),
-            ],
-            ["gram", "context", "doc_id", "place"],
-        )
+            held += stop - start
+            if held >= TOGETHER:
+                yield from _first_runs(parts)
+                parts, held = [], 0
+        yield from _first_runs(parts)
+
+
+def _first_runs(parts: list[tuple]):
+    """Map-side combining: of runs with equal contexts only the first goes on, the others are repeats."""
+    if not parts:
+        return
+    gram, context, doc, lo, hi, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((lo, doc, context, gram))
+    again = np.zeros(len(gram), bool)
+    again[1:] = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+    repeat, first = order[again], order[~again]
+    s, e, d = _merge(doc[repeat], lo[repeat], hi[repeat] + LENGTH)
+    if len(d) and (e - s).max() > PIECE:  # a place holds 24 bits
+        s, e, d = lo[repeat], hi[repeat] + LENGTH, doc[repeat]
+    spread = mix64(d.astype(np.uint64) + np.uint64(99))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([gram[first], spread]).view(np.int64)),
+            pa.array(np.concatenate([context[first].view(np.int64), np.zeros(len(d), np.int64)]), mask=np.arange(len(first) + len(d)) >= len(first)),
+            pa.array(np.concatenate([doc[first], d]), pa.int64()),
+            pa.array(np.concatenate([_place(lo[first], hi[first], at[first]), _place(s, e - LENGTH, s)])),
+        ],
+        ["gram", "context", "doc_id", "place"],
+    )
 
 
 def _place(lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -272,7 +282,7 @@ def _pack_batches(batches):
     """Texts as compressed bytes: what a join shuffles is then about half."""
     for batch in batches:
         data, offsets = shared.utf8(batch.column(1))
-        raw = data.tobytes()
+        raw = memoryview(data)
         packed = [_ZSTD.compress(raw[a:b], asbytes=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], ["doc_id", "size", "packed"])
 
@@ -280,13 +290,21 @@ def _pack_batches(batches):
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
+def _slices(batches, limit: int = 4 << 20):
+    """The batches in parts of about ``limit`` bytes of text."""
+    for batch in batches:
+        at = np.concatenate([[0], np.cumsum(batch.column("size").to_numpy())])
+        for a, b in shared.row_chunks(at, limit):
+            yield batch.slice(a, b - a)
+
+
 def _unpack(batch) -> list[bytes]:
     size = batch.column("size").to_pylist()
     return [_ZSTD.decompress(z, n, asbytes=True) if n else b"" for z, n in zip(batch.column("packed"), size, strict=True)]
 
 
 def _context_batches(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         texts = _unpack(batch)
         places = batch.column("places")
         owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(places).to_numpy(zero_copy_only=False))
@@ -327,7 +345,7 @@ def _wide_repeats(contexts: DataFrame) -> DataFrame:
 
 
 def _keep_batches(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         ids = batch.column("doc_id")
         rows = []
         for text, own in zip(_unpack(batch), batch.column("cuts").to_pylist(), strict=True):
