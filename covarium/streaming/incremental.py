@@ -6,7 +6,7 @@ and letter keeps them: the state has 21 numbers for each column, whatever the st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covarium.functions import encode
@@ -20,5 +20,5 @@ def running_counts(sequences: DataFrame) -> DataFrame:
 
 def frequencies(counts: DataFrame) -> DataFrame:
     """(pos, code, f) of a snapshot of the counts."""
-    total = counts.groupBy("pos").agg(F.sum("n").alias("total"))
-    return counts.join(total, "pos").where("code > 0").select("pos", "code", (F.col("n") / F.col("total")).alias("f"))
+    total = F.sum("n").over(Window.partitionBy("pos"))  # 21 rows each
+    return counts.withColumn("total", total).where("code > 0").select("pos", "code", (F.col("n") / F.col("total")).alias("f"))
