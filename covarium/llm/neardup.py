@@ -254,12 +254,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable and ``kept`` marks that document. A null or
     empty text, or one of white space only, has no shingles and is linked with nothing. Texts of one
     to four words have one shingle. Equal texts, repeated rows and ties need nothing special: equal
-    sets are one class. Rows whose doc_id repeats count as copies of one document only if their sets
-    are linked. Extra columns are ignored; an empty table gives an empty one.
+    sets are one class. Rows without doc_id are linked with nothing, have no component_id, and are
+    kept. Different texts under one doc_id are documents of their own. Extra columns are ignored; an
+    empty table gives an empty one.
     """
     threshold = percent / 100
     meta = cut(shared.only(docs, "doc_id", "text").mapInArrow(_sketch_batches, _META))
-    classes = meta.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands", "odd")).alias("m")).select("s1", "s2", F.col("m.doc_id").alias("id"), "m.n", "m.bands", "m.odd")
+    classes = meta.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands", "odd")).alias("m")).select("s1", "s2", F.col("m.doc_id").alias("id"), "m.n", "m.bands", "m.odd")
     classes = cut(classes)
     member = classes.select("id", F.explode("bands").alias("key"))
     bucket = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -315,6 +316,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return (
         meta.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
         .join(of_class, ["s1", "s2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

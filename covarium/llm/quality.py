@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covarium.llm import shared
 from covarium.llm.shared import cut
@@ -176,16 +177,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(mean, scale, weights, lexicon, odds, prior)
 
 
-def _scores(model, keep: int):
-    """The first ``keep`` columns, and the evidence of the text in the column after them."""
+def _scores(model, text: int | None = None):
+    """The columns but the last, and the evidence of the text: the last column, or that field of the first."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = shared.utf8(batch.column(keep))
+            first = batch.num_columns - (text is None)
+            data, offsets = shared.utf8(batch.column(first) if text is None else batch.column(0).field(text))
             parts = [model.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in shared.row_chunks(offsets)]
             good, toxic, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
-            names = [*batch.schema.names[:keep], "good", "toxic", "n"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(good), pa.array(toxic), pa.array(n.astype(np.int64))], names)
+            names = [*batch.schema.names[:first], "good", "toxic", "n"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:first], pa.array(good), pa.array(toxic), pa.array(n.astype(np.int64))], names)
 
     return run
 
@@ -219,17 +221,17 @@ def _strength(groups: DataFrame, parent_mean: Column) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """All columns of ``docs(doc_id, text, ...)`` with ``p_quality``, ``p_toxic`` and ``kept``.
+    """All columns of ``docs(doc_id, text, source, lang, ...)`` with ``p_quality``, ``p_toxic`` and ``kept``.
 
     ``host`` and ``path`` are string expressions of ``docs`` (by default source, and lang below it);
     nulls form a site of their own. Documents without words (null, empty or white texts) have p_quality 0, and are not kept
-    nor counted for their site. Repeated rows are scored alike. Columns of ``docs`` may have any names but those
-    of the result; an empty table gives an empty one. Without usable labels every document with words is kept.
+    nor counted for their site. Repeated rows are scored alike. Other columns of ``docs`` may have any names; those named as
+    columns of the result are replaced; an empty table gives an empty one. Without usable labels every document with words is kept.
     """
     host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    slim = docs.select(host.alias("_host"), path.alias("_path"), "text").mapInArrow(_scores(model, 2), "_host string, _path string, good double, toxic double, n long")
+    slim = docs.select(host.alias("_host"), path.alias("_path"), "text").mapInArrow(_scores(model), "_host string, _path string, good double, toxic double, n long")
     p = _chance(F.col("good"))
     paths = cut(slim.where("n > 0").groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
@@ -243,16 +245,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     if prior.count() <= BROADCAST_PATHS:
         prior = F.broadcast(prior)
 
-    names = docs.columns
-    text = docs.schema["text"]
-    order = [c for c in names if c != "text"] + ["text"]
-    scored = docs.select(*[F.col(f"`{c}`") for c in order], host.alias("_host"), path.alias("_path"), F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*[docs.schema[c] for c in order[:-1]], text])
-    scored = scored.mapInArrow(_scores(model, len(order) + 2), f"{fields}, _host string, _path string, good double, toxic double, n long")
+    docs = docs.drop("p_quality", "p_toxic", "kept")
+    whole_row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), host.alias("_host"), path.alias("_path"))
+    schema = T.StructType([*whole_row.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("good", "toxic")), T.StructField("n", T.LongType())])
+    scored = whole_row.mapInArrow(_scores(model, docs.columns.index("text")), schema)
     own = _chance(F.col("good"))
     mean = (F.col("_s") - own + path_strength * F.col("_host_mean")) / (F.col("_n") - 1 + path_strength)
     base = float(np.log(max(overall, 1e-6) / max(1 - overall, 1e-6)))
     out = scored.join(prior, ["_host", "_path"], "left").withColumn("p_quality", F.when(F.col("n") > 0, _chance(F.col("good") + _odds(mean) - base)).otherwise(0.0))
     out = out.withColumn("p_toxic", F.when(F.col("n") > 0, _chance(F.col("toxic"))).otherwise(0.0))
     kept = (F.col("p_quality") >= KEEP_QUALITY) & (F.col("p_toxic") < KEEP_TOXIC)
-    return out.select(*[F.col(f"`{c}`") for c in names], "p_quality", "p_toxic", kept.alias("kept"))
+    return out.select("_doc.*", "p_quality", "p_toxic", kept.alias("kept"))

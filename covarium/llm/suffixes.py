@@ -110,6 +110,7 @@ def _first_runs(parts: list[tuple]):
     order = np.lexsort((lo, doc, context, gram))
     again = np.zeros(len(gram), bool)
     again[1:] = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+    again[1:] &= (doc[order][1:] != doc[order][:-1]) | (lo[order][1:] != lo[order][:-1])  # a repeated row is the same place
     repeat, first = order[again], order[~again]
     s, e, d = _merge(doc[repeat], lo[repeat], hi[repeat] + LENGTH)
     if len(d) and (e - s).max() > PIECE:  # a place holds 24 bits
@@ -271,7 +272,7 @@ def repeats(doc, lo, hi, at, contexts: list[bytes]):
         # a left string may come from the empty one: at o = 0 all agree
         lc = np.cumsum(left_common < o)[left_place[act]] if o else np.zeros(len(act), np.int64)
         _, first, inverse = np.unique(rc * (n + 1) + lc, return_index=True, return_inverse=True)
-        again = act[first[inverse] != np.arange(len(act))]
+        again = act[(doc[act[first]][inverse] != doc[act]) | (at[act[first]][inverse] != at[act])]
         low[again] = np.minimum(low[again], o)
         high[again] = np.maximum(high[again], o)
     hit = np.flatnonzero(high >= 0)
@@ -370,15 +371,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     the same document at an earlier byte) is removed, judged on the input. ``spans`` are the maximal
     removed runs of bytes, ``kept_text`` the remaining bytes as text (a cut inside a character shows
     as U+FFFD; ``kept_sha256`` is of the exact bytes). Null and empty texts, and texts under 100
-    bytes, lose nothing. Texts of any length are cut into overlapping pieces. ``doc_id`` must be
-    unique for the order to be defined; extra columns are ignored; empty tables give empty results.
+    bytes, lose nothing, nor do rows without doc_id, which are no place for others either. Texts of
+    any length are cut into overlapping pieces. Rows that repeat wholly are one place and give equal
+    rows; different texts under one doc_id have no defined order. Extra columns are ignored; an
+    empty table gives an empty one.
     """
     docs = shared.only(docs, "doc_id", "text")
-    found = docs.mapInArrow(_run_batches, "gram long, context long, doc_id long, place long")
+    found = docs.where("doc_id is not null").mapInArrow(_run_batches, "gram long, context long, doc_id long, place long")
     by = Window.partitionBy("gram").orderBy("context", "doc_id", "place")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = (
-        found.withColumn("again", F.coalesce(F.lag("context").over(by) == F.col("context"), F.lit(False)) | F.col("context").isNull())
+        found.withColumn("elsewhere", (F.lag("doc_id").over(by) != F.col("doc_id")) | (F.lag("place").over(by) != F.col("place")))
+        .withColumn("again", F.coalesce((F.lag("context").over(by) == F.col("context")) & F.col("elsewhere"), F.lit(False)) | F.col("context").isNull())
         .withColumn("open", F.first("context").over(whole) != F.last("context").over(whole))
         .where("again or open")
         .select("gram", "doc_id", "place", "again")
