@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 _Q = "list_value(" + ", ".join(map(str, BACKGROUND)) + ")"
 _WITH_TEXT = f"WITH msa AS ({TEXT_SQL})"
 _WITH_VECTORS = f"WITH msa AS ({VECTOR_SQL})"
-_CELLS = f"""cells AS (SELECT seq_id, pos, instr('{ALPHABET}', upper(substr(seq, pos + 1, 1))) AS code FROM (SELECT *, unnest(range(length(seq))) AS pos FROM msa))"""
+_CELLS = f"""cells AS (SELECT seq_id, CAST(pos AS INTEGER) AS pos, CAST(instr('{ALPHABET}', upper(substr(seq, pos + 1, 1))) AS INTEGER) AS code FROM (SELECT *, unnest(range(length(seq))) AS pos FROM msa))"""
 IDENTITY = 0.35
 REG = coupling.REGULARISE
 
@@ -218,7 +218,7 @@ def identity_hist(spark, sf_dir):
 
 # --- frequencies and couplings ----------------------------------------------------------------------
 
-_GRID = "grid AS (SELECT pos, code FROM (SELECT DISTINCT pos FROM cells), (SELECT unnest(range(1, 21)) AS code))"
+_GRID = "grid AS (SELECT pos, code FROM (SELECT DISTINCT pos FROM cells), (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS code))"
 
 
 def _f1_sql(weights_cte: str, reg: float, q: str, name: str = "f1") -> str:
@@ -374,7 +374,7 @@ def proj_other_alg(spark, sf_dir):
 # --- joins, counts and statistics -------------------------------------------------------------------
 
 
-@query("SELECT d.doc_id, coalesce(l.quality, 1) + 0.5 AS w FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, CAST(coalesce(l.quality, 1) + 0.5 AS DOUBLE) AS w FROM documents d LEFT JOIN labels l USING (doc_id)")
 def weights_left_join(spark, sf_dir):
     msa = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "doc_id", "source").alias("hd"))
     w = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), (F.col("quality") + 0.5).cast("double").alias("w"))
