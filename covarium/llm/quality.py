@@ -25,7 +25,7 @@ from covarium.llm.shared import cut
 
 #: Labelled rows used for fitting, about; a toxic word needs so many toxic documents, such a share of them, and such log-odds.
 SAMPLE = 20_000
-LEXICON_LEAST, LEXICON_SHARE, LEXICON_ODDS, LEXICON_WORDS = 7, 0.015, 3.0, 4_096
+LEXICON_LEAST, LEXICON_SHARE, LEXICON_ODDS, LEXICON_WORDS = 3, 0.008, 3.9, 4_096
 BROADCAST_PATHS = 200_000
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.98
 
@@ -161,12 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(set(y.tolist())) == 2:
         mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         weights = logistic((x - mean) / scale, y)
-    marked = picked.where("toxic is not null")
-    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # near-copies of one text are one witness: they mostly share the smallest hash among their words
+    marked = picked.where("toxic is not null and size(words) > 0").select("toxic", F.col("words")[0].alias("witness"), "words")
+    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.countDistinct("witness").alias("n")).collect()}
     bad, fine = totals.get(1, 0), totals.get(0, 0)
     lexicon, odds, prior = np.zeros(0, np.uint64), np.zeros(0), -4.0
     if bad and fine:
-        words = marked.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("f"))
+        seen = marked.select("toxic", "witness", F.explode("words").alias("w")).distinct()
+        words = seen.groupBy("w").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("f"))
         ratio = F.log((F.col("b") + 0.5) / (bad + 1.0)) - F.log((F.col("f") + 0.5) / (fine + 1.0))
         found = words.where(F.col("b") >= max(LEXICON_LEAST, LEXICON_SHARE * bad)).withColumn("odds", ratio).where(F.col("odds") >= LEXICON_ODDS).orderBy(F.desc("b"), "w").limit(LEXICON_WORDS).collect()
         lexicon = np.array([r["w"] for r in found], np.int64).view(np.uint64)
