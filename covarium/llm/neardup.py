@@ -310,8 +310,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     cells = cells.join(classes.select("id", "n", "odd", "bands"), "id").join(sets, "id")
     more = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_block_links(percent), "u long, v long")
     more = cut(more.distinct())
-    if not more.isEmpty():
-        first = components(links.union(more))
+    if not more.isEmpty():  # the few new links join whole components
+        a = first.select(F.col("id").alias("u"), F.col("component").alias("cu"))
+        b = first.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+        joined = more.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+        joined = components(joined).select("id", F.col("component").alias("joined"))
+        alone = joined.join(first, "id", "left_anti").select("id", F.col("id").alias("component"))
+        first = first.union(alone).join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
     of_class = classes.select("s1", "s2", "id").join(first, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
     return (
         meta.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")

@@ -154,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = labels.count()
     some = labels.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     picked = cut(shared.only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").where("length(text) > 0").mapInArrow(_sample_batches, "quality int, toxic int, x array<double>, words array<long>"))
-    rows = picked.where("quality is not null").select("x", "quality").collect()
-    x = np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES)
-    y = np.array([r["quality"] for r in rows], float)
+    rows = picked.where("quality is not null").select("x", "quality").toArrow().combine_chunks()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES) if rows.num_rows else np.zeros((0, N_FEATURES))
+    y = rows.column("quality").to_numpy().astype(float)
     weights, mean, scale = None, np.zeros(N_FEATURES), np.ones(N_FEATURES)
     if len(set(y.tolist())) == 2:
         mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
