@@ -286,4 +286,5 @@ def _redactor(rules: tuple[Rule, ...], column: int):
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``[KIND]``; overlapping findings become one. Other columns stay."""
+    shared.narrow_batches(docs.sparkSession)
     return docs.mapInArrow(_redactor(rules, docs.columns.index("text")), docs.schema)

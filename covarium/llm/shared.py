@@ -29,8 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of texts: batches are held outside the heap, several times over, and texts are wide.
+BATCH_ROWS = 1_024
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that extra columns with clashing names can't get in the way."""
+    """The named columns alone, so that extra columns with clashing names can't get in the way; for Arrow kernels over texts."""
+    narrow_batches(df.sparkSession)
     return df.select(*[F.col(c) for c in columns])
 
 
@@ -52,7 +64,7 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def row_chunks(offsets: np.ndarray, limit: int = 1 << 20, rows: int = 8_192):
+def row_chunks(offsets: np.ndarray, limit: int = 1 << 19, rows: int = 8_192):
     """Ranges of whole rows with at most ``limit`` bytes (one longer row stands alone)."""
     n, start = len(offsets) - 1, 0
     while start < n:
