@@ -401,6 +401,33 @@ def test_decontamination(spark):
     assert decontaminate.leaks(empty(spark), bench).collect() == [] and decontaminate.leaks(df, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n_items", [400, 1_000, 5_000])
+def test_decontamination_recall_does_not_fall_with_items(spark, n_items):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(4_000)]
+    odds = [1 / (k + 5) for k in range(len(vocabulary))]
+    span = lambda n: rng.choices(vocabulary, odds, k=n)
+    items = [(k, span(rng.randrange(15, 60))) for k in range(n_items)]
+    rows, want = [], set()
+    for i in range(300):
+        k, around = rng.randrange(n_items), span(rng.randrange(20, 200))
+        words = list(items[k][1])
+        if i % 2:  # a paraphrase: a fifth of the words replaced
+            for p in rng.sample(range(len(words)), len(words) // 5):
+                words[p] = "other"
+        at = rng.randrange(len(around))
+        text = around[:at] + words + around[at:]
+        rows.append((i, " ".join(text)))
+        number = {w: j for j, w in enumerate(dict.fromkeys([*items[k][1], *text]))}
+        share = decontaminate.common_subsequence([number[w] for w in items[k][1]], np.array([number[w] for w in text])) / len(words)
+        assert share >= decontaminate.SURE
+        want.add((i, k))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
+    assert want - got == set()
+
+
 def test_common_subsequence():
     rng = random.Random(10)
     for _ in range(30):
