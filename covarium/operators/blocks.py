@@ -51,6 +51,16 @@ def pairwise(msa: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarra
 
     A cell off the diagonal is seen once; its kernel has to count for both sides.
     """
+
+    def cell(seqs, ids, n, u, v, diagonal):
+        x = one_hot(codes_of(seqs), gap)
+        return kernel(np.rint(x[u] @ x[v].T).astype(np.int32), ids[u], ids[v], n[u], n[v], diagonal)
+
+    return grid(msa, cell, schema)
+
+
+def grid(msa: DataFrame, cell: Callable[[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.RecordBatch], schema: str) -> DataFrame:
+    """Run ``cell(sequences, ids, n, rows of one side, rows of the other, diagonal)`` in every cell of the grid."""
     rows = unique_sequences(msa)
     parts = max(1, math.ceil(rows.count() / BLOCK))
     part = F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int")
@@ -60,15 +70,31 @@ def pairwise(msa: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarra
 
     def run(t: pa.Table) -> pa.Table:
         seqs, ids, n, part_, a = (t.column(c).to_pylist() for c in ("seq", "uid", "n", "part", "a"))
-        x, ids, n = one_hot(codes_of(seqs), gap), np.array(ids), np.array(n)
         first = np.array(part_) == a[0]
         diagonal = bool(first.all())
         u = np.flatnonzero(first)
         v = u if diagonal else np.flatnonzero(~first)
         if not len(u) or not len(v):
             return pa.table({f: pa.array([], t_) for f, t_ in zip(out.names, out.types, strict=True)})
-        same = np.rint(x[u] @ x[v].T).astype(np.int32)
-        return pa.Table.from_batches([kernel(same, ids[u], ids[v], n[u], n[v], diagonal)])
+        return pa.Table.from_batches([cell(seqs, np.array(ids), np.array(n), u, v, diagonal)])
 
     out = pa.schema([pa.field(c.split()[0], {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[c.split()[1]]) for c in schema.split(", ")])
     return cells.groupBy("a", "b").applyInArrow(run, schema)
+
+
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) of every node but the first of each component of a symmetric adjacency matrix."""
+    left = np.ones(len(near), bool)
+    roots, nodes = [], []
+    for start in np.flatnonzero(near.any(axis=1)):
+        if not left[start]:
+            continue
+        left[start] = False
+        edge = np.array([start])
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & left)
+            left[edge] = False
+            roots.append(np.full(len(edge), start))
+            nodes.append(edge)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *roots]), np.concatenate([empty, *nodes])

@@ -557,7 +557,7 @@ def weighted_sample(spark, sf_dir):
 
 @query()
 def precluster(spark, sf_dir):
-    return sampling.precluster(vectors(spark, sf_dir).select("seq_id", "hd", "seq"), 0.3, 0.5, 3)
+    return sampling.precluster(vectors(spark, sf_dir).select("seq_id", "hd", "seq"), 0.3, 0.5)
 
 
 @query()
