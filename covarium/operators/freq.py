@@ -16,6 +16,7 @@ from covarium.operators.filters import require_rectangular
 UNIFORM = 1.0 / (LETTERS + 1)
 ROWS_A_GROUP = 50_000
 TILE_BYTES = 64 << 20
+FAN = 32
 
 
 def background_of(code: Column, background: tuple[float, ...] | float = BACKGROUND) -> Column:
@@ -74,13 +75,31 @@ def conservation(f1: DataFrame, background: tuple[float, ...] | float = BACKGROU
 # --- pairs ------------------------------------------------------------------------------------------
 
 
+def added(parts: DataFrame, by: list[str], groups: int, most: int) -> DataFrame:
+    """``parts(by..., part, block)``, part from 0 to groups - 1, with at most ``most`` sums left for each key.
+
+    A level of the tree adds the blocks of at most ``FAN`` consecutive parts in a task.
+    """
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(len(t.column("block")[0].as_buffer()) // 8)
+        for b in t.column("block"):
+            total += np.frombuffer(b.as_buffer())
+        return t.slice(0, 1).set_column(t.schema.get_field_index("block"), "block", pa.array([total.tobytes()], pa.binary()))
+
+    while groups > most:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+        parts = parts.groupBy(*by, "part").applyInArrow(add, parts.schema)
+        groups = math.ceil(groups / FAN)
+    return parts
+
+
 def _gram_parts(msa: DataFrame, weights: DataFrame | None, length: int) -> DataFrame:
-    """(i, block): partial sums over groups of sequences of w * x_i x', one row for each position i."""
+    """(i, block): at most FAN partial sums for each position i, over groups of sequences, of w * x_i x'."""
     rows = weighted(msa, weights)
     groups = max(1, math.ceil(rows.count() / ROWS_A_GROUP))
     tile = max(1, min(length, TILE_BYTES // (LETTERS * LETTERS * max(length, 1) * 8)))
     tiles = math.ceil(max(length, 1) / tile)
-    dealt = rows.select("seq", "w", F.pmod(F.xxhash64("seq_id"), F.lit(groups)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    dealt = rows.select("seq", "w", F.pmod(F.xxhash64("seq_id"), F.lit(groups)).cast("long").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
 
     def run(t: pa.Table) -> pa.Table:
         at = t.column("tile")[0].as_py() * tile
@@ -91,9 +110,10 @@ def _gram_parts(msa: DataFrame, weights: DataFrame | None, length: int) -> DataF
             x = one_hot(codes[a : a + 2048], dtype=np.float64)
             total += (x[:, at * LETTERS : stop * LETTERS] * w[a : a + 2048, None]).T @ x
         blocks = [total[k * LETTERS : (k + 1) * LETTERS].tobytes() for k in range(stop - at)]
-        return pa.table({"i": pa.array(range(at, stop), pa.int32()), "block": pa.array(blocks, pa.binary())})
+        part = t.column("part")[0].as_py()
+        return pa.table({"i": pa.array(range(at, stop), pa.int32()), "part": pa.array([part] * (stop - at), pa.int64()), "block": pa.array(blocks, pa.binary())})
 
-    return dealt.groupBy("part", "tile").applyInArrow(run, "i int, block binary")
+    return added(dealt.groupBy("part", "tile").applyInArrow(run, "i int, part long, block binary"), ["i"], groups, FAN).select("i", "block")
 
 
 def _by_position(parts: DataFrame, length: int, total: float, use, schema: str) -> DataFrame:

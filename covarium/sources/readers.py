@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from covarium.functions.numbering import numbered
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text) of one file, in order: one row for the file, exploded. For files with an order among their lines."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """(line, text) of one file; ``line`` rises with the lines, with leaps. For files with an order among their lines."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "\r$", "").alias("text"))
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
@@ -56,7 +57,7 @@ def _joined_blocks(lines: DataFrame) -> DataFrame:
     parts = lines.select("line", F.split(F.trim("text"), r"\s+").alias("p")).where(F.size("p") >= 2).select("line", F.col("p")[0].alias("hd"), F.col("p")[1].alias("frag"))
     by_id = parts.groupBy("hd").agg(F.min("line").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "frag"))), lambda x: x["frag"]), "").alias("seq"))
     seq = F.upper(F.translate("seq", ".", "-"))
-    return by_id.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("seq_id"), "hd", seq.alias("seq"))
+    return numbered(by_id, "first", "seq_id").select("seq_id", "hd", seq.alias("seq"))
 
 
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
