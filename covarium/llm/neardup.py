@@ -40,7 +40,7 @@ ROUNDS = 12
 LOOSE = 0.17
 BLOCK = 512
 
-_META = "doc_id long, n long, s1 long, s2 long, bands array<long>, odd array<long>"
+_META = "doc_id long, text_hash long, n long, s1 long, s2 long, bands array<long>, odd array<long>"
 
 
 def minhash(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
@@ -119,12 +119,13 @@ def _sketch_batches(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
+                    batch.column(2).slice(a, b - a),
                     pa.array(n.astype(np.int64)),
                     *sums,
                     list_array(key[some].ravel().view(np.int64), BANDS * some, pa.int64()),
                     list_array(odd_sketch(grid)[some].ravel().view(np.int64), SKETCH_BITS // 64 * some, pa.int64()),
                 ],
-                ["doc_id", "n", "s1", "s2", "bands", "odd"],
+                ["doc_id", "text_hash", "n", "s1", "s2", "bands", "odd"],
             )
 
 
@@ -223,7 +224,8 @@ def _block_links(percent: int):
             odd = t.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
             bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             lists = t.column("set").combine_chunks()
-            sets = _Sets(lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)]))
+            at = lists.offsets.to_numpy().astype(np.int64)
+            sets = _Sets(lists.flatten().to_numpy().view(np.uint64), at - at[0])
             edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
             found = [pair for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 for pair in block(ids, comp, n, side, keys, odd, bands, sets, a, b)]
             if found:
@@ -255,13 +257,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     empty text, or one of white space only, has no shingles and is linked with nothing. Texts of one
     to four words have one shingle. Equal texts, repeated rows and ties need nothing special: equal
     sets are one class. Rows without doc_id are linked with nothing, have no component_id, and are
-    kept. Different texts under one doc_id are documents of their own. Extra columns are ignored; an
-    empty table gives an empty one.
+    kept. Different texts under one doc_id are documents of their own; of those that share the smallest
+    doc_id of a component, one set of shingles is kept. Extra columns are ignored; an empty table gives an empty one.
     """
+    return near_duplicate_texts(docs, percent).drop("text_hash")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text_hash``, which tells texts of one doc_id apart."""
+    return docs.withColumn("text_hash", F.xxhash64("text"))
+
+
+def near_duplicate_texts(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The same with the ``text_hash`` of each row."""
     threshold = percent / 100
-    meta = cut(shared.only(docs, "doc_id", "text").mapInArrow(_sketch_batches, _META))
-    classes = meta.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "bands", "odd")).alias("m")).select("s1", "s2", F.col("m.doc_id").alias("id"), "m.n", "m.bands", "m.odd")
-    classes = cut(classes)
+    texts = hashed(shared.only(docs, "doc_id", "text"))
+    meta = cut(texts.mapInArrow(_sketch_batches, _META))
+    classes = meta.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands", "odd")).alias("m"))
+    # a class has a number of its own, since texts of one doc_id can be in several
+    classes = cut(classes.select("s1", "s2", F.monotonically_increasing_id().alias("id"), "m.*"))
     member = classes.select("id", F.explode("bands").alias("key"))
     bucket = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     member = cut(member.join(bucket, "key").select("id", "key", "m"))
@@ -273,7 +287,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ends = F.explode(F.array_distinct(F.array("least", "hub"))).alias("leader")
     star = member.select("id", ends).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
-    sets = shared.only(docs, "doc_id", "text").join(member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_batches, "id long, set array<long>")
+    wanted = classes.join(member.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash")
+    sets = texts.join(wanted, ["doc_id", "text_hash"]).select("id", "text").mapInArrow(_set_batches, "id long, set array<long>")
     sets = cut(sets.dropDuplicates(["id"]))
     light = classes.select("id", "n", "odd")
     sides = [light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab"]
@@ -317,10 +332,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         joined = components(joined).select("id", F.col("component").alias("joined"))
         alone = joined.join(first, "id", "left_anti").select("id", F.col("id").alias("component"))
         first = first.union(alone).join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
-    of_class = classes.select("s1", "s2", "id").join(first, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
+    # a component is named by its smallest doc_id
+    names = first.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("component_id"), F.col("id").alias("rep"))).alias("name"))
+    named = first.join(names, "component").select("id", "name.component_id", "name.rep")
+    of_class = classes.select("s1", "s2", "id", F.col("doc_id").alias("own")).join(named, "id", "left")
+    of_class = of_class.select("s1", "s2", F.coalesce("component_id", "own").alias("component_id"), (F.col("id") == F.coalesce("rep", "id")).alias("first"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (
-        meta.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
+        meta.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s1", "s2")
         .join(of_class, ["s1", "s2"], "left")
-        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "text_hash", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), (~linked | F.col("first")).alias("first"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("first"))
+        .drop("first")
     )

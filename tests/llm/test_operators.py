@@ -87,6 +87,25 @@ def test_neardup_edges(spark, docs):
     assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
 
 
+def test_neardup_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(120))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t, k: " ".join([*t.split()[:-1], f"end{k}"])
+    data = [(5, a), (5, b), (2, near(b, 1)), (7, near(a, 1)), (7, near(b, 2)), (9, c), (9, near(c, 1)), (None, d), (None, near(d, 1)), (11, ""), (11, d)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = neardup.near_duplicate_texts(df).join(neardup.hashed(df).select("text", "text_hash").distinct(), "text_hash").collect()
+    component = {(r["doc_id"], r["text"]): r["component_id"] for r in got}
+    assert [component[x] for x in data] == [5, 2, 2, 5, 2, 9, 9, None, None, 11, 11]
+    stage = [(r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicate(spark, df, "").collect()]
+    one_of = [x for x in stage if x[0] == 9]
+    assert len(one_of) == 1 and one_of[0] in data
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted((x for x in stage if x[0] != 9), key=key) == sorted([data[0], data[2], *data[7:]], key=key)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for share in (0.6, 0.75, 0.9):
