@@ -1,8 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed by it into phrases,
-each the longest match from where the last ended (Ziv, Merhav 1993). The fewer phrases a language
-needs, normalised by the logarithm of its training size, the closer it is; the least wins.
+each the longest match from where the last ended (Ziv, Merhav 1993). A phrase is a place in a sample,
+and every language is charged the same for one, ``log2`` of the longest sample, whatever the length of
+its own: the language that needs the fewest phrases a letter wins. A short sample has shorter matches, so that it
+takes texts from a longer one only where it parses them in fewer phrases. Charging it for its own length would
+make a phrase of a sample of two letters cost one bit, and any text cheapest there.
 
 Automata come from at most ``SAMPLE`` letters of a language, taken from documents in a seeded order;
 this bound is a parameter. Texts are parsed whole, in blocks of ``BLOCK`` letters in which a phrase
@@ -40,7 +43,7 @@ class Automata:
     """Suffix automata of several languages in one transition table; state * width indexes it."""
 
     def __init__(self, samples: dict[str, bytes]) -> None:
-        self.langs = sorted(samples)
+        self.langs = sorted(samples, key=lambda x: (-len(samples[x]), x))  # so that ties go to the longest sample
         seen = sorted(set(b"".join(samples.values())))
         self.width = len(seen) + 1
         self.code = np.zeros(256, np.uint8)  # 0: a byte that no sample has
@@ -56,7 +59,7 @@ class Automata:
             self.roots.append(base * self.width)
             base += len(t)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.bits = np.array([np.log2(max(len(samples[x]), 2)) for x in self.langs])
+        self.bits = float(np.log2(max([2, *map(len, samples.values())])))
 
     @staticmethod
     def _suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -137,7 +140,7 @@ def _predict(samples):
                 part, at = squeeze(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 cost = np.zeros((n, max(k, 1)))
                 if k and len(part):
-                    cost = automata.phrases(part, at) * automata.bits[None, :] / np.maximum(np.diff(at), 1)[:, None]
+                    cost = automata.phrases(part, at) * automata.bits / np.maximum(np.diff(at), 1)[:, None]
                 best = cost.argmin(axis=1)
                 ranked = np.sort(cost, axis=1)
                 second = ranked[:, 1] if k > 1 else np.full(n, np.inf)
@@ -150,16 +153,18 @@ def _predict(samples):
 
 
 def sample_texts(docs: DataFrame, limit: int = SAMPLE, per_lang: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """At most ``limit`` letters of each language of ``docs(text, lang, order)``, from about ``per_lang`` documents.
+    """At most ``limit`` letters of each language of ``docs(text, lang, order)``.
 
-    ``order`` is a seeded 64-bit hash. Languages are counted first, then each is thinned by its own
+    They come from about ``per_lang`` documents, or from as many more as three times ``limit`` letters take. ``order``
+    is a seeded 64-bit hash. Languages are counted first, then each is thinned by its own
     rate, so that what reaches the driver is bounded by the number of languages, not of documents.
     """
     docs = docs.where("lang is not null and length(text) > 0")
-    rate = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    size = F.least(F.length("text"), F.lit(limit))
+    rate = {r["lang"]: max(per_lang / r["n"], 3 * limit / r["size"]) for r in docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("size")).collect()}
     if not rate:
         return {}
-    share = F.create_map(*[x for lang, n in rate.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
+    share = F.create_map(*[x for lang, r in rate.items() for x in (F.lit(lang), F.lit(min(1.0, float(r))))])
     chance = F.pmod("order", F.lit(1 << 40)) / float(1 << 40)
     rows = docs.where(chance < share[F.col("lang")]).select("lang", "order", F.substring(F.lower("text"), 1, limit).alias("text")).orderBy("lang", "order").collect()
     out: dict[str, bytes] = {}
@@ -177,9 +182,12 @@ def identify(docs: DataFrame, held_out=None, limit: int = SAMPLE) -> DataFrame:
     doc_id is a multiple of 5) is false are learned from, and only their text and lang. A null text or one
     without letters is ``und`` with score 0, as is all if nothing could be learned. ``score`` is one
     less the ratio of the best to the second-best normalised phrase count (1 for a lone language);
-    equal counts go to the language first in alphabetical order. Rows without doc_id are not
-    learned from and count as not held out. Extra columns are ignored.
+    equal counts go to the language with the longest sample, then to the first in alphabetical order. A language of
+    which only a few hundred letters are known is learned but seldom predicted, and takes no texts from others.
+    Rows without doc_id are not learned from and count as not held out. Very long texts are parsed whole; repeated rows
+    give repeated results. Extra columns are ignored; an empty table gives an empty one.
     """
+    shared.narrow_batches(docs.sparkSession)
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     rows = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))

@@ -259,13 +259,46 @@ def test_language(spark):
     assert language.identify(empty(spark)).collect() == []
 
 
-def test_held_out_language_accuracy(spark):
-    df = spark.read.parquet(f"{SF}/documents.parquet")
-    r = language.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
-    n, good = r.count(), r.where("lang = lang_pred").count()
+def test_language_matches_greedy_search(spark):
+    """The whole query against greedy search in the samples, block by block."""
+    rng = random.Random(14)
+    letters = {"aa": "abcde fgh", "bb": "abcdf gij", "cc": "xyzab cd"}
+    rows = [(i, "".join(rng.choice(letters[x]) for _ in range(rng.choice([3, 40, 2500]))), x) for i, x in enumerate(list(letters) * 25)]
+    rows += [(i, f"{'ABC, d-e! ' * 5}{i}", None) for i in range(100, 110)] + [(200, "zz", "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = F.xxhash64(F.lit(7), "doc_id")
+    samples = language.sample_texts(df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("text", "lang", order.alias("order")))
+    names = sorted(samples, key=lambda x: (-len(samples[x]), x))
+    for r in language.identify(df).join(df.select("doc_id", "text"), "doc_id").collect():
+        text = re.sub(r"[^a-z]+", " ", r["text"].lower()).encode()
+        need = [sum(greedy_phrases(samples[x], text[a : a + language.BLOCK]) for a in range(0, len(text), language.BLOCK)) for x in names]
+        first, second = sorted(need)[:2]
+        assert r["lang_pred"] == names[need.index(first)] and abs(r["score"] - (1 - first / second)) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def held_out_accuracy(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+
+    def of(more):
+        r = language.identify(df.union(more) if more is not None else df).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
+        return r.count(), r.where("lang = lang_pred").count()
+
+    return of
+
+
+def test_held_out_language_accuracy(held_out_accuracy):
+    n, good = held_out_accuracy(None)
     assert n > 20 and good / n > 0.97
 
 
+@pytest.mark.parametrize("size", [2, 20, 200])
+def test_a_tiny_language_takes_no_texts(spark, held_out_accuracy, size):
+    one = next(i for i in range(10**6, 10**6 + 9) if zlib.crc32(str(i).encode()) % 5)
+    text = ("ok the river and die stadt un peu de todo " * 9)[:size]
+    assert held_out_accuracy(spark.createDataFrame([(one, text, "xx")], "doc_id long, text string, lang string")) == held_out_accuracy(None)
+
+
 def test_token_counts_match_the_tokenizer(spark):
     from tokenizers import Tokenizer, models
 
