@@ -25,11 +25,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covarium.llm import shared
-from covarium.llm.components import components
+from covarium.llm.components import stars
 from covarium.llm.shared import cut, list_array, mix64
 
 SHINGLE_WORDS = 5
@@ -130,12 +130,14 @@ def _sketch_batches(batches):
 
 
 def _set_batches(batches):
+    """The columns but the last, the text, and the text's set."""
     for batch in batches:
-        data, offsets = shared.utf8(batch.column(1))
+        data, offsets = shared.utf8(batch.column(batch.num_columns - 1))
         for a, b in shared.row_chunks(offsets):
             _, _, row, hashes = shared.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             row, h = shared.shingles(hashes, row, b - a, SHINGLE_WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_array(h.view(np.int64), np.bincount(row, minlength=b - a), pa.int64())], ["id", "set"])
+            own = list_array(h.view(np.int64), np.bincount(row, minlength=b - a), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), own], [*batch.schema.names[:-1], "set"])
 
 
 def _groups(batches, key: str):
@@ -236,16 +238,17 @@ def _block_links(percent: int):
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
+    """Those of ``pairs(id, leader)`` whose odd sketches allow the threshold and whose full sets have 100 * intersection >= percent * union."""
+    least = percent / 100
+    a, b = (sets.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "odd", "set"))) for end in ("id", "leader"))
+    bits = F.aggregate(F.zip_with("odd_id", "odd_leader", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.size(F.array_intersect("set_id", "set_leader"))
+    close = (F.col("n_id") >= least * F.col("n_leader")) & (F.col("n_leader") >= least * F.col("n_id")) & (bits <= most_differing(least - LOOSE))
     return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .select("a", "b", both.alias("i"), (F.size("set_a") + F.size("set_b") - both).alias("o"))
-        .where(F.col("i") * 100 >= F.col("o") * percent)
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
+        pairs.join(a, "id")
+        .join(b, "leader")
+        .where(close & (both * (100 + percent) >= (F.col("n_id") + F.col("n_leader")) * percent))
+        .select(F.col("id").alias("u"), F.col("leader").alias("v"))
     )
 
 
@@ -270,48 +273,39 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 def near_duplicate_texts(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The same with the ``text_hash`` of each row."""
-    threshold = percent / 100
     texts = hashed(shared.only(docs, "doc_id", "text"))
     meta = cut(texts.mapInArrow(_sketch_batches, _META))
     classes = meta.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_hash", "n", "bands", "odd")).alias("m"))
-    # a class has a number of its own, since texts of one doc_id can be in several
-    classes = cut(classes.select("s1", "s2", F.monotonically_increasing_id().alias("id"), "m.*"))
+    # a class has a number of its own, since texts of one doc_id can be in several; in the order of doc_id, so that the
+    # smallest number of a component is that of its smallest doc_id
+    classes = classes.select("s1", "s2", "m.*").orderBy("doc_id", "text_hash", "s1", "s2")
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     member = classes.select("id", F.explode("bands").alias("key"))
     bucket = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     member = cut(member.join(bucket, "key").select("id", "key", "m"))
 
     # Round one: each member with its bucket's smallest id, and with its hub, the member that meets most others.
-    degree = member.groupBy("id").agg(F.sum(F.col("m") - 1).alias("degree"))
-    leaders = member.join(degree, "id").groupBy("key").agg(F.min("id").alias("least"), F.max_by("id", F.struct("degree", F.negate("id"))).alias("hub"))
+    degree = F.sum(F.col("m") - 1).over(Window.partitionBy("id"))
+    leaders = member.withColumn("degree", degree).groupBy("key").agg(F.min("id").alias("least"), F.max_by("id", F.struct("degree", F.negate("id"))).alias("hub"))
     member = cut(member.join(leaders, "key"))
+    wanted = classes.join(member.select("id").distinct(), "id", "left_semi").select("doc_id", "text_hash", "id", "n", "odd", "bands")
+    sets = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "n", "odd", "bands", "text")
+    sets = cut(sets.mapInArrow(_set_batches, "id long, n long, odd array<long>, bands array<long>, set array<long>"))
     ends = F.explode(F.array_distinct(F.array("least", "hub"))).alias("leader")
-    star = member.select("id", ends).where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-
-    wanted = classes.join(member.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash")
-    sets = texts.join(wanted, ["doc_id", "text_hash"]).select("id", "text").mapInArrow(_set_batches, "id long, set array<long>")
-    sets = cut(sets.dropDuplicates(["id"]))
-    light = classes.select("id", "n", "odd")
-    sides = [light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab"]
-    bits = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    star = (
-        star.join(sides[0], "a")
-        .join(sides[1], "b")
-        .where((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
-        .where(bits <= most_differing(threshold - LOOSE))
-        .select("a", "b")
-    )
-    links = cut(_confirm(star, sets, percent))
-    first = components(links)
+    pairs = member.select("id", ends).where("id <> leader").repartition("id").dropDuplicates(["id", "leader"])
+    links = cut(_confirm(pairs, sets, percent))
+    tree = stars(links)
 
     # Round two: in each bucket, members outside the hub's component (side B) with each other and
     # with those inside (side A). Least and hub were compared with all, and A with A is one component.
-    placed = member.where("m > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    hubs = first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    placed = placed.join(hubs, "hub", "left").withColumn("b", (F.col("component") != F.coalesce("hub_component", "hub")).cast("int")).where("id <> hub and id <> least")
-    sizes = placed.groupBy("key").agg(F.sum("b").alias("in_b"), F.sum(1 - F.col("b")).alias("in_a")).where("in_b > 0 and in_a + in_b > 1")
+    placed = member.where("m > 2").join(tree.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
+    placed = cut(placed.select("id", "key", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("hub")).alias("is_hub"), F.col("id").isin(F.col("hub"), F.col("least")).alias("done")))
+    parts = placed.groupBy("key", "component").agg(F.sum((~F.col("done")).cast("int")).alias("k"), F.max("is_hub").alias("with_hub"))
+    in_a, in_b = (F.sum(F.when(F.col("with_hub") == side, F.col("k")).otherwise(0)) for side in (True, False))
+    sizes = parts.groupBy("key").agg(F.max(F.when(F.col("with_hub"), F.col("component"))).alias("hub_component"), in_a.alias("in_a"), in_b.alias("in_b")).where("in_b > 0 and in_a + in_b > 1")
     parts_b, parts_a = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("in_b", "in_a"))
-    open_ = placed.join(sizes, "key").select("id", "key", "component", "b", parts_b.alias("parts_b"), parts_a.alias("parts_a"))
-    part = F.pmod(F.xxhash64("id"), F.when(F.col("b") == 1, F.col("parts_b")).otherwise(F.col("parts_a"))).cast("int")
+    open_ = placed.where("not done").join(sizes, "key").select("id", "key", "component", (F.col("component") != F.col("hub_component")).alias("b"), parts_b.alias("parts_b"), parts_a.alias("parts_a"))
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("b"), F.col("parts_b")).otherwise(F.col("parts_a"))).cast("int")
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda x, y, kind, side: F.struct(F.xxhash64("key", x, y, F.lit(kind)).alias("cell"), side.alias("side"))
     among_b = F.transform(up_to(F.col("parts_b")), lambda o: name(F.least("part", o), F.greatest("part", o), "bb", F.when(F.col("part") == o, 0).when(F.col("part") < o, 1).otherwise(2)))
@@ -319,24 +313,19 @@ def near_duplicate_texts(docs: DataFrame, percent: int = 75) -> DataFrame:
     of_a = F.transform(up_to(F.col("parts_b")), lambda o: name(o, F.col("part"), "ba", F.lit(2)))
     cells = (
         open_.withColumn("part", part)
-        .select("id", "key", "component", F.explode(F.when(F.col("b") == 1, F.concat(among_b, with_a)).otherwise(of_a)).alias("c"))
+        .select("id", "key", "component", F.explode(F.when(F.col("b"), F.concat(among_b, with_a)).otherwise(of_a)).alias("c"))
         .select("id", "key", "component", "c.cell", "c.side")
     )
-    cells = cells.join(classes.select("id", "n", "odd", "bands"), "id").join(sets, "id")
-    more = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_block_links(percent), "u long, v long")
-    more = cut(more.distinct())
-    if not more.isEmpty():  # the few new links join whole components
-        a = first.select(F.col("id").alias("u"), F.col("component").alias("cu"))
-        b = first.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-        joined = more.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-        joined = components(joined).select("id", F.col("component").alias("joined"))
-        alone = joined.join(first, "id", "left_anti").select("id", F.col("id").alias("component"))
-        first = first.union(alone).join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
-    # a component is named by its smallest doc_id
-    names = first.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("component_id"), F.col("id").alias("rep"))).alias("name"))
-    named = first.join(names, "component").select("id", "name.component_id", "name.rep")
+    cells = cells.join(sets, "id")
+    more = cut(cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_block_links(percent), "u long, v long"))
+    if not more.isEmpty():
+        tree = stars(tree.union(more))
+
+    # a component is named by its smallest doc_id, that of its smallest class
+    roots = classes.select(F.col("id").alias("v"), F.col("doc_id").alias("component_id"))
+    named = tree.join(roots, "v").select(F.col("u").alias("id"), "component_id")
     of_class = classes.select("s1", "s2", "id", F.col("doc_id").alias("own")).join(named, "id", "left")
-    of_class = of_class.select("s1", "s2", F.coalesce("component_id", "own").alias("component_id"), (F.col("id") == F.coalesce("rep", "id")).alias("first"))
+    of_class = of_class.select("s1", "s2", F.coalesce("component_id", "own").alias("component_id"), F.col("component_id").isNull().alias("first"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (
         meta.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "s1", "s2")
