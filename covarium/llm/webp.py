@@ -1,10 +1,17 @@
 """Media columns in lossless WebP (VP8L): a decoder for the whole format, and two encoders.
 
 ``decode`` reads prefix codes, back-references and the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. ``encode`` can write all of these. ``Payloads``
-stores many byte strings at once, four bytes a pixel (green, red, blue, alpha), under one
-static prefix code, and reads any images back that share their prefix codes: all images of a batch
-take one symbol in each step. Images with other features go through ``decode``.
+cross-colour, subtract-green and palette transforms. ``encode`` can write all of these as told.
+``encode_payloads`` stores many byte strings at once and chooses the features of each by its estimated size:
+
+* *grey*: a byte is the green of a pixel; back-references (``GREY_MATCH`` bytes or more),
+* the same after the left predictor, where differences are cheaper than bytes,
+* *palette*: at most 16 byte values, two or more to a pixel of the packed image; back-references,
+* *words*: four bytes are a pixel (green, red, blue, alpha); back-references and a colour cache.
+
+Every file has prefix codes of its own. All are read back by one decoder: ``_opened`` reads what comes before
+the pixels, ``_pixels`` the pixels of one image, or ``_together`` those of many images at once, a symbol of each
+in a step, where no cache is in use, and ``_inverted`` undoes the transforms.
 """
 
 from __future__ import annotations
@@ -12,6 +19,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -89,33 +98,42 @@ class Writer:
         return 8 * sum(map(len, self.done)) + self.n
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+@functools.cache
+def _reversals(n: int) -> np.ndarray:
+    """The n-bit numbers with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for k in range(n):
+        out = np.concatenate([out, out + (1 << (n - 1 - k))])
+    return out
 
 
 class PrefixCode:
-    """A canonical prefix code from code lengths; ``table[next bits]`` is (length, symbol)."""
+    """A canonical prefix code from code lengths; ``table[next bits]`` is (length, symbol), ``bits`` the code of each symbol."""
 
-    def __init__(self, lengths: list[int]) -> None:
-        self.lengths = lengths
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.codes: dict[int, tuple[int, int]] = {}
+    def __init__(self, lengths) -> None:
+        self.lengths = np.asarray(lengths, np.int64)
+        self.bits = np.zeros(len(self.lengths), np.int64)
+        used = np.flatnonzero(self.lengths)
         if len(used) <= 1:  # a lone symbol takes no bits
-            self.most, self.table = 0, [(0, used[0][1] if used else 0)]
-            self.codes = {s: (0, 0) for _, s in used}
+            self.most = 0
+            self.takes, self.gives = np.zeros(1, np.int64), used[:1] if len(used) else np.zeros(1, np.int64)
+            self.lengths = np.zeros(len(self.lengths), np.int64)
             return
-        self.most = max(n for n, _ in used)
-        if sum(1 << (self.most - n) for n, _ in used) != 1 << self.most:
+        n = self.lengths[used]
+        order = np.argsort(n, kind="stable")
+        used, n = used[order], n[order]
+        self.most = int(n[-1])
+        span = 1 << (self.most - n)
+        first = np.cumsum(span)
+        if first[-1] != 1 << self.most:
             raise ValueError("code lengths are not a complete prefix code")
-        self.table = [(0, 0)] * (1 << self.most)
-        code = last = 0
-        for n, s in sorted(used):
-            code <<= n - last
-            bits = _reversed(code, n)
-            self.codes[s] = (bits, n)
-            for k in range(bits, 1 << self.most, 1 << n):
-                self.table[k] = (n, s)
-            code, last = code + 1, n
+        back = _reversals(self.most)
+        self.takes, self.gives = np.repeat(n, span)[back], np.repeat(used, span)[back]
+        self.bits[used] = back[first - span]
+
+    @functools.cached_property
+    def table(self) -> list[tuple[int, int]]:
+        return list(zip(self.takes.tolist(), self.gives.tolist(), strict=True))
 
     def read(self, r: Reader) -> int:
         n, symbol = self.table[r.peek(self.most)]
@@ -167,38 +185,74 @@ def _write_code(w: Writer, lengths: list[int]) -> PrefixCode:
             w.write(s, 8)
         return code
     w.write(0, 1)
+    parts: list[tuple[int, int, int]] = []  # symbol, extra bits and their number
+    for n, run in groupby(lengths):
+        left = len(list(run))
+        if n:
+            parts.append((n, 0, 0))
+            left -= 1
+        while left:
+            if n and left >= 3:
+                now = min(left, 6)
+                parts.append((16, now - 3, 2))
+            elif not n and left >= 11:
+                now = min(left, 138)
+                parts.append((18, now - 11, 7))
+            elif not n and left >= 3:
+                now = min(left, 10)
+                parts.append((17, now - 3, 3))
+            else:
+                now = 1
+                parts.append((n, 0, 0))
+            left -= now
     count = [0] * 19
-    for n in lengths:
-        count[n] += 1
-    inner = PrefixCode(_code_lengths(count, 7))
+    for s, _, _ in parts:
+        count[s] += 1
+    own = _code_lengths(count, 7)
+    inner = PrefixCode(own)
     w.write(15, 4)
     for k in LENGTH_ORDER:
-        w.write(inner.lengths[k], 3)
+        w.write(own[k], 3)
     w.write(0, 1)
-    for n in lengths:
-        w.write(*inner.codes[n])
+    bits, size = inner.bits.tolist(), inner.lengths.tolist()
+    for s, extra, k in parts:
+        w.write(bits[s] | extra << size[s], size[s] + k)
     return code
 
 
 def _code_lengths(count: list[int], limit: int) -> list[int]:
-    """Huffman code lengths, flattened until none is above the limit."""
-    import heapq
-
+    """Huffman code lengths, flattened until none is above the limit. Of equal weights symbols come before pairs."""
+    used = [s for s, c in enumerate(count) if c]
+    lengths = [0] * len(count)
+    if len(used) < 2:
+        for s in used:
+            lengths[s] = 1
+        return lengths
     floor = 1
     while True:
-        heap = [(max(c, floor), s, (s,)) for s, c in enumerate(count) if c]
-        lengths = [0] * len(count)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in (*a[2], *b[2]):
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths, default=0) <= limit:
+        order = sorted((max(count[s], floor), s) for s in used)
+        n = len(order)
+        weight = [c for c, _ in order]
+        above = [0] * (2 * n - 1)
+        leaf, pair = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (pair >= new or weight[leaf] <= weight[pair]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, pair = pair, pair + 1
+                total += weight[at]
+                above[at] = new
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= limit:
+            for (_, s), k in zip(order, depth, strict=False):
+                lengths[s] = k
             return lengths
-        floor *= 2
+        floor = max(2 * floor, min(c for c, _ in order))
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -222,23 +276,47 @@ def _cells(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def _read_pixels(r: Reader, width: int, height: int, main: bool) -> list[int]:
-    """An entropy-coded image as ARGB numbers."""
+@dataclass
+class Image:
+    """An entropy-coded image: its size, the colour cache's bits, and the prefix codes of each group of tiles."""
+
+    width: int
+    height: int
+    cache_bits: int
+    group_bits: int
+    groups_of: list[int] | None
+    groups: list[list[PrefixCode]]
+
+
+def _image(r: Reader, width: int, height: int, main: bool) -> Image:
     cache_bits = r.read(4) if r.read(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache too large")
     groups_of, bits = None, 0
     if main and r.read(1):
         bits = r.read(3) + 2
-        groups_of = [(p >> 8) & 0xFFFF for p in _read_pixels(r, _cells(width, bits), _cells(height, bits), False)]
+        groups_of = [(p >> 8) & 0xFFFF for p in _pixels(r, _image(r, _cells(width, bits), _cells(height, bits), False))]
     groups = [[_read_code(r, n) for n in (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(max(groups_of or [0]) + 1)]
+    return Image(width, height, cache_bits, bits, groups_of, groups)
+
+
+def _distance(d: int, width: int) -> int:
+    if d > 120:
+        return d - 120
+    dx, dy = NEAR[d - 1]
+    return max(dx + dy * width, 1)
+
+
+def _pixels(r: Reader, image: Image) -> list[int]:
+    """The pixels as ARGB numbers."""
+    width, cache_bits, groups_of, bits = image.width, image.cache_bits, image.groups_of, image.group_bits
     cache = [0] * (1 << cache_bits)
     out: list[int] = []
-    total, row_cells, group = width * height, _cells(width, bits), groups[0]
+    total, row_cells, group = width * image.height, _cells(width, bits), image.groups[0]
     while len(out) < total:
         if groups_of:
             y, x = divmod(len(out), width)
-            group = groups[groups_of[(y >> bits) * row_cells + (x >> bits)]]
+            group = image.groups[groups_of[(y >> bits) * row_cells + (x >> bits)]]
         s = group[0].read(r)
         if s < 256:
             red, blue, alpha = group[1].read(r), group[2].read(r), group[3].read(r)
@@ -246,12 +324,7 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> list[int]:
             new = 1
         elif s < 280:
             new = _value(s - 256, r)
-            d = _value(group[4].read(r), r)
-            if d > 120:
-                d -= 120
-            else:
-                dx, dy = NEAR[d - 1]
-                d = max(dx + dy * width, 1)
+            d = _distance(_value(group[4].read(r), r), width)
             if d > len(out) or len(out) + new > total:
                 raise ValueError("back-reference out of the image")
             for _ in range(new):
@@ -349,13 +422,24 @@ def _file(body: bytes) -> bytes:
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
 
-def decode(data: bytes) -> np.ndarray:
-    """A lossless WebP file to an array (height, width, 4) of red, green, blue, alpha."""
+@dataclass
+class Opened:
+    """A file read up to its pixels."""
+
+    reader: Reader
+    width: int
+    height: int
+    alpha: int
+    transforms: list[tuple]
+    image: Image
+
+
+def _opened(data: bytes) -> Opened:
     r = Reader(_chunk(data))
     if r.read(8) != SIGNATURE:
         raise ValueError("no signature")
     width, height = r.read(14) + 1, r.read(14) + 1
-    r.read(1)
+    alpha = r.read(1)
     if r.read(3):
         raise ValueError("unknown version")
     full, transforms = width, []
@@ -365,33 +449,63 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError("a transform comes twice")
         if kind in (PREDICTOR, CROSS_COLOUR):
             bits = r.read(3) + 2
-            transforms.append((kind, bits, _read_pixels(r, _cells(width, bits), _cells(height, bits), False), width))
+            transforms.append((kind, bits, _pixels(r, _image(r, _cells(width, bits), _cells(height, bits), False)), width))
         elif kind == PALETTE:
             size = r.read(8) + 1
-            colours = _read_pixels(r, size, 1, False)
+            colours = _pixels(r, _image(r, size, 1, False))
             for k in range(1, size):
                 colours[k] = _plus(colours[k], colours[k - 1])
             transforms.append((kind, _palette_bits(size), colours, width))
             width = _cells(width, _palette_bits(size))
         else:
             transforms.append((kind, 0, [], width))
-    pixels = _read_pixels(r, width, height, True)
-    for kind, bits, extra, wide in reversed(transforms):
-        if kind == PREDICTOR:
+    return Opened(r, full, height, alpha, transforms, _image(r, width, height, True))
+
+
+def _inverted(argb: np.ndarray, opened: Opened) -> np.ndarray:
+    """The pixels (uint32) after all transforms are undone, last one first."""
+    height = opened.height
+    for kind, bits, extra, wide in reversed(opened.transforms):
+        if kind == PREDICTOR and all((p >> 8) & 15 == 1 for p in extra):  # all from the left: sums along the lines
+            channels = argb.reshape(height, wide).view(np.uint8).reshape(height, wide, 4).copy()
+            channels[0, 0, 3] = (int(channels[0, 0, 3]) + 255) & 255
+            channels[:, 0] = np.cumsum(channels[:, 0], axis=0, dtype=np.uint8)
+            argb = np.ascontiguousarray(np.cumsum(channels, axis=1, dtype=np.uint8)).view(np.uint32).ravel()
+        elif kind == PREDICTOR:
+            pixels = argb.tolist()
             for i in range(len(pixels)):
                 pixels[i] = _plus(pixels[i], _predictions(pixels, wide, i, extra, bits))
+            argb = np.array(pixels, np.uint32)
         elif kind == CROSS_COLOUR:
-            pixels = [_crossed(p, extra[(i // wide >> bits) * _cells(wide, bits) + (i % wide >> bits)], True) for i, p in enumerate(pixels)]
+            argb = np.array([_crossed(p, extra[(i // wide >> bits) * _cells(wide, bits) + (i % wide >> bits)], True) for i, p in enumerate(argb.tolist())], np.uint32)
         elif kind == SUBTRACT_GREEN:
-            pixels = [_green(p, 1) for p in pixels]
+            green = (argb >> 8) & 255
+            argb = argb & 0xFF00FF00 | (argb + (green << 16)) & 0xFF0000 | (argb + green) & 255
         else:
             narrow, each = _cells(wide, bits), 8 >> bits
-            extra = extra + [0] * (256 - len(extra))
-            pixels = [extra[(((pixels[y * narrow + (x >> bits)] >> 8) & 255) >> (each * (x & ((1 << bits) - 1)))) & ((1 << each) - 1)] for y in range(height) for x in range(wide)]
-    argb = np.array(pixels, np.uint32).reshape(height, full)
+            x = np.arange(wide)
+            packed = ((argb.reshape(height, narrow) >> 8) & 255)[:, x >> bits]
+            colours = np.array(extra + [0] * (256 - len(extra)), np.uint32)
+            argb = colours[(packed >> (each * (x & ((1 << bits) - 1))).astype(np.uint32)) & ((1 << each) - 1)].ravel()
+    return argb
+
+
+def decode(data: bytes) -> np.ndarray:
+    """A lossless WebP file to an array (height, width, 4) of red, green, blue, alpha."""
+    opened = _opened(data)
+    argb = _inverted(np.array(_pixels(opened.reader, opened.image), np.uint32), opened).reshape(opened.height, opened.width)
     return np.stack([(argb >> 16) & 255, (argb >> 8) & 255, argb & 255, argb >> 24], axis=-1).astype(np.uint8)
 
 
+def features_of(data: bytes) -> set[str]:
+    """The features of the format that a file uses."""
+    opened = _opened(data)
+    out = {("predictor", "cross-colour", "subtract-green", "palette")[t[0]] for t in opened.transforms}
+    if any(c[0].lengths[256:280].any() for c in opened.image.groups):
+        out.add("references")
+    return out | ({"cache"} if opened.image.cache_bits else set())
+
+
 def _tokens(pixels: list[int], width: int, cache_bits: int, references: bool):
     """Pixels as ("literal", p), ("cache", index) and ("copy", length, distance)."""
     cache, seen, i = [None] * (1 << cache_bits), {}, 0
@@ -451,7 +565,7 @@ def _write_pixels(w: Writer, pixels: list[int], width: int, main: bool, cache_bi
         codes.append([_write_code(w, _code_lengths(c, 15)) for c in counts])
     for own, parts in symbols:
         for which, s, e, k in parts:
-            w.write(*codes[own][which].codes[s])
+            w.write(int(codes[own][which].bits[s]), int(codes[own][which].lengths[s]))
             w.write(e, k)
 
 
@@ -501,39 +615,16 @@ def encode(rgba: np.ndarray, transforms: tuple[int, ...] = (), mode: int | None
 # --- many payloads at once -------------------------------------------------------------------------
 
 UNIT = 64
-FEW = 64
-
+FEW = 48
+GREY_MATCH, WORD_MATCH = 6, 2
+CACHE_BITS = 6
+GREEN_LIMIT = 12
+MOST_COPY = 4_096
 
-def _static_lengths() -> list[int]:
-    """One complete prefix code for text bytes: 8 symbols of 4 bits, 16 of 6, 24 of 9 and 208 of 10."""
-    common = list(b" enratio") + list(b"shldcumpgbvfywk.,") [:16]
-    rest = [s for s in [*range(97, 123), 10, *range(0x80, 0xC0), *range(256)] if s not in common]
-    ranked = list(dict.fromkeys(common + rest))
-    lengths = [0] * 256
-    for k, s in enumerate(ranked):
-        lengths[s] = 4 if k < 8 else 6 if k < 24 else 9 if k < 48 else 10
-    return lengths
 
-
-@functools.cache
-def _static():
-    """The bits between the sizes and the pixels, and the code of each byte."""
-    w = Writer()
-    w.write(0, 1)  # no transform
-    w.write(0, 1)  # no colour cache
-    w.write(0, 1)  # one group of prefix codes
-    lengths = _static_lengths()
-    for own in (lengths + [0] * 24, lengths, lengths, lengths):
-        code = _write_code(w, own)
-    _write_code(w, [0] * 40)
-    bits = np.array([code.codes[s][0] for s in range(256)], np.int64)
-    return w.bytes(), w.length(), bits, np.array(lengths, np.int64)
-
-
-def sides(n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Width and height in pixels: 16 wide, or wider by powers of two where the height would pass 2**14."""
-    pixels = n_bytes // 4
-    width = np.full(len(n_bytes), 16, np.int64)
+def sides(pixels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Width and height: ``least`` wide, or wider by powers of two where the height would pass 2**14."""
+    width = np.full(len(pixels), least, np.int64)
     while (tall := -(-pixels // width) > 1 << 14).any():
         width[tall] *= 2
     if (width > 1 << 14).any():
@@ -541,126 +632,410 @@ def sides(n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return width, -(-pixels // width)
 
 
-def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Files that hold each row's bytes; rows have a positive multiple of UNIT bytes.
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix`` of many values."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
+    more = np.maximum(high - 1, 0)
+    small = v < 4
+    return np.where(small, v, 2 * high + ((v >> more) & 1)), np.where(small, 0, v & ((1 << more) - 1)), np.where(small, 0, more)
 
-    Where the width is above 16 the last line is filled with bytes 0.
-    """
-    header, header_bits, codes, lengths = _static()
-    size = np.diff(offsets)
-    width, height = sides(size)
-    fill = width * height * 4 - size
-    if fill.any():
-        parts = [x for i in range(len(size)) for x in (data[offsets[i] : offsets[i + 1]], np.zeros(fill[i], np.uint8))]
-        data = np.concatenate(parts)
-        size = size + fill
-        offsets = np.concatenate([[0], np.cumsum(size)])
-    each = lengths[data]
-    run = np.concatenate([[0], np.cumsum(each)])
-    bits = run[offsets[1:]] - run[offsets[:-1]] + header_bits
-    n_bytes = (bits + 7) // 8
-    base = np.concatenate([[0], np.cumsum(n_bytes)])
-    row = np.repeat(np.arange(len(size)), size)
-    at = run[:-1] - run[offsets[:-1]][row] + header_bits + 8 * base[row]
-    word = codes[data] << (at & 7)
-    total = int(base[-1]) + 3
-    place = at >> 3
-    body = np.zeros(total)
-    for k in range(3):
-        body += np.bincount(place + k, weights=(word >> (8 * k)) & 255, minlength=total)
-    body = body.astype(np.uint8)
-    head = np.frombuffer(header, np.uint8)
-    spot = base[:-1][:, None] + np.arange(len(head))[None, :]
-    body[spot[:, :-1]] = head[:-1]
-    body[spot[:, -1]] |= head[-1]
-    raw = body.tobytes()
-    out = []
-    for i in range(len(size)):
-        first = SIGNATURE | (int(width[i]) - 1) << 8 | (int(height[i]) - 1) << 22 | 1 << 36
-        out.append(_file(first.to_bytes(5, "little") + raw[base[i] : base[i + 1]]))
+
+@functools.lru_cache(maxsize=32)
+def _near_codes(width: int) -> np.ndarray:
+    """Distance code of each distance up to eight lines."""
+    out = np.arange(8 * width + 9) + 120
+    for k, (dx, dy) in reversed(list(enumerate(NEAR))):
+        if dx + dy * width >= 1:
+            out[dx + dy * width] = k + 1
     return out
 
 
-@functools.lru_cache(maxsize=64)
-def _header(bits: bytes) -> tuple[int, list[PrefixCode]] | None:
-    """Length of the header and its codes, if an image needs nothing but one group of literal codes."""
-    r = Reader(bits)
-    if r.read(3):
-        return None
-    codes = [_read_code(r, n) for n in (280, 256, 256, 256, 40)]
-    if any(codes[0].lengths[256:]) or min(c.most for c in codes[:4]) == 0:
-        return None
-    return r.position(), codes[:4]
+class Streams:
+    """Symbols of many images of ARGB pixels: greedy back-references of ``least`` pixels or more, a colour cache, literals."""
+
+    def __init__(self, px: np.ndarray, at: np.ndarray, width: np.ndarray, least: int, cache_bits: int = 0) -> None:
+        self.px, self.at, self.cache_bits = px, at, cache_bits
+        self.rows, self.width = len(at) - 1, width
+        self.image = np.repeat(np.arange(self.rows), np.diff(at))
+        self.q, self.n, self.d = self._copies(least)
+        total = len(px)
+        inside = np.cumsum(np.bincount(self.q, minlength=total + 1) - np.bincount(self.q + self.n, minlength=total + 1))[:total]
+        self.literal = inside == 0
+        self.main = ((px >> 8) & 255).astype(np.int64)
+        self.start = self.literal.copy()
+        self.start[self.q] = True
+        if cache_bits:
+            slot = (px * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
+            order = np.argsort(self.image << cache_bits | slot, kind="stable")
+            key, own = (self.image << cache_bits | slot)[order], px[order]
+            hit = np.zeros(total, bool)
+            hit[order[1:]] = (key[1:] == key[:-1]) & (own[1:] == own[:-1])
+            hit &= self.literal
+            self.main[hit] = 280 + slot[hit]
+            self.literal &= ~hit
+        length, self.n_extra, self.n_bits = _prefixes(self.n)
+        self.main[self.q] = 256 + length
+        far = self.d + 120
+        for w in np.unique(width).tolist():
+            near = _near_codes(w)
+            own = np.flatnonzero((width[self.image[self.q]] == w) & (self.d < len(near)))
+            far[own] = near[self.d[own]]
+        self.far, self.d_extra, self.d_bits = _prefixes(far)
+        size = 280 + (1 << cache_bits if cache_bits else 0)
+        lit = np.flatnonzero(self.literal)
+        count = lambda who, s, k: np.bincount(self.image[who] * k + s, minlength=self.rows * k).reshape(self.rows, k)
+        self.lit = lit
+        self.counts = [count(np.flatnonzero(self.start), self.main[self.start], size)]
+        self.counts += [count(lit, ((px[lit] >> shift) & 255).astype(np.int64), 256) for shift in (16, 0, 24)] + [count(self.q, self.far, 40)]
+
+    def _copies(self, least: int):
+        """Places, lengths and distances: a pixel run goes back to where its first pixels stood last."""
+        px, at, total = self.px, self.at, len(self.px)
+        place = np.arange(total)
+        first = np.flatnonzero(place + least <= at[1:][self.image])
+        if not self.cache_bits:  # an image has one red, blue and alpha
+            value, bits = ((px >> 8) & 255).astype(np.int64), 8
+        else:
+            seen, value = np.unique(px, return_inverse=True)
+            bits = max(len(seen) - 1, 1).bit_length()
+        key = self.image[first]
+        for k in range(least):
+            key = key << bits | value[first + k]
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        distance = np.zeros(total + 1, np.int64)
+        distance[first[order[1:][same]]] = first[order[1:][same]] - first[order[:-1][same]]
+        change = np.where(distance[1:] != distance[:-1], place, total)
+        length = np.minimum.accumulate(change[::-1])[::-1] - place + least
+        following = np.append(np.minimum.accumulate(np.where(distance[:-1] > 0, place, total)[::-1])[::-1], total)
+        lane, now, found = np.arange(self.rows), at[:-1], []
+        while len(lane):
+            q = following[now]
+            some = q < at[1:][lane]
+            lane, q = lane[some], q[some]
+            n = np.minimum(length[q], MOST_COPY) if len(q) else q
+            found.append((q, n))
+            now = q + n
+        q, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(q)
+        return q[order], n[order], distance[q[order]]
+
+    def cost(self) -> np.ndarray:
+        """Estimated bits of each image: entropies, extra bits, and some for each code length."""
+        out = np.bincount(self.image[self.q], weights=self.n_bits + self.d_bits, minlength=self.rows)
+        for c in self.counts:
+            total = c.sum(axis=1)
+            out = out + total * np.log2(np.maximum(total, 1)) - (c * np.log2(np.maximum(c, 1))).sum(axis=1) + 5 * (c > 0).sum(axis=1)
+        return out
+
+    def write(self, chosen: np.ndarray, heads: dict[int, Writer]) -> dict[int, bytes]:
+        """The bits of the chosen images, each after its head."""
+        if not chosen.any():
+            return {}
+        sizes = [c.shape[1] for c in self.counts]
+        bits, lengths = ([np.zeros((self.rows, k), np.int64) for k in sizes] for _ in range(2))
+        lead = np.zeros(self.rows, np.int64)
+        for i in np.flatnonzero(chosen).tolist():
+            w = heads[i]
+            w.write(int(self.cache_bits > 0), 1)
+            if self.cache_bits:
+                w.write(self.cache_bits, 4)
+            w.write(0, 1)  # one group of prefix codes
+            for k, c in enumerate(self.counts):
+                code = _write_code(w, _code_lengths(c[i].tolist(), GREEN_LIMIT))
+                bits[k][i], lengths[k][i] = code.bits, code.lengths
+            lead[i] = w.length()
+        take = chosen[self.image]
+        s = np.flatnonzero(self.start & take)
+        each = np.zeros(len(self.px) + 1, np.int64)
+        each[s] = lengths[0][self.image[s], self.main[s]]
+        lit = self.lit[take[self.lit]]
+        own = self.image[lit]
+        channel = [((self.px[lit] >> shift) & 255).astype(np.int64) for shift in (16, 0, 24)]
+        more = [lengths[k + 1][own, c] for k, c in enumerate(channel)]
+        for m in more:
+            each[lit] += m
+        mine = take[self.q]
+        q, far = self.q[mine], self.far[mine]
+        to, extras = self.image[q], [(self.n_extra[mine], self.n_bits[mine]), (bits[4][self.image[q], far], lengths[4][self.image[q], far]), (self.d_extra[mine], self.d_bits[mine])]
+        for _, m in extras:
+            each[q] += m
+        run = np.cumsum(each) - each
+        at = self.at
+        n_bytes = np.where(chosen, (run[at[1:]] - run[at[:-1]] + lead + 7) // 8, 0)
+        base = np.cumsum(n_bytes) - n_bytes
+        shift = 8 * base + lead - run[at[:-1]]
+        where = run[:-1] + shift[self.image]
+        units = [(where[s], bits[0][self.image[s], self.main[s]])]
+        next_ = where[lit] + lengths[0][own, self.main[lit]]
+        for k, (c, m) in enumerate(zip(channel, more, strict=True)):
+            if m.any():
+                units.append((next_, bits[k + 1][own, c]))
+                next_ = next_ + m
+        next_ = where[q] + lengths[0][to, self.main[q]]
+        for value, m in extras:
+            units.append((next_, value))
+            next_ = next_ + m
+        total = int(n_bytes.sum()) + 4
+        body = np.zeros(total)
+        for place, value in units:
+            word = value << (place & 7)
+            for k in range(4):
+                part = (word >> (8 * k)) & 255
+                if k and not part.any():
+                    break
+                body += np.bincount((place >> 3) + k, weights=part, minlength=total)[:total]
+        raw = body.astype(np.uint8)
+        out = {}
+        for i in np.flatnonzero(chosen).tolist():
+            head = np.frombuffer(heads[i].bytes(), np.uint8)
+            own_bytes = raw[base[i] : base[i] + n_bytes[i]]
+            own_bytes[: len(head)] |= head
+            out[i] = _file(own_bytes.tobytes())
+        return out
+
+
+def _head(width: int, height: int, alpha: int) -> Writer:
+    w = Writer()
+    w.write(SIGNATURE | (width - 1) << 8 | (height - 1) << 22 | alpha << 36, 40)
+    return w
+
+
+def _filled(data: np.ndarray, offsets: np.ndarray, size: np.ndarray):
+    """Each row's bytes, with zeros up to ``size``."""
+    have = np.diff(offsets)
+    at = np.concatenate([[0], np.cumsum(size)])
+    if (have == size).all():
+        return data, at
+    out = np.zeros(int(at[-1]), np.uint8)
+    out[np.arange(len(data)) + np.repeat(at[:-1] - offsets[:-1], have)] = data
+    return out, at
+
+
+def _left(data: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Differences to the byte on the left, at the start of a line to the one above."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    p = np.arange(len(data)) - at[:-1][row]
+    back = np.where(p % width[row] == 0, width[row], 1)
+    return data - np.where(p >= back, data[np.arange(len(data)) - np.minimum(back, p)], 0).astype(np.uint8)
+
+
+def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Files that hold each row's bytes, each with the features that make it smallest; rows have a positive multiple of UNIT bytes.
+
+    Files of four bytes a pixel are marked as such by the format's bit for alpha. Where an image is wider than UNIT bytes,
+    its last line is filled with bytes 0.
+    """
+    rows = len(offsets) - 1
+    width, height = sides(np.diff(offsets), UNIT)
+    grey, at = _filled(data, offsets, width * height)
+    row = np.repeat(np.arange(rows), np.diff(at))
+    level = lambda x: x.astype(np.uint32) << np.uint32(8)
+    histogram = np.bincount(row << 8 | grey, minlength=rows << 8).reshape(rows, 256)
+    differ = _left(grey, at, width)
+    entropy = lambda c: c.sum(axis=1) * np.log2(c.sum(axis=1)) - (c * np.log2(np.maximum(c, 1))).sum(axis=1)
+    smooth = entropy(np.bincount(row << 8 | differ, minlength=rows << 8).reshape(rows, 256)) + 256 < entropy(histogram)
+    few = ((histogram > 0).sum(axis=1) <= 16) & ~smooth
+    px = level(np.where(smooth[row], differ, grey))
+    px |= np.where(smooth[row], 0, BLACK).astype(np.uint32)
+    plain = Streams(px, at, width, GREY_MATCH)
+    wide, tall = sides(np.diff(at) // 4, UNIT // 4)
+    packed, at4 = _filled(grey, at, 4 * wide * tall)
+    four = packed.reshape(-1, 4).astype(np.uint32)
+    words = Streams(four[:, 3] << 24 | four[:, 1] << 16 | four[:, 0] << 8 | four[:, 2], at4 // 4, wide, WORD_MATCH, CACHE_BITS)
+    as_words = (words.cost() < plain.cost() + 32) & ~few & ~smooth
+    out: dict[int, bytes] = {}
+    heads = {}
+    for i in np.flatnonzero(as_words).tolist():
+        heads[i] = _head(int(wide[i]), int(tall[i]), 1)
+        heads[i].write(0, 1)
+    out |= words.write(as_words, heads)
+    heads = {}
+    for i in np.flatnonzero(~few & ~as_words).tolist():
+        heads[i] = w = _head(int(width[i]), int(height[i]), 0)
+        if smooth[i]:
+            w.write(1, 1)
+            w.write(PREDICTOR, 2)
+            w.write(7, 3)
+            tiles = _cells(int(width[i]), 9), _cells(int(height[i]), 9)
+            _write_pixels(w, [BLACK | 1 << 8] * (tiles[0] * tiles[1]), tiles[0], False)
+        w.write(0, 1)
+    out |= plain.write(~few & ~as_words, heads)
+    if few.any():
+        out |= _palettes(grey, at, width, height, histogram, np.flatnonzero(few))
+    return [out[i] for i in range(rows)]
+
+
+def _palettes(grey, at, width, height, histogram, few) -> dict[int, bytes]:
+    """Files of the rows ``few``, with a palette and several bytes in a pixel of the packed image."""
+    heads, parts, narrow = {}, [], []
+    for k, i in enumerate(few.tolist()):
+        colours = np.flatnonzero(histogram[i])
+        bits = _palette_bits(len(colours))
+        each, line = 8 >> bits, _cells(int(width[i]), bits)
+        place = np.zeros(256, np.int64)
+        place[colours] = np.arange(len(colours))
+        image = place[grey[at[i] : at[i + 1]]].reshape(int(height[i]), line, 1 << bits)
+        parts.append((image << (each * np.arange(1 << bits))).sum(axis=2).ravel())
+        narrow.append(line)
+        heads[k] = w = _head(int(width[i]), int(height[i]), 0)
+        w.write(1, 1)
+        w.write(PALETTE, 2)
+        w.write(len(colours) - 1, 8)
+        _write_pixels(w, [BLACK | int(colours[0]) << 8, *(int(c) << 8 for c in np.diff(colours))], len(colours), False)
+        w.write(0, 1)
+    px = np.uint32(BLACK) | np.concatenate(parts).astype(np.uint32) << np.uint32(8)
+    streams = Streams(px, np.concatenate([[0], np.cumsum([len(x) for x in parts])]), np.array(narrow), GREY_MATCH)
+    return {int(few[k]): f for k, f in streams.write(np.ones(len(few), bool), heads).items()}
 
 
 def decode_payloads(files: list[bytes]) -> list[bytes]:
-    """The bytes of each file's pixels (green, red, blue, alpha), all files one symbol a step."""
-    out: list[bytes | None] = [None] * len(files)
-    groups: dict[tuple, list[int]] = {}
-    header, header_bits, _, _ = _static()
-    for i, f in enumerate(files):
-        body = _chunk(f)
-        own = body[5 : 5 + len(header)]
-        if len(own) == len(header) and own[:-1] == header[:-1] and (own[-1] ^ header[-1]) & ((1 << (header_bits & 7 or 8)) - 1) == 0:
-            groups.setdefault(("static",), []).append(i)
+    """The bytes that each file holds: the greens, or where the format's bit for alpha is set green, red, blue and alpha."""
+    opened = [_opened(f) for f in files]
+    lanes = [i for i, o in enumerate(opened) if not (o.image.cache_bits or o.image.groups_of or any(c.most for c in o.image.groups[0][1:4]))]
+    greens: dict[int, np.ndarray] = {}
+    entries, now = 0, []
+    for i in [*lanes, None]:  # bounded tables
+        if now and (i is None or entries > 1 << 22):
+            greens |= zip(now, _together([opened[k] for k in now]), strict=True)
+            entries, now = 0, []
+        if i is not None:
+            now.append(i)
+            entries += 1 << max(opened[i].image.groups[0][0].most, 4)
+    out = []
+    for i, o in enumerate(opened):
+        if i in greens:
+            red, blue, alpha = (int(c.gives[0]) for c in o.image.groups[0][1:4])
+            argb = greens[i].astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+        else:
+            argb = np.array(_pixels(o.reader, o.image), np.uint32)
+        argb = _inverted(argb, o)
+        if o.alpha:
+            out.append(np.stack([(argb >> 8) & 255, (argb >> 16) & 255, argb & 255, argb >> 24], axis=-1).astype(np.uint8).tobytes())
         else:
-            a = decode(f)
-            out[i] = a[..., [1, 0, 2, 3]].tobytes()
-    for members in groups.values():
-        start, codes = _header(header)
-        for i, raw in zip(members, _step_together([files[i] for i in members], start, codes), strict=True):
-            out[i] = raw
+            out.append(((argb >> 8) & 255).astype(np.uint8).tobytes())
     return out
 
 
-def _step_together(files: list[bytes], header_bits: int, codes: list[PrefixCode]):
-    bodies = [_chunk(f) for f in files]
-    dims = [int.from_bytes(b[1:5], "little") for b in bodies]
-    symbols = np.array([((d & 0x3FFF) + 1) * ((d >> 14 & 0x3FFF) + 1) * 4 for d in dims])
-    order = np.argsort(-symbols, kind="stable")
+def _together(opened: list[Opened]) -> list[np.ndarray]:
+    """The greens of images whose other channels are constant, one symbol of every image in a step."""
+    bodies = [o.reader.data for o in opened]
     size = np.array([len(b) for b in bodies])
-    base = np.concatenate([[0], np.cumsum(size)])
-    data = np.frombuffer(b"".join(bodies) + b"\0" * 8, np.uint8).astype(np.uint32)
-    words = data[:-4] | data[1:-3] << 8 | data[2:-2] << 16 | data[3:-1] << 24
+    base = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(bodies) + b"\0" * 64, np.uint8).astype(np.uint64)
+    words = functools.reduce(np.bitwise_or, (data[k : len(data) - 7 + k] << np.uint64(8 * k) for k in range(8)))
     del data
-    most = max(c.most for c in codes)
-    mask = np.uint32((1 << most) - 1)
-    tables = [np.array([c.table[k & ((1 << c.most) - 1)] for k in range(1 << most)], np.int64) for c in codes]
-    takes, gives = [t[:, 0].copy() for t in tables], [t[:, 1].astype(np.uint8) for t in tables]
-    n = symbols[order]
-    at = 8 * (base[:-1][order] + 5) + header_bits
-    ends = np.concatenate([[0], np.cumsum(n)])
-    flat = np.empty(int(ends[-1]), np.uint8)
-    put = ends[:-1].copy()
-    together = int(n[FEW - 1]) if len(n) >= FEW else 0
-    active = len(n) - np.searchsorted(n[::-1], np.arange(together), side="right")
-    for t in range(together):
-        m = active[t]
-        here = at[:m]
-        k = (words.take(here >> 3) >> (here & 7).astype(np.uint32)) & mask
-        flat[put[:m] + t] = gives[t & 3].take(k)
-        at[:m] = here + takes[t & 3].take(k)
-    for i in np.flatnonzero(n > together).tolist():  # few long ones: one after another
-        r = Reader(bodies[order[i]])
-        r.at = int(at[i] - 8 * base[order[i]]) >> 3
-        r.read(int(at[i] - 8 * base[order[i]]) & 7)
-        held, have, place, body = r.held, r.have, r.at, r.data
-        pairs = [c.table for c in codes]
-        masks = [(1 << c.most) - 1 for c in codes]
-        tail = bytearray(int(n[i]) - together)
-        for t in range(together, int(n[i])):
-            if have < 16:
-                held |= int.from_bytes(body[place : place + 6], "little") << have
-                place += 6
-                have += 48
-            took, tail[t - together] = pairs[t & 3][held & masks[t & 3]]
-            held >>= took
-            have -= took
-        flat[put[i] + together : ends[i + 1]] = np.frombuffer(tail, np.uint8)
-    raw = flat.tobytes()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return [raw[ends[p] : ends[p + 1]] for p in place.tolist()]
+    green, far = ([o.image.groups[0][k] for o in opened] for k in (0, 4))
+    tables = []
+    for codes in (green, far):
+        entry = np.array([len(c.takes) for c in codes])
+        tables.append((np.concatenate([c.gives << 4 | c.takes for c in codes]).astype(np.int32), np.cumsum(entry) - entry, (entry - 1).astype(np.uint64)))
+    (green_table, green_at, green_mask), (far_table, far_at, far_mask) = tables
+    width = np.array([o.image.width for o in opened])
+    total = np.array([o.image.width * o.image.height for o in opened])
+    near = np.array(NEAR)
+    lane = np.arange(len(opened))
+    at, done = 8 * base + [o.reader.position() for o in opened], np.zeros(len(opened), np.int64)
+    symbols: list[list[np.ndarray]] = [[] for _ in opened]
+    steps_before = np.zeros(len(opened), np.int64)
+    copies: list[tuple] = []
+    held: list[np.ndarray] = []
+    last = 8 * (len(words) - 32)  # images that are done may read on; none of their symbols count
+
+    def peek(where):
+        return words.take(where >> 3) >> (where & 7).astype(np.uint64)
+
+    def settle(keep):
+        nonlocal held, lane, at, done
+        if held:
+            grid = np.ascontiguousarray(np.stack(held, axis=1))
+            for k, own in zip(lane.tolist(), grid, strict=True):
+                symbols[k].append(own)
+            steps_before[lane] += len(held)
+            held = []
+        lane, at, done = lane[keep], at[keep], done[keep]
+
+    check = 0
+    while len(lane) > FEW:
+        ga, gm = green_at[lane], green_mask[lane]
+        while True:
+            found = green_table.take(ga + (peek(at) & gm).astype(np.int64))
+            at = at + (found & 15)
+            s = found >> 4
+            held.append(s.astype(np.uint16))
+            done += 1
+            if len(c := np.flatnonzero(s >= 256)):
+                pos, who = at[c], lane[c]
+                values = []
+                for own in (s[c] - 256, None):
+                    if own is None:
+                        entry = far_table.take(far_at[who] + (peek(pos) & far_mask[who]).astype(np.int64))
+                        pos, own = pos + (entry & 15), entry >> 4
+                    more = np.where(own < 4, 0, (own - 2) >> 1)
+                    extra = (peek(pos) & ((np.uint64(1) << more.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+                    values.append(np.where(own < 4, own, ((2 + (own & 1)) << more) + extra) + 1)
+                    pos = pos + more
+                n, d = values
+                step = near[np.minimum(d, 120) - 1]
+                d = np.where(d > 120, d - 120, np.maximum(step[:, 0] + step[:, 1] * width[who], 1))
+                copies.append((who, steps_before[who] + len(held) - 1, n, d))
+                at[c] = pos
+                done[c] += n - 1
+            at = np.minimum(at, last)
+            check += 1
+            if check % 16 == 0 and ((over := done >= total[lane]).mean() > 0.1 or len(lane) - over.sum() <= FEW):
+                settle(~over)
+                break
+    settle(np.ones(len(lane), bool))
+    listed: list[list[tuple[int, int, int]]] = [[] for _ in opened]
+    if copies:
+        who, step, n, d = (np.concatenate(x) for x in zip(*copies, strict=True))
+        for k, *copy in zip(who.tolist(), step.tolist(), n.tolist(), d.tolist(), strict=True):
+            listed[k].append(tuple(copy))
+    for k, where, have in zip(lane.tolist(), at.tolist(), done.tolist(), strict=True):
+        symbols[k].append(_rest(opened[k], where - 8 * int(base[k]), have, int(total[k]), int(steps_before[k]), listed[k]))
+    return [_expanded(np.concatenate(s).astype(np.uint8).tobytes(), own, int(n)) for s, own, n in zip(symbols, listed, total, strict=True)]
+
+
+def _rest(opened: Opened, where: int, have: int, total: int, step: int, copies: list) -> np.ndarray:
+    """The symbols from bit ``where`` on, one after another; back-references go to ``copies``."""
+    r = Reader(opened.reader.data)
+    r.at = where >> 3
+    r.read(where & 7)
+    green, far, width, out = opened.image.groups[0][0], opened.image.groups[0][4], opened.image.width, []
+    table, mask = green.table, (1 << green.most) - 1
+    while have < total:
+        if r.have < 16:
+            r._fill()
+        n, s = table[r.held & mask]
+        r.held >>= n
+        r.have -= n
+        out.append(s)
+        have += 1
+        if s >= 256:
+            length = _value(s - 256, r)
+            copies.append((step + len(out) - 1, length, _distance(_value(far.read(r), r), width)))
+            have += length - 1
+    return np.array(out, np.uint16)
+
+
+def _expanded(literals: bytes, copies: list[tuple[int, int, int]], total: int) -> np.ndarray:
+    """Literals and back-references (symbol number, length, distance) to ``total`` values."""
+    out, last = bytearray(), 0
+    for step, n, d in copies:
+        if len(out) + step - last >= total:
+            break
+        out += literals[last:step]
+        last = step + 1
+        if d > len(out):
+            raise ValueError("back-reference out of the image")
+        piece = bytes(out[-d : len(out) - d + n] if d > n else out[-d:])
+        out += piece if d >= n else (piece * (n // d + 1))[:n]
+    out += literals[last : last + max(total - len(out), 0)]
+    if len(out) != total:
+        raise ValueError("back-reference out of the image")
+    return np.frombuffer(bytes(out), np.uint8)
 
 
 def _media_batches(batches):
@@ -702,10 +1077,11 @@ def store(docs: DataFrame) -> DataFrame:
 
     ``media`` is a lossless WebP file of the text's UTF-8 bytes, filled with bytes 0 to a positive
     multiple of 64; the other columns come from the samples read back from it. Null and empty
-    texts have n_bytes 0 and one unit of zeros. Equal texts give equal values. Texts above 1 MiB get
-    wider images. Repeated rows give repeated results; extra columns are ignored.
+    texts have n_bytes 0 and one unit of zeros. Equal texts give equal values: what a file holds depends on its
+    text alone. Texts above 1 MiB get wider images. Repeated rows give repeated results, ties cannot come up; extra columns
+    are ignored, whatever their names; an empty table gives an empty one.
     """
-    return docs.select("doc_id", "text").mapInArrow(_media_batches, "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return shared.only(docs, "doc_id", "text").mapInArrow(_media_batches, "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def read_images(media: DataFrame) -> DataFrame:

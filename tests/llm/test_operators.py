@@ -543,13 +543,54 @@ def test_media(spark, docs, texts):
         payload = b + bytes(-len(b) % 64 or (0 if b else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         if len(payload) < 5000:
-            assert webp.decode(bytes(r["media"]))[..., [1, 0, 2, 3]].tobytes() == payload
+            assert stored_bytes(bytes(r["media"])) == payload
         assert files.setdefault(b, (r["media"], r["feature"])) == (r["media"], r["feature"])
     shown = webp.read_images(spark.createDataFrame([(1, rows[0]["media"]), (2, b"no"), (3, None)], "id long, media binary")).collect()
-    assert [r["width"] for r in sorted(shown, key=lambda r: r["id"])] == [16, None, None]
+    assert [r["width"] for r in sorted(shown, key=lambda r: r["id"])] == [64, None, None]
     assert webp.store(empty(spark)).collect() == []
 
 
+def stored_bytes(file):
+    """What a file holds, by the general decoder: its greens, or all four channels where it is marked to have alpha."""
+    image = webp.decode(file)
+    return (image[..., [1, 0, 2, 3]] if webp._opened(file).alpha else image[..., 1]).tobytes()
+
+
+def test_payload_features():
+    """Payloads of each kind use the features that pay, and all come back, in small and in large batches."""
+    rng = random.Random(12)
+    words = [prose(rng, 1)[:4].ljust(4, "_") for _ in range(40)]
+    kinds = {
+        "text": [prose(rng, rng.randrange(5, 400)) for _ in range(130)],
+        "few": ["".join(rng.choice("01") for _ in range(rng.randrange(1, 3000))) for _ in range(20)] + ["".join(rng.choice("0123456789,\n") for _ in range(900)) for _ in range(5)],
+        "smooth": ["".join(chr(33 + (i * 7 + k) % 90) for i in range(2000)) for k in range(4)],
+        "words": ["".join(rng.choice(words) for _ in range(rng.randrange(400, 900))) for _ in range(9)],
+        "copies": ["the same line again and again\n" * 50 + prose(rng, 20), "x" * 5000, ""],
+    }
+    texts = [t for group in kinds.values() for t in group]
+    payloads = [t.encode() + bytes(-len(t.encode()) % 64 or (0 if t else 64)) for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in payloads])])
+    files = webp.encode_payloads(np.frombuffer(b"".join(payloads), np.uint8), at)
+    assert webp.decode_payloads(files) == payloads
+    assert [stored_bytes(f) for f in files] == payloads
+    used = defaultdict(Counter)
+    for kind, t, f in zip([k for k, group in kinds.items() for _ in group], texts, files, strict=True):
+        used[kind].update(webp.features_of(f))
+        alone = np.frombuffer(payloads[texts.index(t)], np.uint8)
+        if kind != "text":
+            assert webp.encode_payloads(alone, np.array([0, len(alone)])) == [f]
+    assert used["text"]["references"] > 80 and used["few"]["palette"] == 25 and used["copies"]["references"] == 3
+    assert used["smooth"]["predictor"] == 4 and used["words"]["cache"] == 9
+
+
+def test_corpus_media_features(spark):
+    used, media, text = Counter(), 0, 0
+    for r in webp.store(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        used.update(webp.features_of(bytes(r["media"])))
+        media, text = media + len(r["media"]), text + r["payload_bytes"]
+    assert used["references"] > 100 and media < 0.7 * text
+
+
 def test_native_plans(spark):
     plan = mixing.production(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
