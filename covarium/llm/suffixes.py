@@ -6,17 +6,19 @@ Sorting all suffixes of a corpus would shuffle every byte a hundred times. Two s
 every 35 bytes:
 
 1. Every text is cut into runs of consecutive start positions with the same minimizer. A run is a
-   row (gram hash, context hash, doc, start); the context is all bytes that its windows touch.
-2. Rows are sorted by gram. Within a gram, a context that occurred before repeats wholly. Only
-   grams with several different contexts stay open, and each context once, at its first place.
-3. The open contexts' suffixes are fetched from the texts and sorted deep-shallow (Manzini,
-   Ferragina 2004): multikey quicksort over 8-byte characters to ``SHALLOW`` bytes, then a blind trie
-   for each group that is still tied. The common prefixes of neighbours, to the right of the gram
+   row (gram hash, doc, place); its *context* is all bytes that its windows touch.
+2. Runs whose gram occurs once in the corpus repeat nothing and go. The contexts of the others are sorted
+   deep-shallow (Manzini, Ferragina 2004): multikey quicksort over 8-byte characters to ``SHALLOW`` bytes, then a
+   blind trie for each group that is still tied. The common prefixes of neighbours, to the right of the gram
    and (reversed) to the left of it, split each window length into classes of equal strings; all
-   but the first place of a class repeat.
-
-Grams with more than ``WIDE`` open contexts are not sorted in one task: their windows are hashed
-and the earliest place of each is found by a grouped minimum with map-side combining.
+   but the first place of a class repeat. Bytes are compared, never hashes.
+3. This happens twice. First inside slices of a few MB where the texts are read: a context of which every window has
+   an earlier equal one in the slice goes no further, so that a line of the whole corpus leaves a slice once. Then among
+   what the slices have left, gram by gram.
+
+Where a slice or a gram has more than ``MANY`` contexts (long runs of one character, boilerplate), equal ones are
+merged before the sort. Grams with more than ``WIDE`` contexts left are not sorted in one task: their windows are digested
+(192 bits) and the earliest place of each is found by a grouped minimum with map-side combining.
 """
 
 from __future__ import annotations
@@ -34,12 +36,13 @@ from covarium.llm.shared import Rolling, cut, mix64
 LENGTH = 100
 GRAM = 32
 SPREAD = LENGTH - GRAM + 1
-SHALLOW = 16
+SHALLOW = 48
 WIDE = 20_000
+MANY = 256
 PIECE = 1 << 19
 TOGETHER = 8 * PIECE
 
-_GRAMS, _CONTEXTS = Rolling(101), Rolling(202)
+_GRAMS = Rolling(101)
 
 
 def _pieces(offsets: np.ndarray):
@@ -54,7 +57,7 @@ def _pieces(offsets: np.ndarray):
 
 
 def runs(data: np.ndarray, offsets: np.ndarray):
-    """Runs of window starts with one minimizer: row, first start, last start, gram start and two hashes."""
+    """Runs of window starts with one minimizer: row, first start, last start, gram start and gram hash."""
     n = len(data)
     if n < LENGTH:
         return None
@@ -77,13 +80,11 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(p) - 1]])
     lo, hi, at, row = p[first], p[last], least[first], row[first]
-    around = _CONTEXTS.of(_CONTEXTS.prefix(data), lo, hi + LENGTH)
-    context = mix64(mix64(around) + ((hi - lo) * 128 + (at - lo)).astype(np.uint64))
-    return row, lo, hi, at, grams[at], context
+    return row, lo, hi, at, grams[at]
 
 
 def _run_batches(batches):
-    """Rows (gram, context, doc, place): runs that are first in their batch, and repeats as rows without context."""
+    """Rows (gram, doc, place, again): runs that have something first in their slice, and what repeats inside the slice."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = shared.utf8(batch.column(1))
@@ -92,41 +93,65 @@ def _run_batches(batches):
             base = offsets[a] + start
             inner = np.clip(offsets[a : b + 1] - base, 0, stop - start)
             if (found := runs(data[base : base + stop - start], inner)) is not None:
-                row, lo, hi, at, gram, context = found
+                row, lo, hi, at, gram = found
                 shift = base - offsets[a + row]
-                parts.append((gram, context, ids[a + row], lo + shift, hi + shift, at + shift))
+                parts.append((gram, ids[a + row], lo + shift, hi + shift, at + shift, lo + base))
             held += stop - start
             if held >= TOGETHER:
-                yield from _first_runs(parts)
+                yield from _slice_runs(parts, data)
                 parts, held = [], 0
-        yield from _first_runs(parts)
+        yield from _slice_runs(parts, data)
 
 
-def _first_runs(parts: list[tuple]):
-    """Map-side combining: of runs with equal contexts only the first goes on, the others are repeats."""
+def _slice_runs(parts: list[tuple], data: np.ndarray):
+    """The rows of one slice; ``data`` holds its bytes."""
     if not parts:
         return
-    gram, context, doc, lo, hi, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((lo, doc, context, gram))
-    again = np.zeros(len(gram), bool)
-    again[1:] = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
-    again[1:] &= (doc[order][1:] != doc[order][:-1]) | (lo[order][1:] != lo[order][:-1])  # a repeated row is the same place
-    repeat, first = order[again], order[~again]
-    s, e, d = _merge(doc[repeat], lo[repeat], hi[repeat] + LENGTH)
+    gram, doc, lo, hi, at, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, doc, gram))
+    gram, doc, lo, hi, at, start = (x[order] for x in (gram, doc, lo, hi, at, start))
+    same = gram[1:] == gram[:-1]
+    several = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    goes_on = np.ones(len(gram), bool)
+    raw = memoryview(data)
+    stop = start + (hi - lo) + LENGTH
+    intervals = []
+    for some in _whole_grams(gram[several]):
+        k = several[some]
+        d, s, e, whole = repeats_of(gram[k], doc[k], lo[k], hi[k], at[k], [bytes(raw[x:y]) for x, y in zip(start[k].tolist(), stop[k].tolist(), strict=True)])
+        goes_on[k[whole]] = False
+        intervals.append((d, s, e))
+    d, s, e = (np.concatenate(x) for x in zip(*intervals, strict=True)) if intervals else (np.zeros(0, np.int64),) * 3
+    s, e, d = _merge(d, s, e)
     if len(d) and (e - s).max() > PIECE:  # a place holds 24 bits
-        s, e, d = lo[repeat], hi[repeat] + LENGTH, doc[repeat]
+        parts_of = -(-(e - s - LENGTH + 1) // PIECE)
+        k = np.repeat(np.arange(len(d)), parts_of)
+        s2 = s[k] + (np.arange(len(k)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)) * PIECE
+        s, e, d = s2, np.minimum(s2 + PIECE + LENGTH - 1, e[k]), d[k]
     spread = mix64(d.astype(np.uint64) + np.uint64(99))
+    n = int(goes_on.sum())
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([gram[first], spread]).view(np.int64)),
-            pa.array(np.concatenate([context[first].view(np.int64), np.zeros(len(d), np.int64)]), mask=np.arange(len(first) + len(d)) >= len(first)),
-            pa.array(np.concatenate([doc[first], d]), pa.int64()),
-            pa.array(np.concatenate([_place(lo[first], hi[first], at[first]), _place(s, e - LENGTH, s)])),
+            pa.array(np.concatenate([gram[goes_on], spread]).view(np.int64)),
+            pa.array(np.concatenate([doc[goes_on], d]), pa.int64()),
+            pa.array(np.concatenate([_place(lo, hi, at)[goes_on], _place(s, e - LENGTH, s)])),
+            pa.array(np.arange(n + len(d)) >= n),
         ],
-        ["gram", "context", "doc_id", "place"],
+        ["gram", "doc_id", "place", "again"],
     )
 
 
+def _whole_grams(gram: np.ndarray):
+    """Ranges of whole grams, about WIDE rows at a time; ``gram`` is sorted."""
+    cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(gram):
+        later = cuts[np.searchsorted(cuts, a + WIDE) :]
+        b = int(later[0]) if len(later) else len(gram)
+        yield np.arange(a, b)
+        a = b
+
+
 def _place(lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
     """First start, number of further starts and gram offset in one number: 32, 24 and 7 bits."""
     return (lo.astype(np.int64) << 31) | ((hi - lo).astype(np.int64) << 7) | (at - lo).astype(np.int64)
@@ -218,25 +243,62 @@ class BlindTrie:
         return order, common
 
 
+def multikey_quicksort(characters: np.ndarray) -> np.ndarray:
+    """The order of the rows of ``characters`` (n, depth), after Bentley and Sedgewick (1997).
+
+    A segment is split by the middle row's character at the segment's depth into smaller, equal and larger ones; the equal
+    ones go on with the next character. All open segments are split in the same step; each row's new place follows from counts.
+    """
+    n, depth = characters.shape
+    order = np.arange(n)
+    start, size, level = np.array([0]), np.array([n]), np.array([0])  # open segments
+    while len(start):
+        open_ = (size > 1) & (level < depth)
+        start, size, level = start[open_], size[open_], level[open_]
+        if not len(start):
+            break
+        first = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(segment)) - first[segment] + start[segment]
+        row = order[place]
+        own = characters[row, level[segment]]
+        pivot = own[first + size // 2][segment]
+        side = (own > pivot).astype(np.int64) - (own < pivot) + 1
+        count = np.bincount(segment * 3 + side, minlength=3 * len(size)).reshape(-1, 3)
+        lead = start[:, None] + np.cumsum(count, axis=1) - count
+        new = np.empty_like(place)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            before = np.cumsum(count[:, k]) - count[:, k]
+            new[mine] = lead[segment[mine], k] + np.arange(len(mine)) - before[segment[mine]]
+        order[new] = row
+        start, size = lead.ravel(), count.ravel()
+        level = (level[:, None] + np.array([0, 1, 0])).ravel()
+    return order
+
+
 def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of byte strings and the common prefix length of each with its predecessor.
 
-    Shallow: multikey quicksort, a partition by one 8-byte character after another down to SHALLOW
-    bytes. Deep: a blind trie for each group still tied there.
+    Shallow: multikey quicksort over 8-byte characters down to SHALLOW bytes. Deep: a blind trie for each group still tied there.
     """
     n = len(strings)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    head = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), np.uint8).reshape(n, SHALLOW)
-    characters = head.view(">u8").astype(np.uint64)
-    order = np.lexsort([characters[:, j] for j in range(SHALLOW // 8 - 1, -1, -1)])
+    head = np.frombuffer(b"".join([s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings]), np.uint8).reshape(n, SHALLOW)
+    order = multikey_quicksort(head.view(">u8").astype(np.uint64))
     differ = head[order][1:] != head[order][:-1]
     tied = np.concatenate([[False], ~differ.any(axis=1)])
     common = np.concatenate([[0], differ.argmax(axis=1)])
     first = np.flatnonzero(~tied)
     last = np.concatenate([first[1:], [n]])
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        if b - a < 2:
+    some = last - first > 1
+    for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True):
+        if b - a == 2:  # one branch
+            x, y = strings[order[a]], strings[order[a + 1]]
+            if x > y:
+                order[a], order[a + 1] = order[a + 1], order[a]
+            common[a + 1] = _common(x, y)
             continue
         trie = BlindTrie(strings)
         for i in order[a:b].tolist():
@@ -254,16 +316,16 @@ def _ranks(strings: list[bytes]):
 
 
 def repeats(doc, lo, hi, at, contexts: list[bytes]):
-    """Intervals of documents covered by windows that also start earlier, among whole gram groups.
+    """Least and most distance left of the gram (most < 0: none) of the windows that also start earlier, and how many they are.
 
-    The arrays are ordered by (doc, at); contexts[i] holds the bytes from lo to hi + LENGTH.
+    The arrays hold whole grams and are ordered by (doc, at); contexts[i] holds the bytes from lo to hi + LENGTH.
     """
     left = at - lo
     least, most = at - hi, left  # how far left of the gram a window starts
     right_place, right_common = _ranks([c[k:] for c, k in zip(contexts, left.tolist(), strict=True)])
     left_place, left_common = _ranks([c[:k][::-1] for c, k in zip(contexts, left.tolist(), strict=True)])
     n = len(doc)
-    low, high = np.full(n, SPREAD), np.full(n, -1)
+    low, high, times = np.full(n, SPREAD), np.full(n, -1), np.zeros(n, np.int64)
     for o in range(SPREAD):
         act = np.flatnonzero((least <= o) & (o <= most))
         if len(act) < 2:
@@ -275,8 +337,32 @@ def repeats(doc, lo, hi, at, contexts: list[bytes]):
         again = act[(doc[act[first]][inverse] != doc[act]) | (at[act[first]][inverse] != at[act])]
         low[again] = np.minimum(low[again], o)
         high[again] = np.maximum(high[again], o)
+        times[again] += 1
+    return low, high, times
+
+
+def repeats_of(gram, doc, lo, hi, at, contexts: list[bytes]):
+    """Intervals (doc, start, stop) covered by windows that also start earlier, and whether all windows of a row do. Rows are whole grams."""
+    order = np.lexsort((at, doc))
+    first = order
+    count = np.unique(gram, return_inverse=True, return_counts=True)
+    if count[2].max() > MANY:  # equal contexts once, at their first place
+        seen: dict[tuple, int] = {}
+        big = count[2][count[1]] > MANY
+        owner = np.arange(len(gram))
+        for i in order[big[order]].tolist():
+            owner[i] = seen.setdefault((contexts[i], int(at[i] - lo[i])), i)
+        first = order[owner[order] == order]
+    else:
+        owner = np.arange(len(gram))
+    low, high, times = np.full(len(gram), 0), np.full(len(gram), -1), np.zeros(len(gram), np.int64)
+    low[first], high[first], times[first] = repeats(doc[first], lo[first], hi[first], at[first], [contexts[i] for i in first.tolist()])
+    copy = np.flatnonzero((owner != np.arange(len(gram))) & ((doc != doc[owner]) | (at != at[owner])))  # a repeated row is the same place
+    low[copy], high[copy], times[copy] = (at - hi)[copy], (at - lo)[copy], (hi - lo)[copy] + 1
+    twin = np.flatnonzero((owner != np.arange(len(gram))) & (doc == doc[owner]) & (at == at[owner]))
+    low[twin], high[twin], times[twin] = low[owner[twin]], high[owner[twin]], times[owner[twin]]
     hit = np.flatnonzero(high >= 0)
-    return doc[hit], (at - high)[hit], (at - low)[hit] + LENGTH
+    return doc[hit], (at - high)[hit], (at - low)[hit] + LENGTH, times == hi - lo + 1
 
 
 def _pack_batches(batches):
@@ -321,18 +407,12 @@ def _repeat_batches(batches):
     for t in _groups(batches, "gram"):
         gram, doc = t.column("gram").to_numpy(), t.column("doc_id").to_numpy()
         lo, hi, at = _placed(t.column("place").to_numpy())
-        contexts = t.column("context").to_pylist()
-        cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        a = 0
-        while a < len(gram):  # whole grams, about 20,000 contexts at a time
-            later = cuts[cuts >= a + WIDE]
-            b = int(later[0]) if len(later) else len(gram)
-            order = a + np.lexsort((at[a:b], doc[a:b]))
-            d, s, e = repeats(doc[order], lo[order], hi[order], at[order], [contexts[i] for i in order.tolist()])
+        for k in _whole_grams(gram):
+            a, b = int(k[0]), int(k[-1]) + 1
+            d, s, e, _ = repeats_of(gram[a:b], doc[a:b], lo[a:b], hi[a:b], at[a:b], t.column("context").slice(a, b - a).to_pylist())
             s, e, d = _merge(d, s, e)
             if len(d):
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc_id", "s", "e"])
-            a = b
 
 
 def _wide_repeats(contexts: DataFrame) -> DataFrame:
@@ -377,17 +457,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     empty table gives an empty one.
     """
     docs = shared.only(docs, "doc_id", "text")
-    found = docs.where("doc_id is not null").mapInArrow(_run_batches, "gram long, context long, doc_id long, place long")
-    by = Window.partitionBy("gram").orderBy("context", "doc_id", "place")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = (
-        found.withColumn("elsewhere", (F.lag("doc_id").over(by) != F.col("doc_id")) | (F.lag("place").over(by) != F.col("place")))
-        .withColumn("again", F.coalesce((F.lag("context").over(by) == F.col("context")) & F.col("elsewhere"), F.lit(False)) | F.col("context").isNull())
-        .withColumn("open", F.first("context").over(whole) != F.last("context").over(whole))
-        .where("again or open")
-        .select("gram", "doc_id", "place", "again")
-    )
-    seen = cut(seen)
+    found = docs.where("doc_id is not null").mapInArrow(_run_batches, "gram long, doc_id long, place long, again boolean")
+    times = F.count("*").over(Window.partitionBy("gram"))
+    seen = cut(found.withColumn("times", times).where("again or times > 1").drop("times"))
     start = F.shiftright("place", 31)
     stop = start + F.shiftright("place", 7).bitwiseAND((1 << 24) - 1) + LENGTH
     cuts = seen.where("again").select("doc_id", start.cast("int").alias("s"), stop.cast("int").alias("e"))
