@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,27 @@ def brute_repeats(texts):
     return out
 
 
+def test_hot_grams(spark):
+    """A line of all documents, long runs of one character and a hot gram in many contexts, with and without merging before the sort."""
+    rng = random.Random(13)
+    line = prose(rng, 30, "line")
+    rows = [(i, prose(rng, rng.randrange(1, 30)) + "\n" + line + "\n" + prose(rng, 3)) for i in range(700)] + [(1000 + i, "=" * (90 + 40 * i)) for i in range(20)] + [(2000, "ab" * 3000)]
+    got = {r[0]: tuple(r[1:5]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    want = brute_repeats(rows)
+    assert got == want
+    texts = dict(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts.keys()), pa.array(texts.values())], ["doc_id", "text"])
+    for many in (10**9, 256, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(suffixes, "MANY", many)
+            removed = Counter()
+            for out in suffixes._run_batches([batch]):
+                for doc, place, again in zip(*(out.column(c).to_pylist() for c in ("doc_id", "place", "again"))):
+                    lo, hi, _ = suffixes._placed(np.array([place]))
+                    removed[doc] += int(hi[0]) + 100 - int(lo[0]) if again else 0
+        assert {i: removed[i] for i in texts} == {i: w[1] for i, w in want.items()}
+
+
 @pytest.mark.parametrize("wide", [20_000, 2])
 def test_suffix_dedup_matches_brute_force(docs, texts, wide, monkeypatch):
     monkeypatch.setattr(suffixes, "WIDE", wide)
@@ -480,6 +502,60 @@ def test_decontamination_recall_does_not_fall_with_items(spark, n_items):
     assert want - got == set()
 
 
+@pytest.mark.parametrize("around", ["rare", "common"])
+def test_decontamination_recall_by_length(spark, around):
+    """Verbatim items of every length between words that no other document has, or that all have."""
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(3_000)]
+    items, rows, want, n = [], [], defaultdict(set), 0
+    for size in (1, 2, 3, 4, 6, 8, 11, 12, 15, 24, 48, 100):
+        for _ in range(30):
+            words = rng.choices(vocabulary, k=size)
+            items.append((n, " ".join(words)))
+            out = [f"rare{rng.randrange(10**9)}" for _ in range(150)] if around == "rare" else rng.choices(vocabulary[:500], k=150)
+            at = rng.randrange(150)
+            rows.append((n, " ".join(out[:at] + words + out[at:])))
+            want[size].add((n, n))
+            n += 1
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {size: len(own & got) / len(own) for size, own in want.items()}
+    assert all(recall[size] == 1 for size in (1, 2, 3, 4, 6, 8, 11)) and min(recall.values()) >= 0.9, recall
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every document against every item, at every window, by the common subsequence alone."""
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(800)]
+    items = [(k, rng.choices(vocabulary, k=rng.randrange(12, 70))) for k in range(40)] + [(90, rng.choices(vocabulary, k=5))]
+    rows = []
+    for i in range(120):
+        text = rng.choices(vocabulary, k=rng.randrange(5, 300))
+        words = list(rng.choice(items)[1])
+        for p in rng.sample(range(len(words)), int(len(words) * rng.choice([0, 0.1, 0.2, 0.3, 0.4, 0.6]))):
+            words[p] = rng.choice(vocabulary)
+        at = rng.randrange(len(text))
+        rows.append((i, text[:at] + words + text[at:]))
+    want = set()
+    for i, text in rows:
+        number = {w: j for j, w in enumerate(text)}
+        coded = np.array([number[w] for w in text])
+        for k, words in items:
+            own, n = [number.get(w, -1) for w in words], len(words)
+            if n < decontaminate.SHORT:
+                if any(coded[a : a + n].tolist() == own for a in range(len(text) - n + 1)):
+                    want.add((i, k))
+                continue
+            for a in range(0, len(text), decontaminate.HALF):
+                part = coded[max(0, a - n) : a + decontaminate.WINDOW + n]
+                share = decontaminate.common_subsequence(own, part) / n  # one sentence, so that it is its own answer
+                if share >= min(decontaminate.SURE, max(decontaminate.PARAPHRASE, decontaminate.ANSWER)):
+                    want.add((i, k))
+                    break
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
+
+
 def test_common_subsequence():
     rng = random.Random(10)
     for _ in range(30):
