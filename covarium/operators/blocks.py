@@ -32,6 +32,24 @@ def codes_of(seqs: list[str]) -> np.ndarray:
     return _CODE[raw].reshape(len(seqs), -1)
 
 
+def codes_in(column: pa.Array) -> np.ndarray:
+    """The same of an Arrow column of strings, from its bytes; sequences of several lengths raise."""
+    if column.null_count:
+        raise ValueError("an alignment has no null sequences")
+    width = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    if len(width) and (width != width[0]).any():
+        seqs = column.to_pylist()
+        if len(set(map(len, seqs))) > 1:
+            raise ValueError("sequences have several lengths; an alignment needs one")
+        return codes_of(seqs)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 2]
+    data = column.buffers()[2]
+    if data is None or not len(column) or not width[0]:
+        return np.zeros((len(column), 0), np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[0] + len(column) * int(width[0])]
+    return codes_of(column.to_pylist()) if (raw > 127).any() else _CODE[raw].reshape(len(column), -1)
+
+
 def one_hot(codes: np.ndarray, gap: bool = False, dtype=np.float32) -> np.ndarray:
     """(rows, positions * letters); with ``gap`` the gap is a letter of its own."""
     letters = 21 if gap else 20

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 
 from covarium.functions.encode import LETTERS
 from covarium.operators import freq
-from covarium.operators.filters import require_rectangular
 
 MOST_POSITIONS = 200
 
@@ -40,14 +39,18 @@ def pair_information(j_block: np.ndarray, fi: np.ndarray, fj: np.ndarray, tolera
 
 def direct_information(msa: DataFrame, weights: DataFrame | None = None, regularise: float = 0.5) -> DataFrame:
     """(i, j, di), i < j."""
-    length = require_rectangular(msa)
+    counts = freq.collected(msa, weights)
+    length = counts.length
     if length > MOST_POSITIONS:
         raise ValueError(f"an inverse for {length} positions is too large for the driver")
     n = length * LETTERS
     sums = np.zeros((length, LETTERS, n))
-    for r in freq._gram_parts(msa, weights, length).groupBy("i").applyInArrow(_sum_blocks, "i int, block binary").toLocalIterator():
+    for r in freq._gram_parts(msa, weights, counts).groupBy("i").applyInArrow(_sum_blocks, "i int, block binary").toLocalIterator():
         sums[r["i"]] = np.frombuffer(r["block"]).reshape(LETTERS, n)
-    share = sums.reshape(n, n) / freq.total_weight(msa, weights)
+    share = sums.reshape(n, n) / counts.total
+    for i in range(length):  # what comes before a position is not filled in
+        share[i * LETTERS : (i + 1) * LETTERS, : i * LETTERS] = 0
+    share = np.triu(share) + np.triu(share, 1).T
     q = freq.UNIFORM
     f1 = np.diag(share)
     back = np.full((n, n), q * q)

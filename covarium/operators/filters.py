@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covarium.functions import encode
+from covarium.operators.counts import letter_sums
 
 
 def require_rectangular(msa: DataFrame) -> int:
@@ -30,23 +31,19 @@ def by_sequence(msa: DataFrame, max_gaps: float = 0.2, reference: str | None = N
     return out
 
 
-def position_gaps(msa: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(pos, gap_fraction), weighted if ``weights(seq_id, w)`` is given and its sum is positive."""
-    rows = encode.cells(msa.select("seq_id", "seq"), gaps=True)
-    if weights is None:
-        return rows.groupBy("pos").agg(F.avg((F.col("code") == 0).cast("double")).alias("gap_fraction"))
-    rows = rows.join(weights.select("seq_id", "w"), "seq_id")
-    gap = (F.col("code") == 0).cast("double")
-    weighted = F.sum(F.col("w") * gap) / F.sum("w")
-    return rows.groupBy("pos").agg(F.when(F.sum("w") > 0, weighted).otherwise(F.avg(gap)).alias("gap_fraction"))
+def position_gaps(msa: DataFrame, weights: DataFrame | Column | None = None) -> DataFrame:
+    """(pos, gap_fraction), weighted if weights are given, as a table (seq_id, w) or a column of ``msa``, and their sum is positive."""
+    sums = letter_sums(msa, weights)
+    gap = lambda c: F.sum(F.when(F.col("code") == 0, F.col(c)).otherwise(0)) / F.sum(c)
+    return sums.groupBy("pos").agg(F.when(F.sum("s") > 0, gap("s")).otherwise(gap("n")).alias("gap_fraction"))
 
 
-def kept_positions(msa: DataFrame, max_gaps: float = 0.2, weights: DataFrame | None = None) -> list[int]:
+def kept_positions(msa: DataFrame, max_gaps: float = 0.2, weights: DataFrame | Column | None = None) -> list[int]:
     """Positions with fewer gaps: one number for each column of the alignment comes to the driver."""
     return [r["pos"] for r in position_gaps(msa, weights).where(F.col("gap_fraction") < max_gaps).select("pos").orderBy("pos").collect()]
 
 
-def by_position(msa: DataFrame, max_gaps: float = 0.2, weights: DataFrame | None = None) -> tuple[DataFrame, list[int]]:
+def by_position(msa: DataFrame, max_gaps: float = 0.2, weights: DataFrame | Column | None = None) -> tuple[DataFrame, list[int]]:
     keep = kept_positions(msa, max_gaps, weights)
     return msa.withColumn("seq", encode.pick(F.col("seq"), keep)), keep
 

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covarium.functions.encode import ALPHABET, BACKGROUND, LETTERS, cells
-from covarium.operators.blocks import codes_of, one_hot
-from covarium.operators.filters import require_rectangular
+from covarium.operators.blocks import codes_in, one_hot
+from covarium.operators.counts import Counts, by_position, collected, letter_sums, weighted
 
 UNIFORM = 1.0 / (LETTERS + 1)
 ROWS_A_GROUP = 50_000
 TILE_BYTES = 64 << 20
+BATCH_BYTES = 32 << 20
+STRIP = 8
 FAN = 32
 
 
@@ -25,26 +27,14 @@ def background_of(code: Column, background: tuple[float, ...] | float = BACKGROU
     return F.element_at(F.array(*[F.lit(q) for q in background]), code.cast("int"))
 
 
-def weighted(msa: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """(seq_id, seq, w); without weights all are 1."""
-    rows = msa.select("seq_id", "seq")
-    return rows.withColumn("w", F.lit(1.0)) if weights is None else rows.join(weights.select("seq_id", "w"), "seq_id")
+def freq1(msa: DataFrame, weights: DataFrame | Column | None = None, regularise: float = 0.0, background: tuple[float, ...] | float = UNIFORM) -> DataFrame:
+    """(pos, code, f), dense: (1 - regularise) * weighted share + regularise * background; gaps count in no letter.
 
-
-def freq1(msa: DataFrame, weights: DataFrame | None = None, regularise: float = 0.0, background: tuple[float, ...] | float = UNIFORM) -> DataFrame:
-    """(pos, code, f), dense: (1 - regularise) * weighted share + regularise * background; gaps count in no letter."""
-    length = require_rectangular(msa)
-    rows = weighted(msa, weights)
-    total = rows.agg(F.sum("w").alias("total"))
-    seen = cells(rows.select("seq_id", "seq", "w")).groupBy("pos", "code").agg(F.sum("w").alias("s"))
-    spark = msa.sparkSession
-    grid = spark.range(length).select(F.col("id").cast("int").alias("pos"), F.explode(F.sequence(F.lit(1), F.lit(LETTERS))).alias("code"))
-    share = F.coalesce(F.col("s") / F.col("total"), F.lit(0.0))
-    return (
-        grid.join(seen, ["pos", "code"], "left")
-        .crossJoin(F.broadcast(total))
-        .select("pos", "code", ((1 - regularise) * share + regularise * background_of(F.col("code"), background)).alias("f"))
-    )
+    One pass over the rows. ``weights`` are a table (seq_id, w), or a column of ``msa``, which saves the join.
+    """
+    grid = by_position(letter_sums(msa, weights)).select("pos", "total", "of", F.explode(F.sequence(F.lit(1), F.lit(LETTERS))).alias("code"))
+    share = F.coalesce(F.try_element_at("of", "code") / F.when(F.col("total") != 0, F.col("total")).otherwise(1.0), F.lit(0.0))
+    return grid.select("pos", "code", ((1 - regularise) * share + regularise * background_of(F.col("code"), background)).alias("f"))
 
 
 def freq0(f1: DataFrame) -> DataFrame:
@@ -93,22 +83,37 @@ def added(parts: DataFrame, by: list[str], groups: int, most: int) -> DataFrame:
     return parts
 
 
-def _gram_parts(msa: DataFrame, weights: DataFrame | None, length: int) -> DataFrame:
-    """(i, block): at most FAN partial sums for each position i, over groups of sequences, of w * x_i x'."""
-    rows = weighted(msa, weights)
-    groups = max(1, math.ceil(rows.count() / ROWS_A_GROUP))
-    tile = max(1, min(length, TILE_BYTES // (LETTERS * LETTERS * max(length, 1) * 8)))
+def tile_of(length: int) -> int:
+    """Positions whose sums with all others fit TILE_BYTES."""
+    return max(1, min(length, TILE_BYTES // (LETTERS * LETTERS * max(length, 1) * 8)))
+
+
+def add_products(total: np.ndarray, codes: np.ndarray, w: np.ndarray | None, at: int, stop: int) -> None:
+    """Add w * x_i x_j', for positions i from ``at`` to ``stop`` and all j >= i of the strip of i, to ``total``; what lies before stays 0."""
+    length = codes.shape[1]
+    step = max(64, BATCH_BYTES // (LETTERS * max(length, 1) * 8))
+    for a in range(0, len(codes), step):
+        x = one_hot(codes[a : a + step], dtype=np.float64)
+        for i in range(at, stop, STRIP):
+            j = min(i + STRIP, stop)
+            own = x[:, i * LETTERS : j * LETTERS]
+            total[(i - at) * LETTERS : (j - at) * LETTERS, i * LETTERS :] += (own if w is None else own * w[a : a + step, None]).T @ x[:, i * LETTERS :]
+
+
+def _gram_parts(msa: DataFrame, weights: DataFrame | Column | None, counts: Counts) -> DataFrame:
+    """(i, block): at most FAN partial sums for each position i, over groups of sequences, of w * x_i x_j' with j >= i."""
+    length = counts.length
+    groups = max(1, math.ceil(counts.rows / ROWS_A_GROUP))
+    tile = tile_of(length)
     tiles = math.ceil(max(length, 1) / tile)
-    dealt = rows.select("seq", "w", F.pmod(F.xxhash64("seq_id"), F.lit(groups)).cast("long").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    dealt = weighted(msa, weights).select("seq", "w", F.pmod(F.xxhash64("seq_id"), F.lit(groups)).cast("long").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
 
     def run(t: pa.Table) -> pa.Table:
         at = t.column("tile")[0].as_py() * tile
         stop = min(at + tile, length)
-        w, codes = t.column("w").to_numpy(), codes_of(t.column("seq").to_pylist())
         total = np.zeros(((stop - at) * LETTERS, length * LETTERS))
-        for a in range(0, len(w), 2048):
-            x = one_hot(codes[a : a + 2048], dtype=np.float64)
-            total += (x[:, at * LETTERS : stop * LETTERS] * w[a : a + 2048, None]).T @ x
+        for seq, w in zip(t.column("seq").chunks, t.column("w").chunks, strict=True):
+            add_products(total, codes_in(seq), w.to_numpy(), at, stop)
         blocks = [total[k * LETTERS : (k + 1) * LETTERS].tobytes() for k in range(stop - at)]
         part = t.column("part")[0].as_py()
         return pa.table({"i": pa.array(range(at, stop), pa.int32()), "part": pa.array([part] * (stop - at), pa.int64()), "block": pa.array(blocks, pa.binary())})
@@ -116,41 +121,48 @@ def _gram_parts(msa: DataFrame, weights: DataFrame | None, length: int) -> DataF
     return added(dealt.groupBy("part", "tile").applyInArrow(run, "i int, part long, block binary"), ["i"], groups, FAN).select("i", "block")
 
 
-def _by_position(parts: DataFrame, length: int, total: float, use, schema: str) -> DataFrame:
-    """Sum the parts of each position and hand (i, sums / total) to ``use``."""
+def _by_position(parts: DataFrame, counts: Counts, use, schema: str) -> DataFrame:
+    """Sum the parts of each position and hand (i, shares) to ``use``; shares with positions before i are not filled in."""
+    length, total = counts.length, counts.total
 
     def run(t: pa.Table) -> pa.Table:
-        s = sum(np.frombuffer(b) for b in t.column("block").to_pylist()).reshape(LETTERS, length, LETTERS)
-        return use(t.column("i")[0].as_py(), s / total)
+        s = np.zeros(LETTERS * length * LETTERS)
+        for b in t.column("block"):
+            s += np.frombuffer(b.as_buffer())
+        return use(t.column("i")[0].as_py(), s.reshape(LETTERS, length, LETTERS) / total)
 
     return parts.groupBy("i").applyInArrow(run, schema)
 
 
+def weights_of(f: np.ndarray) -> np.ndarray:
+    """``position_weights`` of an array (positions, LETTERS), under the natural background."""
+    q = np.array(BACKGROUND)[None, :]
+    ok = (f > 0) & (f < 1)
+    safe = np.where(ok, f, 0.5)
+    return np.where(ok, np.abs(np.log(safe * (1 - q) / ((1 - safe) * q))), 0.0)
+
+
 def _pair_background(i: int, length: int, background: np.ndarray) -> np.ndarray:
     out = np.broadcast_to((background[:, None] * background[None, :])[:, None, :], (LETTERS, length, LETTERS)).copy()
     out[:, i, :] = np.diag(background)
     return out
 
 
-def total_weight(msa: DataFrame, weights: DataFrame | None) -> float:
-    return float(weighted(msa, weights).agg(F.sum("w")).first()[0] or 1.0)
-
-
-def freq2(msa: DataFrame, weights: DataFrame | None = None, regularise: float = 0.0, background: float = UNIFORM) -> DataFrame:
+def freq2(msa: DataFrame, weights: DataFrame | Column | None = None, regularise: float = 0.0, background: float = UNIFORM) -> DataFrame:
     """(i, a, j, b, f), i <= j, of all letter pairs with f > 0."""
-    length = require_rectangular(msa)
-    q = np.full(LETTERS, background)
+    counts = collected(msa, weights)
+    length, q = counts.length, np.full(LETTERS, background)
 
     def use(i, f):
         f = (1 - regularise) * f + regularise * _pair_background(i, length, q)
-        f[:, :i] = 0
+        f[:, :i] = 0  # not filled in
         a, j, b = np.nonzero(f)
         return pa.table({"i": pa.array(np.full(len(a), i, np.int32)), "a": pa.array((a + 1).astype(np.int32)), "j": pa.array(j.astype(np.int32)), "b": pa.array((b + 1).astype(np.int32)), "f": pa.array(f[a, j, b])})
 
-    return _by_position(_gram_parts(msa, weights, length), length, total_weight(msa, weights), use, "i int, a int, j int, b int, f double")
+    return _by_position(_gram_parts(msa, weights, counts), counts, use, "i int, a int, j int, b int, f double")
 
 
-def pair_counts(msa: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def pair_counts(msa: DataFrame, weights: DataFrame | Column | None = None) -> DataFrame:
     """(i, a, j, b, s), i <= j: the same as a relational join of the cells of each sequence; for few positions."""
     own = cells(weighted(msa, weights))
     left = own.select("seq_id", F.col("pos").alias("i"), F.col("code").alias("a"), "w")

@@ -149,14 +149,18 @@ def pos_gap_fraction(spark, sf_dir):
 _W_SQL = "w AS (SELECT seq_id, 1.0 / (1 + seq_id % 7) AS w FROM msa)"
 
 
+def _simple_weight():
+    return 1.0 / (1 + F.col("seq_id") % 7)
+
+
 def _simple_weights(msa: DataFrame) -> DataFrame:
-    return msa.select("seq_id", (1.0 / (1 + F.col("seq_id") % 7)).alias("w"))
+    return msa.select("seq_id", _simple_weight().alias("w"))
 
 
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL} SELECT pos, round(sum(CASE WHEN code = 0 THEN w ELSE 0 END) / sum(w), 6) AS gap_fraction FROM cells JOIN w USING (seq_id) GROUP BY pos")
 def pos_gap_weighted(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return filters.position_gaps(msa, _simple_weights(msa)).select("pos", r6("gap_fraction"))
+    return filters.position_gaps(msa, _simple_weight()).select("pos", r6("gap_fraction"))
 
 
 _KEPT = "kept AS (SELECT pos FROM cells GROUP BY pos HAVING avg(CASE WHEN code = 0 THEN 1.0 ELSE 0.0 END) < 0.35)"
@@ -235,19 +239,19 @@ _UNIFORM = "1.0 / 21"
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_f1_sql('w', 0.0, _UNIFORM)} SELECT pos, code, round(f, 6) AS f FROM f1")
 def freq1(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return freq.freq1(msa, _simple_weights(msa)).select("pos", "code", r6("f"))
+    return freq.freq1(msa, _simple_weight()).select("pos", "code", r6("f"))
 
 
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_f1_sql('w', REG, _UNIFORM)} SELECT pos, code, round(f, 6) AS f FROM f1")
 def freq1_reg(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return freq.freq1(msa, _simple_weights(msa), REG).select("pos", "code", r6("f"))
+    return freq.freq1(msa, _simple_weight(), REG).select("pos", "code", r6("f"))
 
 
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_f1_sql('w', REG, _UNIFORM)} SELECT code, round(avg(f), 6) AS f FROM f1 GROUP BY code")
 def freq0(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return freq.freq0(freq.freq1(msa, _simple_weights(msa), REG)).select("code", r6("f"))
+    return freq.freq0(freq.freq1(msa, _simple_weight(), REG)).select("code", r6("f"))
 
 
 _F1_NATURAL = _f1_sql("w", REG, _NATURAL)
@@ -257,7 +261,7 @@ _WIA = f"wia AS (SELECT pos, code, f, CASE WHEN f > 0 AND f < 1 THEN abs(ln(f *
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_F1_NATURAL}, {_WIA} SELECT pos, code, round(w, 6) AS w, round(d, 6) AS d FROM wia")
 def pos_weights(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return freq.position_weights(freq.freq1(msa, _simple_weights(msa), REG, BACKGROUND)).select("pos", "code", r6("w"), r6("d"))
+    return freq.position_weights(freq.freq1(msa, _simple_weight(), REG, BACKGROUND)).select("pos", "code", r6("w"), r6("d"))
 
 
 _DI = (
@@ -269,7 +273,7 @@ _DI = (
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_F1_NATURAL}, {_DI} SELECT pos, round(di, 6) AS di FROM di")
 def conservation_di(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return freq.conservation(freq.freq1(msa, _simple_weights(msa), REG, BACKGROUND)).select("pos", r6("di"))
+    return freq.conservation(freq.freq1(msa, _simple_weight(), REG, BACKGROUND)).select("pos", r6("di"))
 
 
 _TEXT_PAIRS = "pc AS (SELECT a.pos AS i, a.code AS a, b.pos AS j, b.code AS b, sum(w) AS s FROM cells a JOIN cells b USING (seq_id) JOIN w USING (seq_id) WHERE a.pos <= b.pos AND a.code > 0 AND b.code > 0 GROUP BY 1, 2, 3, 4)"
@@ -278,13 +282,13 @@ _TEXT_PAIRS = "pc AS (SELECT a.pos AS i, a.code AS a, b.pos AS j, b.code AS b, s
 @query(f"{_WITH_VECTORS}, {_CELLS}, {_W_SQL}, {_TEXT_PAIRS} SELECT CAST(i AS INTEGER) AS i, CAST(a AS INTEGER) AS a, CAST(j AS INTEGER) AS j, CAST(b AS INTEGER) AS b, round(s, 6) AS s FROM pc")
 def freq2_counts(spark, sf_dir):
     msa = vectors(spark, sf_dir)
-    return freq.pair_counts(msa, _simple_weights(msa)).select("i", "a", "j", "b", r6("s"))
+    return freq.pair_counts(msa, _simple_weight()).select("i", "a", "j", "b", r6("s"))
 
 
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_TEXT_PAIRS} SELECT CAST(i AS INTEGER) AS i, CAST(a AS INTEGER) AS a, CAST(j AS INTEGER) AS j, CAST(b AS INTEGER) AS b, round(s / t, 6) AS f FROM pc, (SELECT sum(w) AS t FROM w)")
 def freq2(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return freq.freq2(msa, _simple_weights(msa)).select("i", "a", "j", "b", r6("f"))
+    return freq.freq2(msa, _simple_weight()).select("i", "a", "j", "b", r6("f"))
 
 
 _CSCA = f"""{_f1_sql('w', REG, _UNIFORM, 'fu')}, {_F1_NATURAL}, {_WIA}, {_TEXT_PAIRS}, tot AS (SELECT sum(w) AS t FROM w),
@@ -296,7 +300,7 @@ _COUPLED = f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_CSCA}"
 
 def _text_coupling(spark, sf_dir) -> DataFrame:
     msa = texts(spark, sf_dir)
-    return coupling.coupling(msa, _simple_weights(msa))
+    return coupling.coupling(msa, _simple_weight())
 
 
 @query(f"{_COUPLED} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(c, 6) AS c FROM csca")
@@ -307,7 +311,7 @@ def csca_frob(spark, sf_dir):
 @query()
 def csca_spec(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return coupling.coupling(msa, _simple_weights(msa), "spec").select("i", "j", r6("c"))
+    return coupling.coupling(msa, _simple_weight(), "spec").select("i", "j", r6("c"))
 
 
 @query(f"{_COUPLED} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN j - i <= 5 THEN 0 ELSE c END, 6) AS c FROM csca")
@@ -348,13 +352,13 @@ _PROJ = f"{_f1_sql('w', REG, _UNIFORM, 'fu')}, {_F1_NATURAL}, {_WIA}, raw AS (SE
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_PROJ} SELECT CAST(pos AS INTEGER) AS pos, CAST(code AS INTEGER) AS code, round(p, 6) AS p FROM proj")
 def projector(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return coupling.projector(msa, _simple_weights(msa)).select("pos", "code", r6("p"))
+    return coupling.projector(msa, _simple_weight()).select("pos", "code", r6("p"))
 
 
 @query(f"{_WITH_VECTORS}, {_CELLS}, {_W_SQL}, {_GRID}, {_PROJ} SELECT seq_id, CAST(pos AS INTEGER) AS pos, round(p, 6) AS x FROM cells JOIN proj USING (pos, code)")
 def proj_alg(spark, sf_dir):
     msa = vectors(spark, sf_dir)
-    return coupling.project(msa, coupling.projector(msa, _simple_weights(msa))).select("seq_id", "pos", r6("x"))
+    return coupling.project(msa, coupling.projector(msa, _simple_weight())).select("seq_id", "pos", r6("x"))
 
 
 _BENCH = TEXT_SQL.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark").replace("concat_ws('|', source || '/' || item_id, lang, k)", "''")
@@ -368,7 +372,7 @@ def _benchmark(spark, sf_dir) -> DataFrame:
 @query(f"{_WITH_TEXT}, {_CELLS}, {_W_SQL}, {_GRID}, {_PROJ}, other AS ({_BENCH}), oc AS (SELECT seq_id, pos, instr('{ALPHABET}', substr(seq, pos + 1, 1)) AS code FROM (SELECT *, unnest(range(60)) AS pos FROM other)) SELECT seq_id, CAST(pos AS INTEGER) AS pos, round(p, 6) AS x FROM oc JOIN proj USING (pos, code)")
 def proj_other_alg(spark, sf_dir):
     msa = texts(spark, sf_dir)
-    return coupling.project(_benchmark(spark, sf_dir), coupling.projector(msa, _simple_weights(msa))).select("seq_id", "pos", r6("x"))
+    return coupling.project(_benchmark(spark, sf_dir), coupling.projector(msa, _simple_weight())).select("seq_id", "pos", r6("x"))
 
 
 # --- joins, counts and statistics -------------------------------------------------------------------
