@@ -72,12 +72,24 @@ def pick(seq: Column, positions: list[int]) -> Column:
 
 
 def header_fields(hd: Column, delim: str = "|") -> Column:
-    """Fields of a header; a delimiter inside braces does not split."""
-    hidden = "\u0001"
-    inside = F.regexp_extract_all(hd, F.lit(r"(\{[^{}]*\}|[^{}]+)"), F.lit(1))
-    kept = F.array_join(F.transform(inside, lambda x: F.when(x.startswith("{"), F.replace(x, F.lit(delim), F.lit(hidden))).otherwise(x)), "")
-    quoted = "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in delim)
-    return F.transform(F.split(kept, quoted), lambda x: F.replace(x, F.lit(hidden), F.lit(delim)))
+    """Fields of a header; a delimiter inside braces does not split.
+
+    The n-th field with an opening brace is joined with all up to the n-th one with a closing brace; braces without a
+    partner stay as they are, and a closing one before its opening one leaves an empty field there.
+    """
+    fields = F.split(hd, "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in delim))
+    places = lambda f, brace: F.filter(F.sequence(F.lit(1), F.size(f)), lambda i: F.contains(F.element_at(f, i), F.lit(brace)))
+    pairs = F.filter(F.zip_with(places(fields, "{"), places(fields, "}"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    start = F.struct(fields.alias("f"), F.lit(0).alias("gone"))
+
+    def join(s, p):
+        a, b = p["a"] - s["gone"], p["b"] - s["gone"]
+        size = F.size(s["f"])
+        middle = F.array_join(F.slice(s["f"], a, F.greatest(b - a + 1, F.lit(0))), delim)
+        rest = F.slice(s["f"], F.least(F.greatest(b + 1, a), size + 1), F.greatest(size - F.greatest(b, a - 1), F.lit(0)))
+        return F.struct(F.concat(F.slice(s["f"], F.lit(1), a - 1), F.array(middle), rest).alias("f"), (s["gone"] + p["b"] - p["a"]).alias("gone"))
+
+    return F.aggregate(pairs, start, join, lambda s: s["f"])
 
 
 def first_token(hd: Column) -> Column:

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
+from covarium.functions.settle import settle
+
+
+def offsets(rows: DataFrame, at: str) -> DataFrame:
+    """(_part, _before): the rows before each partition of ``monotonically_increasing_id`` numbers; one row for each partition."""
+    counts = rows.groupBy(F.shiftright(at, 33).alias("_part")).agg(F.count("*").alias("_n"))
+    return counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
 
 
 def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """``rows`` with ``name`` = 0, 1, 2, ... by ascending ``key`` (a long; ties get numbers in any order).
+    """``rows`` with ``name`` = 0, 1, 2, ... by ascending ``key`` (ties get numbers in any order).
 
-    The key's range is cut into equal slices; a slice's first number is the count of all before it
-    (a running sum over at most SLICES + 1 counts), and only inside a slice rows are sorted.
+    Rows are dealt to ranges of about equal counts, whatever the keys' distribution, and sorted inside them; a range's first
+    number is the count of all before it.
     """
-    ends = rows.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    width = F.floor((F.col("_high").cast("decimal(38,0)") - F.col("_low")) / SLICES).cast("long") + 1
-    cut = rows.crossJoin(F.broadcast(ends)).withColumn("_slice", F.expr(f"({key} - _low)") / width).withColumn("_slice", F.floor("_slice")).drop("_low", "_high")
-    counts = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_slice").orderBy(key)) - 1
-    return cut.join(F.broadcast(before), "_slice").withColumn(name, (F.col("_before") + own).cast("long")).drop("_slice", "_before")
+    dealt = settle(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    own = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return dealt.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets(dealt, "_at")), "_part").withColumn(name, (F.col("_before") + own).cast("long")).drop("_part", "_before", "_at")

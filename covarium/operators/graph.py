@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; where none is set, a shuffle-backed cache stands in."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    df = df.cache()
-    df.count()
-    return df
+from covarium.functions.settle import settle
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None, rounds: int = 100) -> DataFrame:
@@ -23,13 +16,13 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None,
     """
     by = by or []
     both = edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = _cut(both)
+    both = settle(both)
     labels = nodes.select(*by, "node", F.col("node").alias("component")).distinct()
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("component").alias("near"))
         hooked = labels.join(around, [*by, "node"], "left").select(*by, "node", "component", F.least("component", "near").alias("low"))
         jump = hooked.select(*by, F.col("node").alias("low"), F.col("low").alias("further"))
-        moved = _cut(hooked.join(jump, [*by, "low"], "left").select(*by, "node", "component", F.least("low", "further").alias("new")))
+        moved = settle(hooked.join(jump, [*by, "low"], "left").select(*by, "node", "component", F.least("low", "further").alias("new")))
         changed = moved.where("component <> new").limit(1).count()
         labels = moved.select(*by, "node", F.col("new").alias("component"))
         if not changed:
@@ -49,7 +42,7 @@ def contact_edges(distances: DataFrame, limit: float) -> DataFrame:
 
 
 def connectivity(modes: DataFrame, k: int, distances: DataFrame, limits: list[float] | None = None, contact: float = 5.0) -> DataFrame:
-    """(eps, largest, total): of the positions that mode k leads with a value above eps, those in the largest contact component."""
+    """(eps, largest, total): of the positions that mode k leads with a value above eps, those in the largest contact component; 0 for an empty group."""
     limits = limits or [round(0.5 - 0.01 * x, 2) for x in range(50)]
     others = modes.where(F.col("k") != k).groupBy("pos").agg(F.max("v").alias("other"))
     lead = modes.where(F.col("k") == k).join(others, "pos", "left").where((F.col("v") > F.coalesce(F.greatest("other", F.lit(0.0)), F.lit(0.0))) & (F.col("v") > min(limits)))
@@ -58,7 +51,15 @@ def connectivity(modes: DataFrame, k: int, distances: DataFrame, limits: list[fl
     nodes = lead.select("pos", "v").crossJoin(F.broadcast(eps)).where("v > eps").select("eps", F.col("pos").alias("node"))
     edges = contact_edges(distances, contact)
     inside = edges.join(nodes.select("eps", F.col("node").alias("a")), "a").join(nodes.select("eps", F.col("node").alias("b")), ["eps", "b"]).select("eps", "a", "b")
-    return largest_component(nodes, inside, ["eps"])
+    found = largest_component(nodes, inside, ["eps"])
+    return eps.join(found, "eps", "left").select("eps", F.coalesce("largest", F.lit(0)).alias("largest"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def connected_groups(groups: DataFrame, distances: DataFrame, contact: float) -> DataFrame:
+    """(k, connected): whether the positions of each of ``groups(k, node)`` are one component."""
+    edges = contact_edges(distances, contact)
+    inside = edges.join(groups.select("k", F.col("node").alias("a")), "a").join(groups.select("k", F.col("node").alias("b")), ["k", "b"]).select("k", "a", "b")
+    return largest_component(groups.select("k", "node"), inside, ["k"]).select("k", (F.col("largest") == F.col("total")).alias("connected"))
 
 
 def is_connected(nodes: DataFrame, distances: DataFrame, contact: float) -> bool:

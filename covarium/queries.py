@@ -499,11 +499,17 @@ def matrix_summary(spark, sf_dir):
     return s.select(r6("min"), r6("max"), (F.round("mean", 4) + 0.0).alias("mean"), (F.round("std", 4) + 0.0).alias("std"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND o_orderpriority = '1-URGENT'), both_ AS (SELECT 'c' || a AS a, 's' || b AS b FROM e UNION SELECT 's' || b, 'c' || a FROM e), n AS (SELECT DISTINCT a AS node FROM both_), reach AS (SELECT node, node AS other FROM n UNION SELECT reach.node, both_.b FROM reach JOIN both_ ON both_.a = reach.other), c AS (SELECT node, min(other) AS component FROM reach GROUP BY node) SELECT max(k) AS largest, CAST(sum(k) AS BIGINT) AS total FROM (SELECT component, count(*) AS k FROM c GROUP BY 1)")
+_ORDERED = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+_STEPS = ", ".join(
+    f"c{k} AS (SELECT e.a, min(s{k - 1}.c) AS c FROM e JOIN s{k - 1} ON s{k - 1}.b = e.b GROUP BY e.a), s{k} AS (SELECT e.b, min(c{k}.c) AS c FROM e JOIN c{k} ON c{k}.a = e.a GROUP BY e.b)" for k in range(1, 9)
+)
+
+
+@query(f"WITH {_ORDERED}, s0 AS (SELECT b, min(a) AS c FROM e GROUP BY b), {_STEPS}, n AS (SELECT c FROM c8 UNION ALL SELECT c FROM s8) SELECT max(k) AS largest, CAST(sum(k) AS BIGINT) AS total FROM (SELECT c, count(*) AS k FROM n GROUP BY c)")
 def largest_component(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
-    e = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    """Customers and the suppliers of their orders; in SQL labels go sixteen links far, further than any chain of these tables."""
+    lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    e = lines.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     return graph.largest_component(nodes, e)
 
@@ -538,7 +544,7 @@ def independent_components(spark, sf_dir):
 @query()
 def null_spectra(spark, sf_dir):
     msa = vectors(spark, sf_dir)
-    s = null_model.random_spectra(msa.select("seq_id", "hd", "seq"), vector_weights(msa), trials=4)
+    s = null_model.random_spectra(msa.select("seq_id", "hd", "seq"), vector_weights(msa), trials=10)
     return s.select("trial", "mode", r6("eigval"))
 
 
@@ -553,12 +559,6 @@ def best_match(spark, sf_dir):
     return reference.search(parts, _first_sequence(parts)).select("seq_id", r6("score"))
 
 
-@query()
-def weighted_sample(spark, sf_dir):
-    w = _simple_weights(texts(spark, sf_dir))
-    return sampling.weighted_sample(w, 1000, seed=3)
-
-
 @query()
 def precluster(spark, sf_dir):
     return sampling.precluster(vectors(spark, sf_dir).select("seq_id", "hd", "seq"), 0.3, 0.5)
@@ -568,7 +568,7 @@ def precluster(spark, sf_dir):
 def sca_sectors(spark, sf_dir):
     """All three pipelines over the vectors, to their sectors."""
     msa = vectors(spark, sf_dir).select("seq_id", "hd", "seq")
-    out = pipeline.run_sca(msa, pipeline.Preprocess(max_sequence_gaps=0.2, min_identity=0.05, max_identity=0.9, weight_identity=IDENTITY), pipeline.Core(trials=4, sequence_space=False), pipeline.SectorRule(modes=4))
+    out = pipeline.run_sca(msa, pipeline.Preprocess(max_sequence_gaps=0.2, min_identity=0.05, max_identity=0.9, weight_identity=IDENTITY), pipeline.Core(), pipeline.SectorRule())
     return out["sector"]["labelled"].select("k", "rank", "pos", "label", r6("v"))
 
 

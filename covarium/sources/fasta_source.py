@@ -23,6 +23,12 @@ class FastaReader(DataSourceReader):
         return [FastaPartition(p, k << 40) for k, p in enumerate(self.paths)]
 
     def read(self, partition):
+        for n, hd, seq in self._records(partition):
+            if not seq:
+                raise ValueError(f"a record has no sequence: {hd}")
+            yield n, hd, seq
+
+    def _records(self, partition):
         opener = gzip.open if partition.path.endswith(".gz") else open
         hd, parts, n = None, [], partition.first
         with opener(partition.path, "rt") as lines:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covarium.functions.numbering import numbered
+from covarium.functions.numbering import numbered, offsets
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,14 +40,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Row numbers from 0 in the order of ``_at``: counts for each partition of the scan, then an offset, no global sort."""
-    part = F.shiftright("_at", 33)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
-    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     own = Window.partitionBy("_part").orderBy("_at")
     return (
-        rows.withColumn("_part", part)
+        rows.withColumn("_part", F.shiftright("_at", 33))
         .withColumn("_own", F.row_number().over(own) - 1)
-        .join(F.broadcast(before), "_part")
+        .join(F.broadcast(offsets(rows, "_at")), "_part")
         .select((F.col("_before") + F.col("_own")).cast("long").alias("seq_id"), "hd", "seq")
     )
 

@@ -83,8 +83,8 @@ def test_network_and_script(spark):
     assert rows(writers.network_edges(c, labels, 1.0), "value") == [("10 aa 11",), ("11",), ("12",)]
     assert rows(writers.network_edge_attributes(c, labels), "value")[0] == ("10 (aa) 11 = 2.0000",)
     named = spark.createDataFrame([(0, 0, "10"), (0, 1, "11"), (1, 0, "12")], "k int, rank int, label string")
-    script = writers.structure_script(named, "1abc")
-    assert "(resi 10+11)" in script and "sector2" in script
+    script = [r[1] for r in rows(writers.structure_script(named), "line")]
+    assert script == ["select sector1, chain A and resi 10+11", "color 0xff0000, sector1", "show sticks, sector1", "select sector2, chain A and resi 12", "color 0x00ffff, sector2", "show sticks, sector2"]
     modes = spark.createDataFrame([(p, k, 0.1 * p) for p in range(3) for k in range(3)], "pos int, k int, v double")
     di = spark.createDataFrame([(p, 1.0) for p in range(3)], "pos int, di double")
     nodes = writers.network_nodes(labels, di, spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "pos int, k int"), modes)
