@@ -10,8 +10,8 @@ cross-colour, subtract-green and palette transforms. ``encode`` can write all of
 * *words*: four bytes are a pixel (green, red, blue, alpha); back-references and a colour cache.
 
 Every file has prefix codes of its own. All are read back by one decoder: ``_opened`` reads what comes before
-the pixels, ``_pixels`` the pixels of one image, or ``_together`` those of many images at once, a symbol of each
-in a step, where no cache is in use, and ``_inverted`` undoes the transforms.
+the pixels, ``_pixels`` the pixels, or ``_greens`` those of an image whose other channels are constant and that has no
+cache, and ``_inverted`` undoes the transforms.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import functools
 import hashlib
 import zlib
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -132,23 +131,37 @@ class PrefixCode:
         self.bits[used] = back[first - span]
 
     @functools.cached_property
-    def table(self) -> list[tuple[int, int]]:
-        return list(zip(self.takes.tolist(), self.gives.tolist(), strict=True))
+    def table(self) -> list[int]:
+        """For the next ``most`` bits: the symbol times 16 plus the length of its code."""
+        return (self.gives << 4 | self.takes).tolist()
 
     def read(self, r: Reader) -> int:
-        n, symbol = self.table[r.peek(self.most)]
-        r.read(n)
-        return symbol
+        if r.have < self.most:
+            r._fill()
+        found = self.table[r.held & ((1 << self.most) - 1)]
+        n = found & 15
+        r.held >>= n
+        r.have -= n
+        return found >> 4
 
 
-def _read_code(r: Reader, alphabet: int) -> PrefixCode:
+@functools.lru_cache(maxsize=2048)
+def _lone(symbol: int, alphabet: int) -> PrefixCode:
     lengths = [0] * alphabet
+    lengths[symbol] = 1
+    return PrefixCode(lengths)
+
+
+def _read_code(r: Reader, alphabet: int) -> PrefixCode:
     if r.read(1):
         two, wide = r.read(1), r.read(1)
-        symbols = [r.read(8 if wide else 1)] + ([r.read(8)] if two else [])
-        for s in symbols:
-            lengths[s] = 1
+        first = r.read(8 if wide else 1)
+        if not two:
+            return _lone(first, alphabet)
+        lengths = [0] * alphabet
+        lengths[first] = lengths[r.read(8)] = 1
         return PrefixCode(lengths)
+    lengths = [0] * alphabet
     inner = [0] * 19
     for k in range(r.read(4) + 4):
         inner[LENGTH_ORDER[k]] = r.read(3)
@@ -158,9 +171,10 @@ def _read_code(r: Reader, alphabet: int) -> PrefixCode:
         if most > alphabet:
             raise ValueError("too many code lengths")
     code, s, last = PrefixCode(inner), 0, 8
+    read = code.read
     while s < alphabet and most:
         most -= 1
-        n = code.read(r)
+        n = read(r)
         if n < 16:
             lengths[s] = n
             s += 1
@@ -169,14 +183,15 @@ def _read_code(r: Reader, alphabet: int) -> PrefixCode:
         times, value = (3 + r.read(2), last) if n == 16 else (3 + r.read(3), 0) if n == 17 else (11 + r.read(7), 0)
         if s + times > alphabet:
             raise ValueError("code lengths overrun")
-        lengths[s : s + times] = [value] * times
+        if value:
+            lengths[s : s + times] = [value] * times
         s += times
     return PrefixCode(lengths)
 
 
 def _write_code(w: Writer, lengths: list[int]) -> PrefixCode:
     code = PrefixCode(lengths)
-    used = [s for s, n in enumerate(lengths) if n] or [0]
+    used = [s for s, n in enumerate(lengths) if n] or [0]  # without symbols any one does, for it takes no bits
     if len(used) <= 2 and used[-1] < 256 and all(lengths[s] in (0, 1) for s in used):
         w.write(1, 1)
         w.write(len(used) - 1, 1)
@@ -186,25 +201,20 @@ def _write_code(w: Writer, lengths: list[int]) -> PrefixCode:
         return code
     w.write(0, 1)
     parts: list[tuple[int, int, int]] = []  # symbol, extra bits and their number
-    for n, run in groupby(lengths):
-        left = len(list(run))
-        if n:
-            parts.append((n, 0, 0))
-            left -= 1
-        while left:
-            if n and left >= 3:
-                now = min(left, 6)
-                parts.append((16, now - 3, 2))
-            elif not n and left >= 11:
-                now = min(left, 138)
-                parts.append((18, now - 11, 7))
-            elif not n and left >= 3:
-                now = min(left, 10)
-                parts.append((17, now - 3, 3))
-            else:
-                now = 1
-                parts.append((n, 0, 0))
-            left -= now
+    after = 0
+    for s in [*used, len(lengths)]:
+        gap = s - after
+        while gap >= 11:
+            now = min(gap, 138)
+            parts.append((18, now - 11, 7))
+            gap -= now
+        if gap >= 3:
+            parts.append((17, gap - 3, 3))
+            gap = 0
+        parts += [(0, 0, 0)] * gap
+        if s < len(lengths):
+            parts.append((lengths[s], 0, 0))
+        after = s + 1
     count = [0] * 19
     for s, _, _ in parts:
         count[s] += 1
@@ -255,6 +265,10 @@ def _code_lengths(count: list[int], limit: int) -> list[int]:
         floor = max(2 * floor, min(c for c, _ in order))
 
 
+def _write_lone(w: Writer, symbol: int) -> None:
+    w.write(0b101 | symbol << 3, 11)
+
+
 def _prefix(value: int) -> tuple[int, int, int]:
     """Symbol, extra bits and their number for a length or distance of at least 1."""
     value -= 1
@@ -615,9 +629,9 @@ def encode(rgba: np.ndarray, transforms: tuple[int, ...] = (), mode: int | None
 # --- many payloads at once -------------------------------------------------------------------------
 
 UNIT = 64
-FEW = 48
 GREY_MATCH, WORD_MATCH = 6, 2
 CACHE_BITS = 6
+REPEATING = 0.4
 GREEN_LIMIT = 12
 MOST_COPY = 4_096
 
@@ -699,11 +713,19 @@ class Streams:
         else:
             seen, value = np.unique(px, return_inverse=True)
             bits = max(len(seen) - 1, 1).bit_length()
-        key = self.image[first]
-        for k in range(least):
+        key = value[first]
+        for k in range(1, least):
             key = key << bits | value[first + k]
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
+        if total > 1 << 20 or self.rows > 1 << 13:
+            key |= self.image[first] << bits * least
+        if total <= 1 << 20 and self.rows <= 1 << 13:  # one sort of image, hash and place; hashes of an image meet the same way in any batch
+            mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            joined = self.image[first].astype(np.uint64) << np.uint64(51) | mixed << np.uint64(20) | np.arange(len(first), dtype=np.uint64)
+            joined.sort()
+            order = (joined & np.uint64((1 << 20) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(key, kind="stable")
+        same = (key[order][1:] == key[order][:-1]) & (self.image[first[order[1:]]] == self.image[first[order[:-1]]])
         distance = np.zeros(total + 1, np.int64)
         distance[first[order[1:][same]]] = first[order[1:][same]] - first[order[:-1][same]]
         change = np.where(distance[1:] != distance[:-1], place, total)
@@ -733,8 +755,9 @@ class Streams:
         """The bits of the chosen images, each after its head."""
         if not chosen.any():
             return {}
-        sizes = [c.shape[1] for c in self.counts]
-        bits, lengths = ([np.zeros((self.rows, k), np.int64) for k in sizes] for _ in range(2))
+        tables = [np.zeros(c.shape, np.int32) for c in self.counts]  # code times 16 plus its length
+        several = [(c > 0).sum(axis=1) > 1 for c in self.counts]
+        lone = [c.argmax(axis=1).tolist() for c in self.counts]
         lead = np.zeros(self.rows, np.int64)
         for i in np.flatnonzero(chosen).tolist():
             w = heads[i]
@@ -743,50 +766,54 @@ class Streams:
                 w.write(self.cache_bits, 4)
             w.write(0, 1)  # one group of prefix codes
             for k, c in enumerate(self.counts):
-                code = _write_code(w, _code_lengths(c[i].tolist(), GREEN_LIMIT))
-                bits[k][i], lengths[k][i] = code.bits, code.lengths
+                if several[k][i] or lone[k][i] > 255:
+                    code = _write_code(w, _code_lengths(c[i].tolist(), GREEN_LIMIT))
+                    tables[k][i] = code.bits << 4 | code.lengths
+                else:
+                    _write_lone(w, lone[k][i])
             lead[i] = w.length()
         take = chosen[self.image]
         s = np.flatnonzero(self.start & take)
+        code = tables[0].ravel().take(self.image[s] * tables[0].shape[1] + self.main[s])
         each = np.zeros(len(self.px) + 1, np.int64)
-        each[s] = lengths[0][self.image[s], self.main[s]]
-        lit = self.lit[take[self.lit]]
-        own = self.image[lit]
-        channel = [((self.px[lit] >> shift) & 255).astype(np.int64) for shift in (16, 0, 24)]
-        more = [lengths[k + 1][own, c] for k, c in enumerate(channel)]
-        for m in more:
-            each[lit] += m
+        each[s] = code & 15
+        units = [(s, code)]  # pixel, and what it writes, in order
+        own = self.lit[take[self.lit]] if any(x.any() for x in several[1:4]) else np.zeros(0, np.int64)
+        for k, shift in enumerate((16, 0, 24)):
+            if len(own) and several[k + 1].any():
+                units.append((own, tables[k + 1].ravel().take(self.image[own] << 8 | ((self.px[own] >> shift) & 255).astype(np.int64))))
         mine = take[self.q]
-        q, far = self.q[mine], self.far[mine]
-        to, extras = self.image[q], [(self.n_extra[mine], self.n_bits[mine]), (bits[4][self.image[q], far], lengths[4][self.image[q], far]), (self.d_extra[mine], self.d_bits[mine])]
-        for _, m in extras:
-            each[q] += m
+        q = self.q[mine]
+        if len(q):
+            far = tables[4].ravel().take(self.image[q] * 40 + self.far[mine])
+            units += [(q, self.n_extra[mine] << 4 | self.n_bits[mine]), (q, far), (q, self.d_extra[mine] << 5 | self.d_bits[mine])]
+        fields = [4] * len(units)
+        if len(q):
+            fields[-1] = 5  # a distance has up to 18 extra bits
+        for (who, unit), field in zip(units[1:], fields[1:], strict=True):
+            each[who] += unit & ((1 << field) - 1)
         run = np.cumsum(each) - each
         at = self.at
         n_bytes = np.where(chosen, (run[at[1:]] - run[at[:-1]] + lead + 7) // 8, 0)
         base = np.cumsum(n_bytes) - n_bytes
-        shift = 8 * base + lead - run[at[:-1]]
-        where = run[:-1] + shift[self.image]
-        units = [(where[s], bits[0][self.image[s], self.main[s]])]
-        next_ = where[lit] + lengths[0][own, self.main[lit]]
-        for k, (c, m) in enumerate(zip(channel, more, strict=True)):
-            if m.any():
-                units.append((next_, bits[k + 1][own, c]))
-                next_ = next_ + m
-        next_ = where[q] + lengths[0][to, self.main[q]]
-        for value, m in extras:
-            units.append((next_, value))
-            next_ = next_ + m
-        total = int(n_bytes.sum()) + 4
-        body = np.zeros(total)
-        for place, value in units:
-            word = value << (place & 7)
-            for k in range(4):
-                part = (word >> (8 * k)) & 255
-                if k and not part.any():
-                    break
-                body += np.bincount((place >> 3) + k, weights=part, minlength=total)[:total]
-        raw = body.astype(np.uint8)
+        where = run[:-1] + (8 * base + lead - run[at[:-1]])[self.image]
+        total = int(n_bytes.sum()) + 8
+        low, high = np.zeros(total // 4 + 2, np.uint64), np.zeros(total // 4 + 2, np.uint64)
+        for (who, unit), field in zip(units, fields, strict=True):
+            place = where[who]
+            size = unit & ((1 << field) - 1)
+            some = np.flatnonzero(size)
+            if not len(some):
+                continue
+            place = place[some]
+            word = (unit[some] >> field).astype(np.uint64) << (place & 31).astype(np.uint64)
+            slot = place >> 5
+            first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            slot = slot[first]
+            low[slot] += np.add.reduceat(word & np.uint64(0xFFFFFFFF), first)
+            high[slot + 1] += np.add.reduceat(word >> np.uint64(32), first)
+            where[who] += size
+        raw = (low + high).astype("<u4").view(np.uint8)
         out = {}
         for i in np.flatnonzero(chosen).tolist():
             head = np.frombuffer(heads[i].bytes(), np.uint8)
@@ -813,6 +840,16 @@ def _filled(data: np.ndarray, offsets: np.ndarray, size: np.ndarray):
     return out, at
 
 
+def _repeating(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Share of each row's four-byte words that a cache of two to the CACHE_BITS of them would hold."""
+    word = data.view(np.uint32)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at) // 4)
+    slot = row << CACHE_BITS | (word * np.uint32(CACHE_FACTOR) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = (slot[order][1:] == slot[order][:-1]) & (word[order][1:] == word[order][:-1])
+    return np.bincount(row[order][1:][hit], minlength=len(at) - 1) / np.maximum(np.diff(at) // 4, 1)
+
+
 def _left(data: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Differences to the byte on the left, at the start of a line to the one above."""
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -840,17 +877,22 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     px = level(np.where(smooth[row], differ, grey))
     px |= np.where(smooth[row], 0, BLACK).astype(np.uint32)
     plain = Streams(px, at, width, GREY_MATCH)
-    wide, tall = sides(np.diff(at) // 4, UNIT // 4)
-    packed, at4 = _filled(grey, at, 4 * wide * tall)
-    four = packed.reshape(-1, 4).astype(np.uint32)
-    words = Streams(four[:, 3] << 24 | four[:, 1] << 16 | four[:, 0] << 8 | four[:, 2], at4 // 4, wide, WORD_MATCH, CACHE_BITS)
-    as_words = (words.cost() < plain.cost() + 32) & ~few & ~smooth
+    as_words = np.zeros(rows, bool)
+    may = np.flatnonzero(~few & ~smooth & (_repeating(grey, at) > REPEATING))
     out: dict[int, bytes] = {}
-    heads = {}
-    for i in np.flatnonzero(as_words).tolist():
-        heads[i] = _head(int(wide[i]), int(tall[i]), 1)
-        heads[i].write(0, 1)
-    out |= words.write(as_words, heads)
+    if len(may):
+        wide, tall = sides(np.diff(at)[may] // 4, UNIT // 4)
+        took = np.concatenate([grey[at[i] : at[i + 1]] for i in may.tolist()])
+        packed, at4 = _filled(took, np.concatenate([[0], np.cumsum(np.diff(at)[may])]), 4 * wide * tall)
+        four = packed.reshape(-1, 4).astype(np.uint32)
+        words = Streams(four[:, 3] << 24 | four[:, 1] << 16 | four[:, 0] << 8 | four[:, 2], at4 // 4, wide, WORD_MATCH, CACHE_BITS)
+        cheaper = words.cost() < plain.cost()[may] + 32
+        as_words[may[cheaper]] = True
+        heads = {}
+        for k in np.flatnonzero(cheaper).tolist():
+            heads[k] = _head(int(wide[k]), int(tall[k]), 1)
+            heads[k].write(0, 1)
+        out = {int(may[k]): f for k, f in words.write(cheaper, heads).items()}
     heads = {}
     for i in np.flatnonzero(~few & ~as_words).tolist():
         heads[i] = w = _head(int(width[i]), int(height[i]), 0)
@@ -892,24 +934,18 @@ def _palettes(grey, at, width, height, histogram, few) -> dict[int, bytes]:
 
 def decode_payloads(files: list[bytes]) -> list[bytes]:
     """The bytes that each file holds: the greens, or where the format's bit for alpha is set green, red, blue and alpha."""
-    opened = [_opened(f) for f in files]
-    lanes = [i for i, o in enumerate(opened) if not (o.image.cache_bits or o.image.groups_of or any(c.most for c in o.image.groups[0][1:4]))]
-    greens: dict[int, np.ndarray] = {}
-    entries, now = 0, []
-    for i in [*lanes, None]:  # bounded tables
-        if now and (i is None or entries > 1 << 22):
-            greens |= zip(now, _together([opened[k] for k in now]), strict=True)
-            entries, now = 0, []
-        if i is not None:
-            now.append(i)
-            entries += 1 << max(opened[i].image.groups[0][0].most, 4)
     out = []
-    for i, o in enumerate(opened):
-        if i in greens:
-            red, blue, alpha = (int(c.gives[0]) for c in o.image.groups[0][1:4])
-            argb = greens[i].astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
-        else:
+    for f in files:
+        o = _opened(f)
+        if o.image.cache_bits or o.image.groups_of or any(c.most for c in o.image.groups[0][1:4]):
             argb = np.array(_pixels(o.reader, o.image), np.uint32)
+        else:
+            greens = _greens(o)
+            if not o.transforms and not o.alpha:
+                out.append(greens)
+                continue
+            red, blue, alpha = (int(c.gives[0]) for c in o.image.groups[0][1:4])
+            argb = np.frombuffer(greens, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
         argb = _inverted(argb, o)
         if o.alpha:
             out.append(np.stack([(argb >> 8) & 255, (argb >> 16) & 255, argb & 255, argb >> 24], axis=-1).astype(np.uint8).tobytes())
@@ -918,124 +954,52 @@ def decode_payloads(files: list[bytes]) -> list[bytes]:
     return out
 
 
-def _together(opened: list[Opened]) -> list[np.ndarray]:
-    """The greens of images whose other channels are constant, one symbol of every image in a step."""
-    bodies = [o.reader.data for o in opened]
-    size = np.array([len(b) for b in bodies])
-    base = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(bodies) + b"\0" * 64, np.uint8).astype(np.uint64)
-    words = functools.reduce(np.bitwise_or, (data[k : len(data) - 7 + k] << np.uint64(8 * k) for k in range(8)))
-    del data
-    green, far = ([o.image.groups[0][k] for o in opened] for k in (0, 4))
-    tables = []
-    for codes in (green, far):
-        entry = np.array([len(c.takes) for c in codes])
-        tables.append((np.concatenate([c.gives << 4 | c.takes for c in codes]).astype(np.int32), np.cumsum(entry) - entry, (entry - 1).astype(np.uint64)))
-    (green_table, green_at, green_mask), (far_table, far_at, far_mask) = tables
-    width = np.array([o.image.width for o in opened])
-    total = np.array([o.image.width * o.image.height for o in opened])
-    near = np.array(NEAR)
-    lane = np.arange(len(opened))
-    at, done = 8 * base + [o.reader.position() for o in opened], np.zeros(len(opened), np.int64)
-    symbols: list[list[np.ndarray]] = [[] for _ in opened]
-    steps_before = np.zeros(len(opened), np.int64)
-    copies: list[tuple] = []
-    held: list[np.ndarray] = []
-    last = 8 * (len(words) - 32)  # images that are done may read on; none of their symbols count
-
-    def peek(where):
-        return words.take(where >> 3) >> (where & 7).astype(np.uint64)
-
-    def settle(keep):
-        nonlocal held, lane, at, done
-        if held:
-            grid = np.ascontiguousarray(np.stack(held, axis=1))
-            for k, own in zip(lane.tolist(), grid, strict=True):
-                symbols[k].append(own)
-            steps_before[lane] += len(held)
-            held = []
-        lane, at, done = lane[keep], at[keep], done[keep]
-
-    check = 0
-    while len(lane) > FEW:
-        ga, gm = green_at[lane], green_mask[lane]
-        while True:
-            found = green_table.take(ga + (peek(at) & gm).astype(np.int64))
-            at = at + (found & 15)
-            s = found >> 4
-            held.append(s.astype(np.uint16))
-            done += 1
-            if len(c := np.flatnonzero(s >= 256)):
-                pos, who = at[c], lane[c]
-                values = []
-                for own in (s[c] - 256, None):
-                    if own is None:
-                        entry = far_table.take(far_at[who] + (peek(pos) & far_mask[who]).astype(np.int64))
-                        pos, own = pos + (entry & 15), entry >> 4
-                    more = np.where(own < 4, 0, (own - 2) >> 1)
-                    extra = (peek(pos) & ((np.uint64(1) << more.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-                    values.append(np.where(own < 4, own, ((2 + (own & 1)) << more) + extra) + 1)
-                    pos = pos + more
-                n, d = values
-                step = near[np.minimum(d, 120) - 1]
-                d = np.where(d > 120, d - 120, np.maximum(step[:, 0] + step[:, 1] * width[who], 1))
-                copies.append((who, steps_before[who] + len(held) - 1, n, d))
-                at[c] = pos
-                done[c] += n - 1
-            at = np.minimum(at, last)
-            check += 1
-            if check % 16 == 0 and ((over := done >= total[lane]).mean() > 0.1 or len(lane) - over.sum() <= FEW):
-                settle(~over)
-                break
-    settle(np.ones(len(lane), bool))
-    listed: list[list[tuple[int, int, int]]] = [[] for _ in opened]
-    if copies:
-        who, step, n, d = (np.concatenate(x) for x in zip(*copies, strict=True))
-        for k, *copy in zip(who.tolist(), step.tolist(), n.tolist(), d.tolist(), strict=True):
-            listed[k].append(tuple(copy))
-    for k, where, have in zip(lane.tolist(), at.tolist(), done.tolist(), strict=True):
-        symbols[k].append(_rest(opened[k], where - 8 * int(base[k]), have, int(total[k]), int(steps_before[k]), listed[k]))
-    return [_expanded(np.concatenate(s).astype(np.uint8).tobytes(), own, int(n)) for s, own, n in zip(symbols, listed, total, strict=True)]
-
-
-def _rest(opened: Opened, where: int, have: int, total: int, step: int, copies: list) -> np.ndarray:
-    """The symbols from bit ``where`` on, one after another; back-references go to ``copies``."""
-    r = Reader(opened.reader.data)
-    r.at = where >> 3
-    r.read(where & 7)
-    green, far, width, out = opened.image.groups[0][0], opened.image.groups[0][4], opened.image.width, []
-    table, mask = green.table, (1 << green.most) - 1
-    while have < total:
-        if r.have < 16:
-            r._fill()
-        n, s = table[r.held & mask]
-        r.held >>= n
-        r.have -= n
-        out.append(s)
-        have += 1
-        if s >= 256:
-            length = _value(s - 256, r)
-            copies.append((step + len(out) - 1, length, _distance(_value(far.read(r), r), width)))
-            have += length - 1
-    return np.array(out, np.uint16)
-
-
-def _expanded(literals: bytes, copies: list[tuple[int, int, int]], total: int) -> np.ndarray:
-    """Literals and back-references (symbol number, length, distance) to ``total`` values."""
-    out, last = bytearray(), 0
-    for step, n, d in copies:
-        if len(out) + step - last >= total:
-            break
-        out += literals[last:step]
-        last = step + 1
-        if d > len(out):
+def _greens(opened: Opened) -> bytes:
+    """The pixels' greens, of an image whose other channels are constant, so that their codes take no bits."""
+    r, image = opened.reader, opened.image
+    green, far, width = image.groups[0][0], image.groups[0][4], image.width
+    table, mask, total, data = green.table, (1 << green.most) - 1, image.width * image.height, r.data
+    far_table, far_mask, spread = far.table, (1 << far.most) - 1, _extras()
+    out = bytearray()
+    literal = out.append
+    held, have, at, n = r.held, r.have, r.at, 0
+    while n < total:
+        if have < 64:  # enough for a whole back-reference
+            held |= int.from_bytes(data[at : at + 24], "little") << have
+            at += 24
+            have += 192
+        found = table[held & mask]
+        held >>= found & 15
+        have -= found & 15
+        if found < 4096:
+            literal(found >> 4)
+            n += 1
+            continue
+        least, extra = spread[(found >> 4) - 256]
+        length = least + (held & ((1 << extra) - 1))
+        held >>= extra
+        found = far_table[held & far_mask]
+        held >>= found & 15
+        least, more = spread[found >> 4]
+        d = least + (held & ((1 << more) - 1))
+        held >>= more
+        have -= extra + (found & 15) + more
+        d = d - 120 if d > 120 else _distance(d, width)
+        if d > n or n + length > total:
             raise ValueError("back-reference out of the image")
-        piece = bytes(out[-d : len(out) - d + n] if d > n else out[-d:])
-        out += piece if d >= n else (piece * (n // d + 1))[:n]
-    out += literals[last : last + max(total - len(out), 0)]
-    if len(out) != total:
-        raise ValueError("back-reference out of the image")
-    return np.frombuffer(bytes(out), np.uint8)
+        if d >= length:
+            out += out[n - d : n - d + length]
+        else:
+            piece = bytes(out[n - d :])
+            out += (piece * (length // d + 1))[:length]
+        n += length
+    return bytes(out)
+
+
+@functools.cache
+def _extras() -> list[tuple[int, int]]:
+    """Least value and number of extra bits of each length or distance symbol."""
+    return [(s + 1, 0) if s < 4 else (((2 + (s & 1)) << ((s - 2) >> 1)) + 1, (s - 2) >> 1) for s in range(40)]
 
 
 def _media_batches(batches):
