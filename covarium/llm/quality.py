@@ -1,11 +1,11 @@
 """Quality classification by hierarchical empirical Bayes.
 
 Evidence of a document is a log-odds from a logistic model of text features (quality) and from a
-lexicon of words (toxicity), both learned from a bounded sample of labelled rows. Hosts and the
-paths below them have Beta posteriors: a path's good share is shrunk towards its host's, a
+lexicon of words (toxicity), both learned from a bounded sample of labelled rows. Both go through the same hierarchy: hosts and the
+paths below them have Beta posteriors of their good and of their toxic share. A path's share is shrunk towards its host's, a
 host's towards the global one, with strengths found by moments from the grouped sums. A document's
 posterior odds are its own odds times the odds of its path (without the document itself) relative to the global odds.
-Sites with few documents thus stay at the global prior.
+Sites with few documents thus stay at the global prior, and where sites do not differ, so do all.
 
 The text is read twice, by the grouped sums and by the final scores; nothing but sums is shuffled.
 """
@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 from covarium.llm import shared
 from covarium.llm.shared import cut
 
-#: Labelled rows used for fitting, about; a toxic word needs so many toxic documents, such a share of them, and such log-odds.
+#: Labelled rows used for fitting, about; a toxic word needs so many toxic witnesses, such a share of them, and such log-odds.
+#: The lexicon holds all words that have these, at most the words of the sample's toxic documents divided by LEXICON_LEAST.
 SAMPLE = 20_000
-LEXICON_LEAST, LEXICON_SHARE, LEXICON_ODDS, LEXICON_WORDS = 3, 0.008, 3.9, 4_096
+LEXICON_LEAST, LEXICON_SHARE, LEXICON_ODDS = 3, 0.008, 3.9
 BROADCAST_PATHS = 200_000
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.98
 
@@ -127,11 +128,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def witnesses(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number for each row that near-copies of a text mostly share and other texts don't: two minima over its 5-word shingles."""
+    rows = len(offsets) - 1
+    _, _, row, h = shared.words(data, offsets)
+    row, h = shared.shingles(h, row, rows)
+    out = np.zeros(rows, np.uint64)
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        least = np.full(rows, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, row, shared.mix64(h + np.uint64(salt)))
+        out = shared.mix64(out * np.uint64(0x9E3779B97F4A7C15) + least)
+    return out
+
+
 def _sample_batches(batches):
     for batch in batches:
         data, offsets = shared.utf8(batch.column(1))
         for a, b in shared.row_chunks(offsets):
             x, n, key = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            witness = witnesses(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             counts = np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=b - a)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -139,8 +154,9 @@ def _sample_batches(batches):
                     batch.column(3).slice(a, b - a),
                     shared.list_array(x.ravel(), np.full(b - a, N_FEATURES), pa.float64()),
                     shared.list_array((key & np.uint64((1 << 48) - 1)).view(np.int64), counts, pa.int64()),
+                    pa.array(witness.view(np.int64)),
                 ],
-                ["quality", "toxic", "x", "words"],
+                ["quality", "toxic", "x", "words", "witness"],
             )
 
 
@@ -153,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labels = labels.select("doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = labels.count()
     some = labels.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
-    picked = cut(shared.only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").where("length(text) > 0").mapInArrow(_sample_batches, "quality int, toxic int, x array<double>, words array<long>"))
+    picked = cut(shared.only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").where("length(text) > 0").mapInArrow(_sample_batches, "quality int, toxic int, x array<double>, words array<long>, witness long"))
     rows = picked.where("quality is not null").select("x", "quality").toArrow().combine_chunks()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES) if rows.num_rows else np.zeros((0, N_FEATURES))
     y = rows.column("quality").to_numpy().astype(float)
@@ -161,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(set(y.tolist())) == 2:
         mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         weights = logistic((x - mean) / scale, y)
-    # near-copies of one text are one witness: they mostly share the smallest hash among their words
-    marked = picked.where("toxic is not null and size(words) > 0").select("toxic", F.col("words")[0].alias("witness"), "words")
+    # near-copies of one text are one witness
+    marked = picked.where("toxic is not null and size(words) > 0").select("toxic", "witness", "words")
     totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.countDistinct("witness").alias("n")).collect()}
     bad, fine = totals.get(1, 0), totals.get(0, 0)
     lexicon, odds, prior = np.zeros(0, np.uint64), np.zeros(0), -4.0
@@ -170,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         seen = marked.select("toxic", "witness", F.explode("words").alias("w")).distinct()
         words = seen.groupBy("w").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("f"))
         ratio = F.log((F.col("b") + 0.5) / (bad + 1.0)) - F.log((F.col("f") + 0.5) / (fine + 1.0))
-        found = words.where(F.col("b") >= max(LEXICON_LEAST, LEXICON_SHARE * bad)).withColumn("odds", ratio).where(F.col("odds") >= LEXICON_ODDS).orderBy(F.desc("b"), "w").limit(LEXICON_WORDS).collect()
+        found = words.where(F.col("b") >= max(LEXICON_LEAST, LEXICON_SHARE * bad)).withColumn("odds", ratio).where(F.col("odds") >= LEXICON_ODDS).collect()
         lexicon = np.array([r["w"] for r in found], np.int64).view(np.uint64)
         odds = np.array([r["odds"] for r in found])
         order = np.argsort(lexicon)
@@ -203,23 +219,27 @@ def _chance(odds: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def _strength(groups: DataFrame, parent_mean: Column) -> float:
-    """Moment estimate of a Beta prior's strength: m (1 - m) / variance between the groups, less 1."""
-    m = F.least(F.greatest(parent_mean, F.lit(1e-4)), F.lit(1 - 1e-4))
-    seen = F.col("s") / F.col("n")
-    # the spread of means beyond what sampling explains, weighted by size
-    r = groups.agg(
-        F.sum(F.col("n") * (seen - m) * (seen - m)).alias("between"),
-        F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"),
-        F.sum("n").alias("n"),
-        F.count("*").alias("k"),
-        F.avg(m * (1 - m)).alias("full"),
-    ).first()
-    if not r["n"] or r["k"] < 2:
-        return 1e6
-    noise = r["within"] / max(r["n"] - r["k"], 1) * r["k"]
-    variance = max((r["between"] - noise) / r["n"], 1e-9)
-    return float(min(max(r["full"] / variance - 1, 1.0), 1e6))
+KINDS = ("good", "toxic")
+
+
+def _strengths(groups: DataFrame, parent_mean: dict[str, Column]) -> dict[str, float]:
+    """Moment estimates of each kind's Beta prior strength: m (1 - m) / variance between the groups, less 1."""
+    sums = [F.sum("n").alias("n"), F.count("*").alias("k")]
+    for kind in KINDS:
+        m = F.least(F.greatest(parent_mean[kind], F.lit(1e-4)), F.lit(1 - 1e-4))
+        s, seen = F.col(f"s_{kind}"), F.col(f"s_{kind}") / F.col("n")
+        # the spread of means beyond what sampling explains, weighted by size
+        sums += [F.sum(F.col("n") * (seen - m) * (seen - m)).alias(f"between_{kind}"), F.sum(F.col(f"q_{kind}") - s * s / F.col("n")).alias(f"within_{kind}"), F.avg(m * (1 - m)).alias(f"full_{kind}")]
+    r = groups.agg(*sums).first()
+    out = {}
+    for kind in KINDS:
+        if not r["n"] or r["k"] < 2:
+            out[kind] = 1e6
+            continue
+        noise = r[f"within_{kind}"] / max(r["n"] - r["k"], 1) * r["k"]
+        variance = max((r[f"between_{kind}"] - noise) / r["n"], 1e-9)
+        out[kind] = float(min(max(r[f"full_{kind}"] / variance - 1, 1.0), 1e6))
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
@@ -228,22 +248,24 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     ``host`` and ``path`` are string expressions of ``docs`` (by default source, and lang below it);
     nulls form a site of their own. Documents without words (null, empty or white texts) have p_quality 0, and are not kept
     nor counted for their site. Repeated rows are scored alike. Other columns of ``docs`` may have any names; those named as
-    columns of the result are replaced; an empty table gives an empty one. Without usable labels every document with words is kept.
+    columns of the result are replaced; an empty table gives an empty one. Very long texts are read whole. Without usable labels
+    every document with words is kept. Of repeated labels the lowest quality and the highest toxicity count.
     """
     host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit(""))
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit(""))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     slim = docs.select(host.alias("_host"), path.alias("_path"), "text").mapInArrow(_scores(model), "_host string, _path string, good double, toxic double, n long")
-    p = _chance(F.col("good"))
-    paths = cut(slim.where("n > 0").groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    whole = hosts.agg(F.sum("n"), F.sum("s")).first()
-    overall = float(whole[1] / whole[0]) if whole[0] else 0.5
-    host_strength = _strength(hosts, F.lit(overall))
-    hosts = hosts.select("_host", ((F.col("s") + host_strength * overall) / (F.col("n") + host_strength)).alias("_host_mean"))
+    chance = {kind: _chance(F.col(kind)) for kind in KINDS}
+    sums = [f(c).alias(f"{name}_{kind}") for kind, p in chance.items() for name, f, c in (("s", F.sum, p), ("q", F.sum, p * p))]
+    paths = cut(slim.where("n > 0").groupBy("_host", "_path").agg(F.count("*").alias("n"), *sums))
+    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), *[F.sum(f"{x}_{kind}").alias(f"{x}_{kind}") for kind in KINDS for x in "sq"])
+    whole = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"s_{kind}").alias(kind) for kind in KINDS]).first()
+    overall = {kind: float(whole[kind] / whole["n"]) if whole["n"] else 0.5 for kind in KINDS}
+    strong = _strengths(hosts, {kind: F.lit(overall[kind]) for kind in KINDS})
+    hosts = hosts.select("_host", *[((F.col(f"s_{kind}") + strong[kind] * overall[kind]) / (F.col("n") + strong[kind])).alias(f"_host_{kind}") for kind in KINDS])
     paths = paths.join(hosts, "_host")
-    path_strength = _strength(paths, F.col("_host_mean"))
-    prior = cut(paths.select("_host", "_path", F.col("n").alias("_n"), F.col("s").alias("_s"), "_host_mean"))
+    strong = _strengths(paths, {kind: F.col(f"_host_{kind}") for kind in KINDS})
+    prior = cut(paths.select("_host", "_path", F.col("n").alias("_n"), *[c for kind in KINDS for c in (F.col(f"s_{kind}").alias(f"_s_{kind}"), f"_host_{kind}")]))
     if prior.count() <= BROADCAST_PATHS:
         prior = F.broadcast(prior)
 
@@ -251,10 +273,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     whole_row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), host.alias("_host"), path.alias("_path"))
     schema = T.StructType([*whole_row.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("good", "toxic")), T.StructField("n", T.LongType())])
     scored = whole_row.mapInArrow(_scores(model, docs.columns.index("text")), schema)
-    own = _chance(F.col("good"))
-    mean = (F.col("_s") - own + path_strength * F.col("_host_mean")) / (F.col("_n") - 1 + path_strength)
-    base = float(np.log(max(overall, 1e-6) / max(1 - overall, 1e-6)))
-    out = scored.join(prior, ["_host", "_path"], "left").withColumn("p_quality", F.when(F.col("n") > 0, _chance(F.col("good") + _odds(mean) - base)).otherwise(0.0))
-    out = out.withColumn("p_toxic", F.when(F.col("n") > 0, _chance(F.col("toxic"))).otherwise(0.0))
+    out = scored.join(prior, ["_host", "_path"], "left")
+    for kind, name in zip(KINDS, ("p_quality", "p_toxic"), strict=True):
+        mean = (F.col(f"_s_{kind}") - chance[kind] + strong[kind] * F.col(f"_host_{kind}")) / (F.col("_n") - 1 + strong[kind])
+        p = min(max(overall[kind], 1e-6), 1 - 1e-6)
+        base = float(np.log(p / (1 - p)))
+        out = out.withColumn(name, F.when(F.col("n") > 0, _chance(F.col(kind) + _odds(mean) - base)).otherwise(0.0))
     kept = (F.col("p_quality") >= KEEP_QUALITY) & (F.col("p_toxic") < KEEP_TOXIC)
     return out.select("_doc.*", "p_quality", "p_toxic", kept.alias("kept"))
