@@ -97,11 +97,15 @@ def mix(
     none of a tie that would pass the budget. An empty table gives an empty one.
     """
     named = {f"_{k}": F.coalesce(levels[k].cast("string"), F.lit("")) for k in LEVELS}
-    extra = [F.col(c) for c in keep]
-    rows = docs.select(F.struct(*extra).alias("_kept"), F.col("doc_id").alias("_id"), tokens_of(F.col("text")).alias("_tokens"), *[c.alias(k) for k, c in named.items()]).where("_tokens > 0")
     key = [f"_{k}" for k in LEVELS]
-
-    supply = cut(rows.groupBy(*key).agg(F.sum("_tokens").alias("supply")))
+    slim = [F.col("doc_id").alias("_id"), tokens_of(F.col("text")).alias("_tokens"), *[c.alias(k) for k, c in named.items()]]
+    counted = cut(docs.select(*slim).where("_tokens > 0"))  # texts are read once for all counts
+    if keep == ("doc_id",):
+        rows = counted.withColumn("_kept", F.struct(F.col("_id").alias("doc_id")))
+    else:
+        rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_kept"), *slim).where("_tokens > 0")
+
+    supply = cut(counted.groupBy(*key).agg(F.sum("_tokens").alias("supply")))
     leaves = supply.select(*[F.col(f"_{k}").alias(k) for k in LEVELS], "supply")
     leaves = leaves.select("*", *[weights[k].cast("long").alias(f"w_{k}") for k in LEVELS])
     plan = plan_leaves(leaves, budget, max_epochs)
@@ -115,7 +119,7 @@ def mix(
     # Tokens of each slice of the last epoch's order, and the slice in which a leaf's rest ends.
     order = seeded(seed, F.col("epochs"), F.col("_id"))
     slice_ = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
-    slices = with_plan(rows, plan).withColumn("slice", slice_).groupBy(*key, "slice").agg(F.sum("_tokens").alias("held"), F.first("rest").alias("rest"))
+    slices = with_plan(counted, plan).withColumn("slice", slice_).groupBy(*key, "slice").agg(F.sum("_tokens").alias("held"), F.first("rest").alias("rest"))
     running = F.sum("held").over(Window.partitionBy(*key).orderBy("slice"))
     ends = slices.withColumn("after", running).where("after > rest").groupBy(*key).agg(F.min(F.struct("slice", F.expr("after - held").alias("before"))).alias("cut"))
     plan = cut(plan.join(ends, key, "left").select(*key, "epochs", "rest", F.coalesce("cut.slice", F.lit(SLICES)).alias("at"), "cut.before"))
@@ -168,7 +172,8 @@ def _case(column: str, table: dict[str, int]) -> str:
 ORACLE_SQL = rf"""
 WITH docs AS (
   SELECT doc_id, 'd' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3, 0) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS tokens
+    CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS tokens
   FROM documents
 ), rows_ AS (SELECT * FROM docs WHERE tokens > 0),
 leaves AS (
