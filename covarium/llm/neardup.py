@@ -260,8 +260,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     empty text, or one of white space only, has no shingles and is linked with nothing. Texts of one
     to four words have one shingle. Equal texts, repeated rows and ties need nothing special: equal
     sets are one class. Rows without doc_id are linked with nothing, have no component_id, and are
-    kept. Different texts under one doc_id are documents of their own; of those that share the smallest
-    doc_id of a component, one set of shingles is kept. Extra columns are ignored; an empty table gives an empty one.
+    kept. Different texts under one doc_id are documents of their own, in groups of their own; of those that share the smallest
+    doc_id of a component, one set of shingles is kept. Very long texts are read whole; sets are of 48-bit hashes. Extra columns are ignored; an empty table gives an empty one.
     """
     return near_duplicate_texts(docs, percent).drop("text_hash")
 

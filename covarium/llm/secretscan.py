@@ -243,8 +243,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, spans)``, one row for each row of ``docs``.
 
     ``spans`` lists kind, start and end (code points, end exclusive) of every finding, by start and
-    then in the rules' order. Null and empty texts have none. Repeated rows give repeated results;
-    extra columns are ignored; an empty table gives an empty one.
+    then in the rules' order. Null and empty texts have none. Texts of any length are scanned whole; findings that start at one
+    place all count. Repeated rows give repeated results; extra columns are ignored; an empty table gives an empty one.
     """
     return shared.only(docs, "doc_id", "text").mapInArrow(_scanner(rules), f"doc_id long, spans {_SPANS}")
 
@@ -285,6 +285,9 @@ def _redactor(rules: tuple[Rule, ...], column: int):
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every finding in ``text`` replaced by ``[KIND]``; overlapping findings become one. Other columns stay."""
+    """``docs`` with every finding in ``text`` replaced by ``[KIND]``; overlapping findings become one. Other columns stay, of any name.
+
+    Null texts stay null and empty ones empty; repeated rows give repeated results; an empty table gives an empty one.
+    """
     shared.narrow_batches(docs.sparkSession)
     return docs.mapInArrow(_redactor(rules, docs.columns.index("text")), docs.schema)

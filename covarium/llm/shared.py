@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only where it names none (tests), make one."""
+    """Use the shared folder that the cluster names; where it names none, one of this machine if Spark runs on it alone, else raise."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ BATCH_ROWS = 1_024
 
 
 def narrow_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS; a lower one stays."""
+    """Lower the session's Arrow batch size to BATCH_ROWS; a lower one stays. Every operator that hands texts to Python does so."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

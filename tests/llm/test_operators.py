@@ -236,6 +236,9 @@ def test_secret_scan(spark):
         assert r["base_sha256"] == digest and (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in found) for j in range(3))
     assert "private_key" in got[10]["spans"] and "url_login" in got[11]["spans"] and "github" in got[12]["spans"]
     assert secretscan.scan(empty(spark)).collect() == []
+    long = "word " * 200_000 + "password=hunter22" + " word" * 100_000
+    odd = secretscan.redact(spark.createDataFrame([(1, long), (1, long), (2, "AKIA" + "A" * 16 + " AKIA" + "B" * 16)], "doc_id long, text string")).collect()
+    assert sorted(r["text"].count("[") for r in odd) == [1, 1, 2] and secretscan.redact(empty(spark)).collect() == []
     clean = {r["doc_id"]: r["text"] for r in secretscan.redact(rows).collect()}
     assert clean[0] == 'x [ASSIGN]!" y' and clean[6] is None and clean[5] == SECRETS[5].replace("token=123456", "[ASSIGN]")
 
@@ -330,7 +333,11 @@ def test_token_counts_match_the_tokenizer(spark):
     exact = Tokenizer(models.Unigram([("<unk>", 0.0), *model.pieces, *((f"<0x{i:02X}>", low) for i in range(256))], 0, True))
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += [(-1, None), (-2, ""), (-3, "   "), (-4, "\U0001f600͸ ▁x  y"), (-5, "z" * 5000), (-6, "\n\n\tß")]
-    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows += [(-7, "twice the same row"), (-7, "twice the same row")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_tokens", "score", "key")})
+    counted = tokencount.count_tokens(df).collect()
+    got = {r["doc_id"]: r["n_tokens"] for r in counted}
+    assert len(counted) == len(rows)
     for i, t in rows:
         assert got[i] == (len(exact.encode("▁" + t.replace(" ", "▁")).ids) if t else 0), i
     assert tokencount.count_tokens(empty(spark)).collect() == []
@@ -362,6 +369,65 @@ def test_quality(spark):
     assert quality.classify(empty(spark), labels).collect() == []
 
 
+def test_quality_matches_numpy(spark):
+    """The whole query: evidence of the fitted model, and posteriors of both kinds by direct formulas."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame([(10**6, None, None, None), (10**6 + 1, "a word", None, "new"), (10**6 + 2, "long " * 60_000, "en", None)], "doc_id long, text string, lang string, source string"))
+    model = quality.fit(docs, labels)
+    rows = docs.collect()
+    evidence = {}
+    for r in rows:
+        b = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        good, toxic, n = model.score(b, np.array([0, len(b)]))
+        evidence[r["doc_id"]] = (good[0], toxic[0], n[0])
+    chance = lambda x: 1 / (1 + np.exp(-np.asarray(x)))
+    odds = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    site = {r["doc_id"]: (r["source"] or "", r["lang"] or "") for r in rows}
+    want = {i: [] for i in site}
+    for kind in (0, 1):
+        p = {i: float(chance(e[kind])) for i, e in evidence.items() if e[2] > 0}
+        overall = np.mean(list(p.values()))
+
+        def sums(level):
+            out = defaultdict(list)
+            for i, x in p.items():
+                out[site[i][:level]].append(x)
+            return {k: (len(v), sum(v), sum(x * x for x in v)) for k, v in out.items()}
+
+        def strength(groups, mean):
+            n = sum(g[0] for g in groups.values())
+            m = {k: min(max(mean(k), 1e-4), 1 - 1e-4) for k in groups}
+            between = sum(g[0] * (g[1] / g[0] - m[k]) ** 2 for k, g in groups.items())
+            within = sum(g[2] - g[1] ** 2 / g[0] for g in groups.values())
+            full = np.mean([x * (1 - x) for x in m.values()])
+            variance = max((between - within / max(n - len(groups), 1) * len(groups)) / n, 1e-9)
+            return min(max(full / variance - 1, 1.0), 1e6)
+
+        hosts, paths = sums(1), sums(2)
+        a = strength(hosts, lambda k: overall)
+        host = {k: (g[1] + a * overall) / (g[0] + a) for k, g in hosts.items()}
+        b = strength(paths, lambda k: host[k[:1]])
+        for i in site:
+            if i not in p:
+                want[i].append(0.0)
+                continue
+            n, s, _ = paths[site[i]]
+            mean = (s - p[i] + b * host[site[i][:1]]) / (n - 1 + b)
+            want[i].append(float(chance(evidence[i][kind] + odds(mean) - odds(overall))))
+    for r in quality.classify(docs, labels).collect():
+        assert np.allclose([r["p_quality"], r["p_toxic"]], want[r["doc_id"]], atol=1e-9)
+        assert r["kept"] == (want[r["doc_id"]][0] >= quality.KEEP_QUALITY and want[r["doc_id"]][1] < quality.KEEP_TOXIC)
+
+
+def test_witnesses_merge_near_copies_only():
+    rng = random.Random(17)
+    base = prose(rng, 400)
+    texts = [base, base + " more", "the " + base] + [f"the {prose(rng, 60)} the" for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    got = quality.witnesses(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert len(set(got[:3].tolist())) <= 2 and len(set(got[3:].tolist())) == 200
+
+
 def test_sparse_sites_shrink(spark):
     rng = random.Random(6)
     good = [prose(rng, 30, "Word") for _ in range(300)]
@@ -611,7 +677,8 @@ def test_webp_palettes(colours):
 def test_media(spark, docs, texts):
     long = "long text " * 120_000
     more = spark.createDataFrame([(10_000, long), (10_001, long), (None, "x")], "doc_id long, text string")
-    rows = webp.store(docs.select("doc_id", "text").union(more)).collect()
+    clash = {c: F.lit("x") for c in ("media", "n_bytes", "feature")}
+    rows = webp.store(docs.select("doc_id", "text").union(more).withColumns(clash)).collect()
     by = dict(texts) | {10_000: long, 10_001: long, None: "x"}
     files = {}
     for r in rows:

@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage, against what each stage may and must do."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from covarium.llm import secretscan
@@ -47,3 +48,19 @@ def test_stages_on_nulls(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "src1", 0), (3, "The words of a plain text are here, and more.", None, None, None), (None, "The words of another text are here, as well.", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF).collect()
+
+
+def test_stages_on_repeats_long_texts_and_clashing_columns(spark):
+    plain = "The words of a plain text are here, and a few more of them follow."
+    long = " ".join(f"word{i % 5003}" for i in range(150_000))
+    rows = [(1, plain, "en", "src1", 9), (1, plain, "en", "src1", 9), (2, long, "en", "src2", 9), (None, plain + " And so on.", None, "src1", None), (3, long + " end", "en", "src2", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in ("n", "id", "key", "tokens", "epoch", "good", "kept", "spans", "_key", "_host", "component_id")})
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "mixing" or out.columns == list(corpus_pipeline.COLUMNS)
+        seen[name] = sorted((r["doc_id"] or 0) for r in out.collect())
+    assert seen["near_duplicates"] == [0, 1, 1, 2] and seen["decontamination"] == seen["secrets"] == [0, 1, 1, 2, 3]
+    again = corpus_pipeline.redacted(spark, docs, SF).where("doc_id = 2").first()
+    assert again["text"] == long and again["n_chars"] == len(long)
