@@ -503,6 +503,31 @@ def component_scatter(spark, sf_dir):
     return plots.component_scatter(modes, 0, 2, claimed).select("pos", r6("x"), r6("y"), "k")
 
 
+@query(f"WITH {_LONG_VECTORS}, p AS (SELECT 'position' AS kind, vec_id AS id, max(CASE WHEN k = 0 THEN v END) AS x, max(CASE WHEN k = 2 THEN v END) AS y, NULL AS family FROM v GROUP BY vec_id), s AS (SELECT 'sequence' AS kind, vec_id AS id, max(CASE WHEN k = 0 THEN 2 * v END) AS x, max(CASE WHEN k = 2 THEN 2 * v END) AS y, CAST(any_value(label) AS VARCHAR) AS family FROM v JOIN embeddings USING (vec_id) GROUP BY vec_id) SELECT kind, id, round(x, 6) AS x, round(y, 6) AS y, family FROM (SELECT * FROM p UNION ALL SELECT * FROM s)")
+def figure_mapping(spark, sf_dir):
+    modes = _vector_modes(spark, sf_dir)
+    families = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq_id"), F.col("label").cast("string").alias("family"))
+    u = modes.select(F.col("pos").alias("seq_id"), "k", (2 * F.col("v")).alias("u"))
+    return plots.mapping(modes, u, 0, 2, families).select("kind", "id", r6("x"), r6("y"), "family")
+
+
+@query(f"WITH {_CLAIMED} SELECT pos, CAST(k AS INTEGER) AS k, k / 4.0 AS hue, round(greatest(v / max(v) OVER (PARTITION BY k), 0), 6) AS strength FROM claimed")
+def unit_colours(spark, sf_dir):
+    modes = _vector_modes(spark, sf_dir).where("k < 4")
+    claimed = modes.join(modes.groupBy("k").agg(F.percentile("v", 0.9).alias("cutoff")), "k").where("v > cutoff")
+    return plots.coloured_units(claimed).select("pos", "k", "hue", r6("strength"))
+
+
+_COMPONENTS = ", ".join(f"max(CASE WHEN k = {k} THEN v END) AS c{k}" for k in range(3))
+_COMPONENT_RANKS = ", ".join(f"rank() OVER (ORDER BY c{k}) + (count(*) OVER (PARTITION BY c{k}) - 1) / 2.0 AS c{k}" for k in range(3))
+_COMPONENT_CORR = " UNION ALL ".join(f"SELECT 'c{a}' AS a, 'c{b}' AS b, round(corr(c{a}, c{b}), 6) AS r FROM r" for a in range(3) for b in range(3))
+
+
+@query(f"WITH {_LONG_VECTORS}, w AS (SELECT vec_id, {_COMPONENTS} FROM v GROUP BY vec_id), r AS (SELECT {_COMPONENT_RANKS} FROM w) {_COMPONENT_CORR}")
+def component_correlations(spark, sf_dir):
+    return plots.component_correlations(_vector_modes(spark, sf_dir), 3).select("a", "b", r6("r"))
+
+
 @query(f"{_WITH_TEXT}, {_CELLS}, n AS (SELECT pos, code, count(*) AS n FROM cells GROUP BY 1, 2) SELECT pos, code, round(n / sum(n) OVER (PARTITION BY pos), 6) AS f FROM n QUALIFY code > 0")
 def running_frequencies(spark, sf_dir):
     return incremental.frequencies(incremental.running_counts(texts(spark, sf_dir))).select("pos", "code", r6("f"))

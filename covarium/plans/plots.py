@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,36 @@ def component_scatter(modes: DataFrame, a: int, b: int, member: DataFrame | None
     return out.join(member.groupBy("pos").agg(F.min("k").alias("k")), "pos", "left").withColumn("k", F.coalesce("k", F.lit(-1)))
 
 
+def sequence_scatter(u: DataFrame, a: int, b: int, families: DataFrame | None = None) -> DataFrame:
+    """(seq_id, x, y, family): sequences along two coordinates of (seq_id, k, u), with the family of each, null without one."""
+    out = u.where(F.col("k").isin(a, b)).groupBy("seq_id").agg(F.max(F.when(F.col("k") == a, F.col("u"))).alias("x"), F.max(F.when(F.col("k") == b, F.col("u"))).alias("y"))
+    return out.withColumn("family", F.lit(None).cast("string")) if families is None else out.join(families.select("seq_id", "family"), "seq_id", "left")
+
+
+def mapping(positions: DataFrame, sequences: DataFrame, a: int, b: int, families: DataFrame | None = None) -> DataFrame:
+    """(kind, id, x, y, family): positions along two modes (pos, k, v), and sequences along the coordinates that belong to them, for one picture."""
+    own = component_scatter(positions, a, b).select(F.lit("position").alias("kind"), F.col("pos").cast("long").alias("id"), "x", "y", F.lit(None).cast("string").alias("family"))
+    seqs = sequence_scatter(sequences, a, b, families).select(F.lit("sequence").alias("kind"), F.col("seq_id").cast("long").alias("id"), "x", "y", F.col("family").cast("string").alias("family"))
+    return own.unionByName(seqs)
+
+
+def coloured_units(member: DataFrame) -> DataFrame:
+    """(pos, k, hue, strength): units of positions (k, pos, v) in evenly spaced hues, stronger for larger values within the unit."""
+    n = member.agg(F.count_distinct("k").alias("n"))
+    place = member.select("k").distinct().withColumn("place", F.row_number().over(Window.orderBy("k")) - 1)  # as many rows as units
+    most = member.groupBy("k").agg(F.max("v").alias("most"))
+    out = member.join(F.broadcast(place), "k").join(F.broadcast(most), "k").crossJoin(F.broadcast(n))
+    return out.select("pos", "k", (F.col("place") / F.col("n")).alias("hue"), F.when(F.col("most") > 0, F.greatest(F.col("v") / F.col("most"), F.lit(0.0))).otherwise(0.0).alias("strength"))
+
+
+def component_correlations(modes: DataFrame, n: int) -> DataFrame:
+    """(a, b, r): rank correlations between the first n components (pos, k, v)."""
+    from covarium.operators import sectors
+
+    wide = modes.where(F.col("k") < n).groupBy("pos").pivot("k", list(range(n))).agg(F.first("v")).na.fill(0.0)
+    return sectors.spearman(wide.toDF("pos", *[f"c{k}" for k in range(n)]).drop("pos"), [f"c{k}" for k in range(n)])
+
+
 def quartile_width(values: DataFrame, column: str) -> DataFrame:
     """(n, q1, q3, width): histogram bin width 2 * (q3 - q1) * n ** -0.33."""
     q = values.agg(F.count(column).alias("n"), F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"))
