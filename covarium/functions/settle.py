@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
