@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from covarium.llm import shared
 from covarium.llm.components import stars
-from covarium.llm.shared import cut, list_array, mix64
+from covarium.llm.shared import cut, list_array, mix64, written
 
 SHINGLE_WORDS = 5
 ROWS, BANDS = 5, 56
@@ -39,6 +39,7 @@ SKETCH_BITS = 1024
 ROUNDS = 12
 LOOSE = 0.17
 BLOCK = 512
+SHINGLES_A_PART = 2_000_000
 
 _META = "doc_id long, text_hash long, n long, s1 long, s2 long, bands array<long>, odd array<long>"
 
@@ -280,17 +281,17 @@ def near_duplicate_texts(docs: DataFrame, percent: int = 75) -> DataFrame:
     # smallest number of a component is that of its smallest doc_id
     classes = classes.select("s1", "s2", "m.*").orderBy("doc_id", "text_hash", "s1", "s2")
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    member = classes.select("id", F.explode("bands").alias("key"))
+    member = classes.select("id", "n", F.explode("bands").alias("key"))
     bucket = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    member = cut(member.join(bucket, "key").select("id", "key", "m"))
+    member = written(member.join(bucket, "key").select("id", "n", "key", "m"))
 
     # Round one: each member with its bucket's smallest id, and with its hub, the member that meets most others.
     degree = F.sum(F.col("m") - 1).over(Window.partitionBy("id"))
     leaders = member.withColumn("degree", degree).groupBy("key").agg(F.min("id").alias("least"), F.max_by("id", F.struct("degree", F.negate("id"))).alias("hub"))
-    member = cut(member.join(leaders, "key"))
+    member = written(member.join(leaders, "key"))
     wanted = classes.join(member.select("id").distinct(), "id", "left_semi").select("doc_id", "text_hash", "id", "n", "odd", "bands")
     sets = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "n", "odd", "bands", "text")
-    sets = cut(sets.mapInArrow(_set_batches, "id long, n long, odd array<long>, bands array<long>, set array<long>"))
+    sets = written(sets.mapInArrow(_set_batches, "id long, n long, odd array<long>, bands array<long>, set array<long>"))
     ends = F.explode(F.array_distinct(F.array("least", "hub"))).alias("leader")
     pairs = member.select("id", ends).where("id <> leader").repartition("id").dropDuplicates(["id", "leader"])
     links = cut(_confirm(pairs, sets, percent))
@@ -299,11 +300,12 @@ def near_duplicate_texts(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Round two: in each bucket, members outside the hub's component (side B) with each other and
     # with those inside (side A). Least and hub were compared with all, and A with A is one component.
     placed = member.where("m > 2").join(tree.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
-    placed = cut(placed.select("id", "key", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("hub")).alias("is_hub"), F.col("id").isin(F.col("hub"), F.col("least")).alias("done")))
-    parts = placed.groupBy("key", "component").agg(F.sum((~F.col("done")).cast("int")).alias("k"), F.max("is_hub").alias("with_hub"))
-    in_a, in_b = (F.sum(F.when(F.col("with_hub") == side, F.col("k")).otherwise(0)) for side in (True, False))
-    sizes = parts.groupBy("key").agg(F.max(F.when(F.col("with_hub"), F.col("component"))).alias("hub_component"), in_a.alias("in_a"), in_b.alias("in_b")).where("in_b > 0 and in_a + in_b > 1")
-    parts_b, parts_a = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("in_b", "in_a"))
+    placed = written(placed.select("id", "n", "key", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("hub")).alias("is_hub"), F.col("id").isin(F.col("hub"), F.col("least")).alias("done")))
+    # a part has about BLOCK members at most, and so many shingles that a cell of two parts fits a worker
+    parts = placed.groupBy("key", "component").agg(F.sum((~F.col("done")).cast("int")).alias("k"), F.sum(F.when(~F.col("done"), F.col("n")).otherwise(0)).alias("size"), F.max("is_hub").alias("with_hub"))
+    sums = [F.sum(F.when(F.col("with_hub") == side, F.col(c)).otherwise(0)).alias(f"{name}_{c}") for side, name in ((True, "a"), (False, "b")) for c in ("k", "size")]
+    sizes = parts.groupBy("key").agg(F.max(F.when(F.col("with_hub"), F.col("component"))).alias("hub_component"), *sums).where("b_k > 0 and a_k + b_k > 1")
+    parts_b, parts_a = (F.ceil(F.greatest(F.col(f"{side}_k") / BLOCK, F.col(f"{side}_size") / SHINGLES_A_PART)).cast("int") for side in "ba")
     open_ = placed.where("not done").join(sizes, "key").select("id", "key", "component", (F.col("component") != F.col("hub_component")).alias("b"), parts_b.alias("parts_b"), parts_a.alias("parts_a"))
     part = F.pmod(F.xxhash64("id"), F.when(F.col("b"), F.col("parts_b")).otherwise(F.col("parts_a"))).cast("int")
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

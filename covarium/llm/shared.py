@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local["):
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
@@ -28,16 +29,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table in that folder: compressed, and read by columns."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Rows of an Arrow batch of texts: batches are held outside the heap, several times over, and texts are wide.
 BATCH_ROWS = 1_024
+BATCH_BYTES = 16 << 20
 
 
 def narrow_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS; a lower one stays. Every operator that hands texts to Python does so."""
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; fewer rows stay. Every operator that hands texts to Python does so."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
