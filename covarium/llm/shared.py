@@ -23,10 +23,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+#: Tasks a core that write a cut: with more, many small files cost more than they hold.
+TASKS_A_CORE = 4
+
+
+def _few_files(df: DataFrame) -> DataFrame:
+    return df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _few_files(df).checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -34,7 +42,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
