@@ -453,13 +453,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     as U+FFFD; ``kept_sha256`` is of the exact bytes). Null and empty texts, and texts under 100
     bytes, lose nothing, nor do rows without doc_id, which are no place for others either. Texts of
     any length are cut into overlapping pieces. Rows that repeat wholly are one place and give equal
-    rows; different texts under one doc_id have no defined order. Extra columns are ignored; an
+    rows; of different texts under one doc_id that with the smaller xxhash64 is the earlier document. Extra columns are ignored; an
     empty table gives an empty one.
     """
     docs = shared.only(docs, "doc_id", "text")
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_text"))
+    several = texts.groupBy("doc_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high")).where("low <> high").select("doc_id")
+    if several.isEmpty():
+        return _without_repeats(docs)
+    # documents that share an id get numbers of their own, in the same order
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_text")) - 1
+    ranked = cut(texts.join(several, "doc_id").distinct().withColumn("_place", place))
+    most = ranked.agg(F.max("_place")).first()[0] + 1
+    keyed = docs.withColumn("_text", F.xxhash64("text")).join(ranked, ["doc_id", "_text"], "left")
+    out = _without_repeats(keyed.select((F.col("doc_id") * most + F.coalesce("_place", F.lit(0))).alias("doc_id"), "text"))
+    return out.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {most})) div {most}"))
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    """The same of documents with ids of their own."""
     found = docs.where("doc_id is not null").mapInArrow(_run_batches, "gram long, doc_id long, place long, again boolean")
     times = F.count("*").over(Window.partitionBy("gram"))
-    seen = cut(found.withColumn("times", times).where("again or times > 1").drop("times"))
+    seen = shared.written(found.withColumn("times", times).where("again or times > 1").drop("times"))
     start = F.shiftright("place", 31)
     stop = start + F.shiftright("place", 7).bitwiseAND((1 << 24) - 1) + LENGTH
     cuts = seen.where("again").select("doc_id", start.cast("int").alias("s"), stop.cast("int").alias("e"))

@@ -188,6 +188,13 @@ def test_suffix_dedup_edges(spark, monkeypatch):
     assert suffixes.remove_repeats(empty(spark)).collect() == []
     twice = spark.createDataFrame([(1, long[:300]), (1, long[:300]), (2, long[:300]), (None, long[:300])], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffixes.remove_repeats(twice).collect()) == [(0, 0), (1, 0), (1, 0), (2, 300)]
+    clash = [(-7, long[:400]), (-7, long[200:700]), (-7, long[200:700]), (3, long[100:600]), (-9, "y" * 150), (None, "z")]
+    df = spark.createDataFrame(clash, "doc_id long, text string")
+    order = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    distinct = sorted({x for x in clash if x[0] is not None}, key=lambda x: (x[0], order[x[1]]))
+    want = [(distinct[k][0], *w) for k, w in brute_repeats([(k, t) for k, (_, t) in enumerate(distinct)]).items()]
+    got = [tuple(r[:5]) for r in suffixes.remove_repeats(df).collect() if r[0] is not None]
+    assert Counter(got) == Counter(want + [w for w, x in zip(want, distinct) if x == clash[1]])
 
 
 def test_deep_shallow_sorting():
