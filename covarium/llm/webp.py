@@ -708,22 +708,24 @@ class Streams:
         px, at, total = self.px, self.at, len(self.px)
         place = np.arange(total)
         first = np.flatnonzero(place + least <= at[1:][self.image])
-        if not self.cache_bits:  # an image has one red, blue and alpha
-            value, bits = ((px >> 8) & 255).astype(np.int64), 8
+        if not self.cache_bits:  # an image has one red, blue and alpha: runs of greens as numbers, straight from the bytes
+            greens = np.zeros(total + 8, np.uint8)
+            greens[:total] = px >> 8
+            bits, runs = 8, np.ndarray((total,), "<u8", greens, strides=(1,)) & np.uint64((1 << 8 * least) - 1)
+            key = runs.astype(np.int64)[first]
         else:
             seen, value = np.unique(px, return_inverse=True)
             bits = max(len(seen) - 1, 1).bit_length()
-        key = value[first]
-        for k in range(1, least):
-            key = key << bits | value[first + k]
-        if total > 1 << 20 or self.rows > 1 << 13:
-            key |= self.image[first] << bits * least
-        if total <= 1 << 20 and self.rows <= 1 << 13:  # one sort of image, hash and place; hashes of an image meet the same way in any batch
+            key = value[first]
+            for k in range(1, least):
+                key = key << bits | value[first + k]
+        if not self.cache_bits and total <= 1 << 20 and self.rows <= 1 << 13:  # one sort of image, hash and place; hashes of an image meet the same way in any batch
             mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             joined = self.image[first].astype(np.uint64) << np.uint64(51) | mixed << np.uint64(20) | np.arange(len(first), dtype=np.uint64)
             joined.sort()
             order = (joined & np.uint64((1 << 20) - 1)).astype(np.int64)
         else:
+            key |= self.image[first] << bits * least
             order = np.argsort(key, kind="stable")
         same = (key[order][1:] == key[order][:-1]) & (self.image[first[order[1:]]] == self.image[first[order[:-1]]])
         distance = np.zeros(total + 1, np.int64)
@@ -773,7 +775,7 @@ class Streams:
                     _write_lone(w, lone[k][i])
             lead[i] = w.length()
         take = chosen[self.image]
-        s = np.flatnonzero(self.start & take)
+        s = np.flatnonzero(self.start if chosen.all() else self.start & take)
         code = tables[0].ravel().take(self.image[s] * tables[0].shape[1] + self.main[s])
         each = np.zeros(len(self.px) + 1, np.int64)
         each[s] = code & 15
