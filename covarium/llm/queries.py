@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covarium.llm import chatformat, decontaminate, language, mixing, neardup, quality, secretscan, suffixes, tokencount, webp
+from covarium.llm import chatformat, decontaminate, language, mixing, neardup, quality, qualityrules, secretscan, suffixes, tokencount, webp
 from covarium.llm.shared import table
 
 
@@ -57,5 +57,10 @@ def op10_token_count(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op6_decontaminate, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count)}
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL}
+def op11_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return qualityrules.judge(docs.select("doc_id", F.col("source").alias("host"), "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op6_decontaminate, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count, op11_quality_rules)}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL, "op11_quality_rules": qualityrules.ORACLE_SQL}
