@@ -23,12 +23,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-#: Tasks a core that write a cut: with more, many small files cost more than they hold.
-TASKS_A_CORE = 4
+#: A cut has at most so many tasks a core, or one for so many bytes of its planned input, whichever is more.
+TASKS_A_CORE, TASK_BYTES = 4, 16 << 20
 
 
 def _few_files(df: DataFrame) -> DataFrame:
-    return df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    """``df`` without very many small tasks, each of which would write a file; a task never gets more than about TASK_BYTES by this.
+
+    The bytes are those that the plan expects, which is the size of the files for what is read from files, and too much rather than too
+    little behind joins.
+    """
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, expected // TASK_BYTES), 1 << 30))
 
 
 def cut(df: DataFrame) -> DataFrame:
