@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covarium.llm import chatformat, decontaminate, language, mixing, neardup, quality, qualityrules, secretscan, suffixes, tokencount, webp, whitening
+from covarium.llm import chatformat, decontaminate, language, mixing, neardup, quality, qualityrules, repair, secretscan, suffixes, tokencount, webp, whitening
 from covarium.llm.shared import table
 
 
@@ -66,5 +66,9 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op6_decontaminate, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count, op11_quality_rules, op12_whitening)}
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL, "op11_quality_rules": qualityrules.ORACLE_SQL}
+def op13_conversation_repair(spark, sf_dir):
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_minhash_neardup, op4_chat_format, op5_suffix_dedup, op6_decontaminate, op7_secret_scan, op8_language_id, op9_media_webp, op10_token_count, op11_quality_rules, op12_whitening, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_chat_format": chatformat.ORACLE_SQL, "op11_quality_rules": qualityrules.ORACLE_SQL, "op13_conversation_repair": repair.ORACLE_SQL}
