@@ -23,28 +23,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-#: A cut has at most so many tasks a core, or one for so many bytes of its planned input, whichever is more.
+#: A cut has at most so many tasks a core, or one for so many bytes of the files that it reads, whichever is more.
 TASKS_A_CORE, TASK_BYTES = 4, 16 << 20
 
 
 def _few_files(df: DataFrame) -> DataFrame:
-    """``df`` without very many small tasks, each of which would write a file; a task never gets more than about TASK_BYTES by this.
+    """``df`` without very many small tasks, each of which would write a file; tasks are joined only up to about TASK_BYTES of input each.
 
-    The bytes are those that the plan expects, which is the size of the files for what is read from files, and too much rather than too
-    little behind joins.
+    As every cut is a table, all that a plan reads comes from files, whose sizes are known.
     """
-    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, expected // TASK_BYTES), 1 << 30))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return _few_files(df).checkpoint(eager=True)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()) if leaves.apply(k).nodeName().startswith("LogicalRelation"))
+    return df.coalesce(max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, min(read // TASK_BYTES, 1 << 30)))
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same as a table in that folder: compressed, and read by columns."""
+    """Write ``df`` as a table in the checkpoint folder and read it from there, which cuts its lineage: compressed, and read by columns."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
@@ -52,6 +46,9 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+cut = written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covarium.functions.numbering import numbered
 from covarium.llm import shared
 from covarium.llm.shared import Rolling, cut, mix64
 
@@ -461,13 +462,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     several = texts.groupBy("doc_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high")).where("low <> high").select("doc_id")
     if several.isEmpty():
         return _without_repeats(docs)
-    # documents that share an id get numbers of their own, in the same order
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_text")) - 1
-    ranked = cut(texts.join(several, "doc_id").distinct().withColumn("_place", place))
-    most = ranked.agg(F.max("_place")).first()[0] + 1
-    keyed = docs.withColumn("_text", F.xxhash64("text")).join(ranked, ["doc_id", "_text"], "left")
-    out = _without_repeats(keyed.select((F.col("doc_id") * most + F.coalesce("_place", F.lit(0))).alias("doc_id"), "text"))
-    return out.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {most})) div {most}"))
+    # where documents share an id, all get numbers of their own, in the same order
+    numbers = numbered(texts.distinct(), ["doc_id", "_text"], "_number")
+    keyed = docs.withColumn("_text", F.xxhash64("text")).join(numbers, ["doc_id", "_text"], "left")
+    out = _without_repeats(keyed.select(F.col("_number").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_number")
+    return out.join(numbers.select("_number", "doc_id"), "_number", "left").select("doc_id", *[c for c in out.columns if c != "_number"])
 
 
 def _without_repeats(docs: DataFrame) -> DataFrame:
