@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_alignment(docs: DataFrame, columns: int = TEXT_COLUMNS) -> DataFrame:
     """(seq_id, hd, seq) of ``docs(doc_id, text, lang, source)``; characters that are no letter of the alphabet are gaps."""
-    rows = docs.where("length(text) > 0").select("doc_id", "lang", "source", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / columns).cast("int"))).alias("k"))
-    raw = F.substring("text", F.col("k") * columns + 1, F.lit(columns))
-    letters = F.upper(F.regexp_replace(F.regexp_replace(raw, "[^A-Za-z]", "-"), "[BJOUXZbjouxz]", "-"))
+    letters = F.upper(F.regexp_replace("text", "[^AC-IK-NP-TVWYac-ik-np-tvwy]", "-"))
+    rows = docs.where("length(text) > 0").select("doc_id", "lang", "source", letters.alias("letters"))
+    cut = rows.select("doc_id", "lang", "source", F.posexplode(F.regexp_extract_all("letters", F.lit(f".{{1,{columns}}}"), 0)).alias("k", "row"))
     hd = F.concat_ws("|", F.concat("source", F.lit("/"), "doc_id"), "lang", "k")
-    return rows.select((F.col("doc_id") * ROWS_A_TEXT + F.col("k")).alias("seq_id"), hd.alias("hd"), F.rpad(letters, columns, "-").alias("seq"))
+    return cut.select((F.col("doc_id") * ROWS_A_TEXT + F.col("k")).alias("seq_id"), hd.alias("hd"), F.rpad("row", columns, "-").alias("seq"))
 
 
 def vector_alignment(vectors: DataFrame) -> DataFrame:

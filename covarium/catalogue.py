@@ -15,7 +15,7 @@ from covarium.functions import encode
 from covarium.functions.settle import shared_folder
 from covarium.operators import annotate, filters, freq, graph, null_model, reference, sampling, sectors, seqspace, spectral, weights
 from covarium.plans import plots
-from covarium.queries import _CELLS, _CLUSTERS, _COUPLED, _LONG_VECTORS, _PAIRS_NOGAP, _W_SQL, _WITH_TEXT, _WITH_VECTORS, _clusters, _simple_weights, _text_coupling, _vector_modes, query, r6, texts, vector_weights, vectors
+from covarium.queries import ORACLES, _CELLS, _CLUSTERS, _COUPLED, _LONG_VECTORS, _PAIRS_NOGAP, _W_SQL, _WITH_TEXT, _WITH_VECTORS, _clusters, _simple_weights, _text_coupling, _vector_modes, query, r6, texts, vector_weights, vectors
 from covarium.sources import readers, writers
 from covarium.streaming import incremental
 
@@ -301,20 +301,32 @@ def weighted_sample(spark, sf_dir):
 
 _LETTERS_BOTH = "list_sum([CASE WHEN substr(a.seq, p + 1, 1) <> '-' AND substr(b.seq, p + 1, 1) <> '-' THEN 1 ELSE 0 END for p in range(length(a.seq))])"
 _SAME_BOTH = "list_sum([CASE WHEN substr(a.seq, p + 1, 1) <> '-' AND substr(a.seq, p + 1, 1) = substr(b.seq, p + 1, 1) THEN 1 ELSE 0 END for p in range(length(a.seq))])"
-_NEAR = (
-    f"pair AS (SELECT a.seq_id AS i, b.seq_id AS j, {_LETTERS_BOTH} AS b, {_SAME_BOTH} AS s, greatest(length(replace(a.seq, '-', '')), length(replace(b.seq, '-', ''))) AS n FROM msa a, msa b), "
-    "near AS MATERIALIZED (SELECT i, j FROM pair WHERE b > 0 AND s >= 0.42 * b AND b >= 0.5 * n), step0 AS (SELECT i AS node, min(j) AS c FROM near GROUP BY i), "
-    + ", ".join(f"step{k} AS (SELECT near.i AS node, min(c) AS c FROM near JOIN step{k - 1} ON node = near.j GROUP BY near.i)" for k in range(1, 31))
-)
 
 
-@query(f"{_WITH_VECTORS}, {_NEAR} SELECT c AS rep, node AS member FROM step30")
+def _greedy(identity: float, coverage: float) -> str:
+    """Representatives in the order of rank, one after another; cl(rep, member)."""
+    return (
+        f"pair AS (SELECT a.seq_id AS i, b.seq_id AS j, {_LETTERS_BOTH} AS b, {_SAME_BOTH} AS s, greatest(length(replace(a.seq, '-', '')), length(replace(b.seq, '-', ''))) AS n FROM msa a, msa b), "
+        "ranks AS (SELECT seq_id, row_number() OVER (ORDER BY length(replace(seq, '-', '')) DESC, seq_id) AS k FROM msa WHERE replace(seq, '-', '') <> ''), "
+        f"near AS MATERIALIZED (SELECT x.k AS k, list(y.k) AS around FROM pair JOIN ranks x ON x.seq_id = i JOIN ranks y ON y.seq_id = j WHERE b > 0 AND s >= {identity} * b AND b >= {coverage} * n GROUP BY x.k), "
+        "walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS reps UNION ALL SELECT near.k, CASE WHEN len(list_intersect(reps, around)) = 0 THEN list_append(reps, near.k) ELSE reps END FROM walk JOIN near ON near.k = walk.k + 1), "
+        "chosen AS (SELECT arg_max(reps, k) AS reps FROM walk), cl AS (SELECT r.seq_id AS rep, m.seq_id AS member FROM near, chosen, ranks r, ranks m WHERE m.k = near.k AND r.k = list_min(list_intersect(reps, around)))"
+    )
+
+
+_GREEDY_VECTORS = _WITH_VECTORS.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{_GREEDY_VECTORS}, {_greedy(0.42, 0.5)} SELECT rep, member FROM cl")
 def clusters(spark, sf_dir):
-    """Preclustering with a limit that leaves many clusters; in SQL labels go thirty links far, further than any chain here."""
+    """Preclustering with a limit that leaves many clusters."""
     return sampling.precluster(vectors(spark, sf_dir).select("seq_id", "hd", "seq"), 0.42, 0.5)
 
 
-@query(f"{_WITH_VECTORS}, {_NEAR}, reps AS (SELECT c AS seq_id, CAST(count(*) AS DOUBLE) AS w FROM step30 GROUP BY c UNION ALL SELECT seq_id, 1.0 FROM msa WHERE seq_id % 50 = 0 AND seq_id NOT IN (SELECT c FROM step30)) SELECT seq_id, w FROM reps ORDER BY CASE WHEN seq_id % 50 = 0 THEN -1 ELSE -ln({_DRAW}) / w END, seq_id LIMIT 60")
+ORACLES["precluster"] = f"{_GREEDY_VECTORS}, {_greedy(0.3, 0.5)} SELECT rep, member FROM cl"
+
+
+@query(f"{_GREEDY_VECTORS}, {_greedy(0.42, 0.5)}, reps AS (SELECT rep AS seq_id, CAST(count(*) AS DOUBLE) AS w FROM cl GROUP BY rep UNION ALL SELECT seq_id, 1.0 FROM msa WHERE seq_id % 50 = 0 AND seq_id NOT IN (SELECT rep FROM cl)) SELECT seq_id, w FROM reps ORDER BY CASE WHEN seq_id % 50 = 0 THEN -1 ELSE -ln({_DRAW}) / w END, seq_id LIMIT 60")
 def clustered_sample(spark, sf_dir):
     msa = vectors(spark, sf_dir).select("seq_id", "hd", "seq")
     return sampling.cluster_sample(msa, 60, msa.where("seq_id % 50 = 0").select("seq_id"), 0.42, 0.5, seed=3)
@@ -532,3 +544,36 @@ def component_correlations(spark, sf_dir):
 def running_frequencies(spark, sf_dir):
     return incremental.frequencies(incremental.running_counts(texts(spark, sf_dir))).select("pos", "code", r6("f"))
 
+
+# --- pairs above a high limit ---------------------------------------------------------------------------
+
+_SOLID = "(length(seq) - length(replace(seq, '-', ''))) / length(seq) < 0.5"
+_DISTINCT = f"u AS MATERIALIZED (SELECT seq, min(seq_id) AS uid, count(*) AS n FROM msa WHERE {_SOLID} GROUP BY seq)"
+
+
+def _banded(least: int, gap: bool) -> str:
+    """near(i, j, same): pairs of distinct sequences with at least ``least`` agreeing columns of 60, from bands that they share."""
+    bands = 60 - least + 1
+    letter = "" if gap else " AND substr(a.seq, p + 1, 1) <> '-'"
+    whole = "" if gap else " WHERE NOT contains(part, '-')"
+    return (
+        f"band AS (SELECT uid, seq, n, k, part FROM (SELECT *, list_aggregate([substr(seq, p + 1, 1) FOR p IN range(60) IF p % {bands} = k], 'string_agg', '') AS part FROM (SELECT *, unnest(range({bands})) AS k FROM u)){whole}), "
+        "mates AS (SELECT DISTINCT a.uid AS i, b.uid AS j FROM band a JOIN band b ON a.k = b.k AND a.part = b.part AND a.uid < b.uid), "
+        f"near AS (SELECT * FROM (SELECT i, j, a.n AS ni, b.n AS nj, list_sum([CASE WHEN substr(a.seq, p + 1, 1) = substr(b.seq, p + 1, 1){letter} THEN 1 ELSE 0 END for p in range(60)]) AS same FROM mates JOIN u a ON a.uid = i JOIN u b ON b.uid = j) WHERE same >= {least})"
+    )
+
+
+def _solid_texts(spark, sf_dir) -> DataFrame:
+    return filters.by_sequence(texts(spark, sf_dir), 0.5).select("seq_id", "hd", "seq")
+
+
+@query(f"{_WITH_TEXT}, {_DISTINCT}, {_banded(49, True)}, c AS (SELECT i AS uid, nj AS c FROM near UNION ALL SELECT j, ni FROM near UNION ALL SELECT uid, n FROM u), s AS (SELECT uid, sum(c) AS c FROM c GROUP BY uid) SELECT seq_id, CAST(s.c AS BIGINT) AS neighbours, round(1.0 / s.c, 6) AS w FROM msa JOIN u USING (seq) JOIN s USING (uid)")
+def text_weights(spark, sf_dir):
+    """Weights at the usual limit of 0.8, of all rows of the texts that are at least half letters."""
+    return weights.sequence_weights(_solid_texts(spark, sf_dir), 0.8).select("seq_id", "neighbours", r6("w"))
+
+
+@query(f"{_WITH_TEXT}, {_DISTINCT}, {_banded(37, False)} SELECT i, j, round(same / 60, 6) AS s FROM near")
+def text_pairs(spark, sf_dir):
+    """Pairs of such rows that have the same letter in more than 0.6 of all columns."""
+    return weights.similarity(_solid_texts(spark, sf_dir), 0.6).select("i", "j", r6("s"))

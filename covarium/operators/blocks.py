@@ -1,14 +1,18 @@
-"""All-pairs identity in a grid of blocks.
+"""All-pairs identity in a grid of blocks, and pairs above a limit from bands of columns.
 
 Rows are dealt to blocks by a hash; cell (a, b) of the grid gets the rows of both and counts, by a
 product of one-hot matrices, in how many columns each pair agrees. What leaves a cell are sums for
 each row or single numbers, never the pairs. Equal sequences are one row with a multiplicity.
+
+Two sequences that agree in at least ``least`` of their columns differ in so few that, of one band more than
+these, one is equal (the pigeonhole principle). ``banded`` compares only sequences that share a band, each pair once, and is exact. How many
+pairs that makes is counted before; where it saves too little, the grid is the way.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covarium.functions.encode import ALPHABET
+from covarium.functions.settle import settle
 
 BLOCK = 1024
 
@@ -77,6 +82,156 @@ def pairwise(msa: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarra
     return grid(msa, cell, schema)
 
 
+_TYPES = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([pa.field(c.split()[0], _TYPES[c.split()[1]]) for c in schema.split(", ")])
+
+
+def between(left: DataFrame, right: DataFrame, cell: Callable[[list[str], np.ndarray, list[str], np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """Run ``cell(left sequences, their ids, right sequences, their ids)`` in every cell of the grid of ``left(id, seq)`` and ``right(id, seq)``."""
+    across, down = (max(1, math.ceil(side.count() / BLOCK)) for side in (left, right))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = left.select("id", "seq", F.lit(True).alias("own"), part(across).alias("a"), each(down).alias("b"))
+    rows = rows.union(right.select("id", "seq", F.lit(False).alias("own"), each(across).alias("a"), part(down).alias("b")))
+    out = _arrow(schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        own = np.array(t.column("own").to_pylist(), bool)
+        ids, seqs = np.array(t.column("id").to_pylist(), np.int64), t.column("seq").to_pylist()
+        if own.all() or not own.any():
+            return out.empty_table()
+        u, v = np.flatnonzero(own), np.flatnonzero(~own)
+        return pa.Table.from_batches([cell([seqs[i] for i in u], ids[u], [seqs[i] for i in v], ids[v])])
+
+    return rows.groupBy("a", "b").applyInArrow(run, schema)
+
+
+# --- Bands of columns -------------------------------------------------------------------------------
+
+#: A band has so many columns at least; with fewer, nearly all sequences share one.
+NARROWEST = 2
+#: Pairs that are compared at once.
+PAIRS = 1 << 17
+
+
+def _band_keys(codes: np.ndarray, bands: int, gap: bool) -> np.ndarray:
+    """(rows, bands) hashes of every band, column c in band c mod bands; without ``gap`` a band with a gap is 0."""
+    out = np.zeros((len(codes), bands), np.uint64)
+    whole = np.ones((len(codes), bands), bool)
+    for c in range(codes.shape[1]):
+        x = out[:, c % bands] * np.uint64(0x9E3779B97F4A7C15) + codes[:, c].astype(np.uint64) + np.uint64(1)
+        out[:, c % bands] = x ^ (x >> np.uint64(29))
+        whole[:, c % bands] &= codes[:, c] > 0
+    out |= np.uint64(1)
+    return out if gap else np.where(whole, out, np.uint64(0))
+
+
+def _in_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole runs of rows with equal ``names``, from sorted batches: many short runs at once, a long one alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < BLOCK:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = [t.column(c).to_numpy() for c in names]
+        last = np.ones(t.num_rows, bool)
+        for k in keys:
+            last &= k == k[-1]
+        cut = int(np.argmax(last)) if last[-1] else t.num_rows
+        if cut:
+            yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_of(run: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of rows of one run, in chunks of about PAIRS: all i < j where every row is the cell's own, else own rows with others."""
+    edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    held = 0
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if own[a:b].all():
+            i, j = np.triu_indices(b - a, 1)
+        else:
+            mine, other = np.flatnonzero(own[a:b]), np.flatnonzero(~own[a:b])
+            i, j = np.repeat(mine, len(other)), np.tile(other, len(mine))
+        left.append(i + a)
+        right.append(j + a)
+        held += len(i)
+        if held >= PAIRS:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def banded(msa: DataFrame, length: int, least: int, gap: bool, emit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, saving: float = 0.5) -> DataFrame | None:
+    """Run ``emit(ids, other ids, agreeing columns, n, other n)`` on all pairs of different sequences that agree in ``least`` columns of ``length``.
+
+    Every pair comes once, in one of the calls. None if bands would be too narrow, or shared so often that more than ``saving`` of all
+    pairs were compared.
+    """
+    bands = length - least + 1
+    if bands < 1 or bands * NARROWEST > length:
+        return None
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _band_keys(codes_in(batch.column("seq")), bands, gap).view(np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("seq"), batch.column("n"), flat], ["uid", "seq", "n", "keys"])
+
+    rows = settle(unique_sequences(msa).select("uid", "seq", "n").mapInArrow(key, "uid long, seq string, n long, keys array<long>"))
+    dealt = rows.select("uid", F.posexplode("keys").alias("band", "key")).where("key <> 0")
+    shared = settle(dealt.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"))
+    count = rows.count()
+    compared = shared.agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()[0] or 0.0
+    if compared > saving * count * (count - 1) / 2:
+        return None
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("uid"), parts).cast("int")
+    cells = rows.select("uid", "seq", "n", "keys", F.posexplode("keys").alias("band", "key")).where("key <> 0").join(shared, ["band", "key"])
+    cells = cells.withColumn("part", part).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    cells = cells.select("band", "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "uid", "seq", "n", "keys", (F.col("part") <= F.col("other")).alias("own"))
+    where = ["band", "key", "a", "b"]
+    cells = cells.repartition(*where).sortWithinPartitions(*where)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _in_runs(batches, where):
+            t = t.combine_chunks()
+            band, ids, n = (t.column(c).to_numpy() for c in ("band", "uid", "n"))
+            own = t.column("own").to_numpy()
+            codes = codes_in(t.column("seq").chunk(0)).astype(np.int8)
+            keys = t.column("keys").chunk(0).flatten().to_numpy().reshape(-1, bands)
+            change = np.zeros(t.num_rows, bool)
+            for c in where:
+                x = t.column(c).to_numpy()
+                change[1:] |= x[1:] != x[:-1]
+            for i, j in _pairs_of(np.cumsum(change), own):
+                earlier = np.zeros(len(i), bool)  # pairs with a band in common before this one
+                for b in range(bands):
+                    earlier |= (b < band[i]) & (keys[i, b] == keys[j, b]) & (keys[i, b] != 0)
+                i, j = i[~earlier], j[~earlier]
+                same = np.zeros(len(i), np.int32)
+                for c in range(length):
+                    x = codes[i, c]
+                    same += (x == codes[j, c]) & (gap | (x > 0))
+                near = same >= least
+                if near.any():
+                    i, j = i[near], j[near]
+                    yield emit(ids[i], ids[j], same[near], n[i], n[j])
+
+    return cells.mapInArrow(run, schema)
+
+
 def grid(msa: DataFrame, cell: Callable[[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.RecordBatch], schema: str) -> DataFrame:
     """Run ``cell(sequences, ids, n, rows of one side, rows of the other, diagonal)`` in every cell of the grid."""
     rows = unique_sequences(msa)
@@ -96,23 +251,5 @@ def grid(msa: DataFrame, cell: Callable[[list[str], np.ndarray, np.ndarray, np.n
             return pa.table({f: pa.array([], t_) for f, t_ in zip(out.names, out.types, strict=True)})
         return pa.Table.from_batches([cell(seqs, np.array(ids), np.array(n), u, v, diagonal)])
 
-    out = pa.schema([pa.field(c.split()[0], {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[c.split()[1]]) for c in schema.split(", ")])
+    out = _arrow(schema)
     return cells.groupBy("a", "b").applyInArrow(run, schema)
-
-
-def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(root, node) of every node but the first of each component of a symmetric adjacency matrix."""
-    left = np.ones(len(near), bool)
-    roots, nodes = [], []
-    for start in np.flatnonzero(near.any(axis=1)):
-        if not left[start]:
-            continue
-        left[start] = False
-        edge = np.array([start])
-        while len(edge):
-            edge = np.flatnonzero(near[edge].any(axis=0) & left)
-            left[edge] = False
-            roots.append(np.full(len(edge), start))
-            nodes.append(edge)
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *roots]), np.concatenate([empty, *nodes])

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covarium.functions.encode import ALPHABET
+from covarium.operators import blocks
 from covarium.operators.blocks import pairwise
 from covarium.operators.filters import require_rectangular
 
@@ -14,9 +16,22 @@ from covarium.operators.filters import require_rectangular
 def sequence_weights(msa: DataFrame, max_identity: float = 0.8, gaps: bool = True) -> DataFrame:
     """(seq_id, neighbours, w): w is 1 over the number of sequences with an identity above the limit, itself included.
 
-    With ``gaps`` the gap is a 21st letter; without, an all-gap sequence has no neighbour and w = 1.
+    With ``gaps`` the gap is a 21st letter; without, an all-gap sequence has no neighbour and w = 1. High limits compare only
+    sequences with a band of columns in common, others all pairs.
     """
     length = require_rectangular(msa)
+    first = msa.groupBy("seq").agg(F.min("seq_id").alias("uid"))
+
+    def emit(ids, others, same, n, other_n):
+        who, at = np.unique(np.concatenate([ids, others]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([other_n, n])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(count, pa.int64())], ["uid", "c"])
+
+    near = blocks.banded(msa, length, least_agreeing(length, max_identity), gaps, emit, "uid long, c long")
+    if near is not None:  # each sequence is its own neighbour if it has enough letters
+        letters = F.length("seq") if gaps else F.length(F.regexp_replace(F.upper("seq"), f"[^{ALPHABET}]", ""))
+        own = blocks.unique_sequences(msa).select("uid", F.when(letters / max(length, 1) > max_identity, F.col("n")).otherwise(0).alias("c"))
+        return _weighted(msa, first, near.union(own))
 
     def kernel(same, ids, others, n, other_n, diagonal):
         near = same / max(length, 1) > max_identity
@@ -26,8 +41,16 @@ def sequence_weights(msa: DataFrame, max_identity: float = 0.8, gaps: bool = Tru
             who, count = np.concatenate([ids, others]), np.concatenate([count, near.T @ n])
         return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(count, pa.int64())], ["uid", "c"])
 
-    found = pairwise(msa, kernel, "uid long, c long", gaps).groupBy("uid").agg(F.sum("c").alias("neighbours"))
-    first = msa.groupBy("seq").agg(F.min("seq_id").alias("uid"))
+    return _weighted(msa, first, pairwise(msa, kernel, "uid long, c long", gaps))
+
+
+def least_agreeing(length: int, limit: float) -> int:
+    """The fewest agreeing columns whose share is above the limit."""
+    return next((k for k in range(max(int(limit * length) - 1, 0), length + 1) if k / max(length, 1) > limit), length + 1)
+
+
+def _weighted(msa: DataFrame, first: DataFrame, counts: DataFrame) -> DataFrame:
+    found = counts.groupBy("uid").agg(F.sum("c").alias("neighbours"))
     out = msa.select("seq_id", "seq").join(first, "seq").join(found, "uid")
     return out.select("seq_id", "neighbours", (1.0 / F.greatest("neighbours", F.lit(1))).alias("w"))
 
@@ -56,10 +79,18 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 def similarity(msa: DataFrame, minimum: float = 0.0) -> DataFrame:
     """(i, j, s), i < j: shares of columns with equal letters, gaps not counted, above ``minimum``.
 
-    Pairs are of distinct sequences, named by their smallest seq_id; with a high minimum few are left.
+    Pairs are of distinct sequences, named by their smallest seq_id; with a high minimum few are left, and only sequences
+    with a band of columns in common are compared.
     """
     length = require_rectangular(msa)
 
+    def emit(ids, others, same, n, other_n):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, others)), pa.array(np.maximum(ids, others)), pa.array(same / length)], ["i", "j", "s"])
+
+    found = blocks.banded(msa, length, least_agreeing(length, minimum), False, emit, "i long, j long, s double")
+    if found is not None:
+        return found
+
     def kernel(same, ids, others, n, other_n, diagonal):
         i, j = np.nonzero(same > minimum * length)
         a, b = np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])
