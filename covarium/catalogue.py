@@ -405,12 +405,12 @@ def other_sequences(spark, sf_dir):
 
 @query()
 def make_ats(spark, sf_dir):
-    """Labels of the columns of the text alignment's first row, from the letters of the second as the known sequence."""
-    msa = texts(spark, sf_dir)
-    first, second = (r["seq"] for r in msa.orderBy("seq_id").limit(2).collect())
-    known = second.replace("-", "")
-    columns, labels = reference.alignment_to_structure(first, known, reference.default_labels(len(known)))
-    return spark.createDataFrame(list(zip(columns, labels, strict=True)), "pos int, label string")
+    """Labels of the columns of every row of the vectors' alignment, from the letters of the row after it as the known sequence."""
+    msa = vectors(spark, sf_dir).select("seq_id", "seq")
+    after = msa.select((F.col("seq_id") - 1).alias("seq_id"), F.col("seq").alias("known"))
+    residues = F.length(F.translate("known", "-", ""))
+    pairs = msa.join(after, "seq_id").select(F.col("seq_id").alias("id"), F.col("seq").alias("reference"), "known", F.transform(F.sequence(F.lit(1), residues), lambda k: k.cast("string")).alias("labels"))
+    return reference.label_columns(pairs).withColumnRenamed("id", "seq_id")
 
 
 _CLAIMED = f"{_LONG_VECTORS}, m AS (SELECT vec_id AS pos, k, v FROM v WHERE k < 4), cut AS (SELECT k, quantile_cont(v, 0.9) AS cutoff FROM m GROUP BY k), claimed AS (SELECT k, pos, v FROM m JOIN cut USING (k) WHERE v > cutoff)"
