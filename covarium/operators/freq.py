@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,9 +105,11 @@ def add_products(total: np.ndarray, codes: np.ndarray, w: np.ndarray | None, at:
 def _gram_parts(msa: DataFrame, weights: DataFrame | Column | None, counts: Counts) -> DataFrame:
     """(i, block): at most FAN partial sums for each position i, over groups of sequences, of w * x_i x_j' with j >= i."""
     length = counts.length
-    groups = max(1, math.ceil(counts.rows / ROWS_A_GROUP))
     tile = tile_of(length)
     tiles = math.ceil(max(length, 1) / tile)
+    if tiles == 1:
+        return _gram_parts_in_place(weighted(msa, weights).select("seq", "w"), length)
+    groups = max(1, math.ceil(counts.rows / ROWS_A_GROUP))
     dealt = weighted(msa, weights).select("seq", "w", F.pmod(F.xxhash64("seq_id"), F.lit(groups)).cast("long").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
 
     def run(t: pa.Table) -> pa.Table:
@@ -121,6 +125,24 @@ def _gram_parts(msa: DataFrame, weights: DataFrame | Column | None, counts: Coun
     return added(dealt.groupBy("part", "tile").applyInArrow(run, "i int, part long, block binary"), ["i"], groups, FAN).select("i", "block")
 
 
+def _gram_parts_in_place(rows: DataFrame, length: int) -> DataFrame:
+    """The same where the sums of all positions fit a task: every task adds its own rows, and only sums are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = np.zeros((length * LETTERS,) * 2) if total is None else total
+                add_products(total, codes_in(batch.column(0)), batch.column(1).to_numpy(), 0, length)
+        if total is None:
+            return
+        part = TaskContext.get().partitionId() % (FAN * FAN)
+        for k in range(length):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int64()), pa.array([total[k * LETTERS : (k + 1) * LETTERS].tobytes()], pa.binary())], ["i", "part", "block"])
+
+    return added(rows.mapInArrow(run, "i int, part long, block binary"), ["i"], FAN * FAN, FAN).select("i", "block")
+
+
 def _by_position(parts: DataFrame, counts: Counts, use, schema: str) -> DataFrame:
     """Sum the parts of each position and hand (i, shares) to ``use``; shares with positions before i are not filled in."""
     length, total = counts.length, counts.total
