@@ -19,8 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of files that would be read by fewer tasks than there are cores, dealt to all of them; others as they are.
+
+    A small table is often one row group, which one task reads; what is done with its rows should not be.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def text_alignment(docs: DataFrame, columns: int = TEXT_COLUMNS) -> DataFrame:
     """(seq_id, hd, seq) of ``docs(doc_id, text, lang, source)``; characters that are no letter of the alphabet are gaps."""
+    docs = spread(docs.select("doc_id", "text", "lang", "source"), "doc_id")
     letters = F.upper(F.regexp_replace("text", "[^AC-IK-NP-TVWYac-ik-np-tvwy]", "-"))
     rows = docs.where("length(text) > 0").select("doc_id", "lang", "source", letters.alias("letters"))
     cut = rows.select("doc_id", "lang", "source", F.posexplode(F.regexp_extract_all("letters", F.lit(f".{{1,{columns}}}"), 0)).alias("k", "row"))
