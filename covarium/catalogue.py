@@ -16,7 +16,7 @@ from covarium.functions.settle import shared_folder
 from covarium.operators import annotate, filters, freq, graph, null_model, reference, sampling, sectors, seqspace, spectral, weights
 from covarium.plans import plots
 from covarium.queries import ORACLES, _CELLS, _CLUSTERS, _COUPLED, _LONG_VECTORS, _PAIRS_NOGAP, _W_SQL, _WITH_TEXT, _WITH_VECTORS, _clusters, _simple_weights, _text_coupling, _vector_modes, query, r6, texts, vector_weights, vectors
-from covarium.sources import readers, writers
+from covarium.sources import fasta_source, readers, writers
 from covarium.streaming import incremental
 
 
@@ -50,6 +50,15 @@ def fasta_round_trip(spark, sf_dir):
     return readers.read_alignment(spark, path).select("hd", "seq")
 
 
+@query(f"WITH {_DOCUMENTS} SELECT hd, upper(seq) AS seq FROM docs")
+def fasta_data_source(spark, sf_dir):
+    """Written as FASTA and read by the data source, in ranges of bytes."""
+    path = _folder(spark)
+    writers.write_fasta(_documents(spark, sf_dir), path)
+    fasta_source.register(spark)
+    return spark.read.format("fasta").option("splitBytes", 1 << 20).load(path).select("hd", "seq")
+
+
 @query(f"WITH {_DOCUMENTS} SELECT hd, upper(replace(seq, '-', '')) AS seq FROM docs WHERE replace(seq, '-', '') <> ''")
 def fasta_ungapped(spark, sf_dir):
     path = _folder(spark)
@@ -148,6 +157,12 @@ def structure_distances(spark, sf_dir):
     return readers.residue_distances(*_structure(spark, sf_dir)).select("a", "b", r6("d"))
 
 
+@query(f"WITH {_ATOMS}, pairs AS (SELECT p.vec_id AS a, q.vec_id AS b, min(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2))) AS d FROM atom p, atom q GROUP BY 1, 2) SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, round(d, 6) AS d FROM pairs WHERE d < 5")
+def structure_contacts(spark, sf_dir):
+    """Contacts of the same residues, by cells."""
+    return readers.residue_distances(*_structure(spark, sf_dir), 5.0).select("a", "b", r6("d"))
+
+
 @query(f"{_WITH_VECTORS}, {_CELLS} SELECT seq_id, pos, code FROM cells")
 def results_round_trip(spark, sf_dir):
     folder = _folder(spark)

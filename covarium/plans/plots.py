@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covarium.functions.quantiles import quantiles
+
 
 def spectrum_histogram(values: DataFrame, bins: int, column: str = "eigval") -> DataFrame:
     """(bin, n) over equal bins between the extremes."""
@@ -81,7 +83,7 @@ def component_correlations(modes: DataFrame, n: int) -> DataFrame:
 
 def quartile_width(values: DataFrame, column: str) -> DataFrame:
     """(n, q1, q3, width): histogram bin width 2 * (q3 - q1) * n ** -0.33."""
-    q = values.agg(F.count(column).alias("n"), F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"))
+    q = quantiles(values, column, [0.25, 0.75]).select("n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     return q.withColumn("width", 2 * (F.col("q3") - F.col("q1")) * F.pow(F.col("n"), F.lit(-0.33)))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from covarium.alignments import TEXT_SQL, VECTOR_SQL, table, text_alignment, vector_alignment
 from covarium.functions import encode
 from covarium.functions.encode import ALPHABET, BACKGROUND
+from covarium.functions.quantiles import quantiles
+from covarium.functions.settle import settle
 from covarium.operators import annotate, coupling, dca, filters, freq, graph, null_model, reference, sampling, sectors, seqspace, spectral, weights
 from covarium.plans import pipeline, plots
 
@@ -321,15 +323,15 @@ def trunc_diag(spark, sf_dir):
 
 @query(f"{_COUPLED}, cut AS (SELECT quantile_cont(c, 0.9) AS q FROM csca WHERE i < j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(c, 6) AS c FROM csca, cut WHERE i < j AND c > q")
 def coupling_edges(spark, sf_dir):
-    c = _text_coupling(spark, sf_dir).where("i < j")
-    q = c.agg(F.percentile("c", 0.9).alias("q"))
+    c = settle(_text_coupling(spark, sf_dir).where("i < j"))
+    q = quantiles(c, "c", [0.9]).select(F.get("q", F.lit(0)).alias("q"))
     return c.crossJoin(F.broadcast(q)).where("c > q").select("i", "j", r6("c"))
 
 
 @query(f"{_COUPLED}, cut AS (SELECT quantile_cont(c, 0.9) AS q FROM csca WHERE i < j) SELECT DISTINCT CAST(pos AS INTEGER) AS pos FROM grid WHERE pos NOT IN (SELECT i FROM csca, cut WHERE i < j AND c > q)")
 def edge_isolated(spark, sf_dir):
-    c = _text_coupling(spark, sf_dir).where("i < j")
-    q = c.agg(F.percentile("c", 0.9).alias("q"))
+    c = settle(_text_coupling(spark, sf_dir).where("i < j"))
+    q = quantiles(c, "c", [0.9]).select(F.get("q", F.lit(0)).alias("q"))
     strong = c.crossJoin(F.broadcast(q)).where("c > q").select(F.col("i").alias("pos")).distinct()
     return spark.range(60).select(F.col("id").cast("int").alias("pos")).join(strong, "pos", "left_anti")
 

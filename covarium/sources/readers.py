@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +94,7 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 def read_position_labels(spark: SparkSession, path: str) -> DataFrame:
     """(pos, label), one label a line."""
     rows = _lines(spark, path).where("trim(text) <> ''")
-    return rows.select((F.row_number().over(Window.orderBy("line")) - 1).alias("pos"), F.trim("text").alias("label"))
+    return numbered(rows, "line", "pos").select(F.col("pos").cast("int").alias("pos"), F.trim("text").alias("label"))
 
 
 def read_keep(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -129,16 +131,28 @@ def read_structure(spark: SparkSession, path: str, chain: str = "A") -> tuple[Da
     at = lambda a, n: F.trim(F.substring("text", a, n))
     rows = atom.select("line", F.concat(at(23, 4), at(27, 1)).alias("label"), F.coalesce(letter[at(18, 3)], F.lit("X")).alias("aa"), *[at(a, 8).cast("double").alias(c) for c, a in (("x", 31), ("y", 39), ("z", 47))])
     residues = rows.groupBy("label").agg(F.min("line").alias("first"), F.first("aa").alias("aa"))
-    residues = residues.select((F.row_number().over(Window.orderBy("first")) - 1).alias("idx"), "label", "aa")
+    residues = numbered(residues, "first", "idx").select(F.col("idx").cast("int").alias("idx"), "label", "aa")
     return residues, rows.join(residues.select("label", "idx"), "label").select("idx", "x", "y", "z")
 
 
-def residue_distances(residues: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(a, b, d): the smallest distance between atoms of two residues, by labels."""
+def residue_distances(residues: DataFrame, atoms: DataFrame, limit: float | None = None) -> DataFrame:
+    """(a, b, d): the smallest distance between atoms of two residues, by labels; with a ``limit`` only those below it.
+
+    With a limit, atoms are dealt to cells as wide as it, and each is compared with those of its own cell and the 26 around, so that the
+    work grows with the contacts. Without, all pairs are compared.
+    """
     p = atoms.select(F.col("idx").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
     q = atoms.select(F.col("idx").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     d = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))
-    pairs = p.join(q, F.col("i") <= F.col("j")).groupBy("i", "j").agg(F.min(d).alias("d"))
+    if limit is None:
+        near = p.join(q, F.col("i") <= F.col("j"))
+    else:
+        cell = lambda c: F.floor(F.col(c) / limit)
+        around = F.explode(F.array(*[F.array(*[F.lit(k) for k in step]) for step in itertools.product((-1, 0, 1), repeat=3)]))
+        p = p.select("*", around.alias("step")).select("i", "x1", "y1", "z1", *[(cell(f"{c}1") + F.col("step")[k]).alias(f"c{c}") for k, c in enumerate("xyz")])
+        q = q.select("*", *[cell(f"{c}2").alias(f"c{c}") for c in "xyz"])
+        near = p.join(q, ["cx", "cy", "cz"]).where((F.col("i") <= F.col("j")) & (d < limit))
+    pairs = near.groupBy("i", "j").agg(F.min(d).alias("d"))
     pairs = pairs.union(pairs.where("i < j").select("j", "i", "d"))
     names = residues.select("idx", "label")
     return pairs.join(names.select(F.col("idx").alias("i"), F.col("label").alias("a")), "i").join(names.select(F.col("idx").alias("j"), F.col("label").alias("b")), "j").select("a", "b", "d")
