@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from covarium.alignments import table
 from covarium.functions import encode
-from covarium.functions.settle import shared_folder
+from covarium.functions.settle import settle, shared_folder
 from covarium.operators import annotate, filters, freq, graph, null_model, reference, sampling, sectors, seqspace, spectral, weights
 from covarium.plans import plots
 from covarium.queries import ORACLES, _CELLS, _CLUSTERS, _COUPLED, _LONG_VECTORS, _PAIRS_NOGAP, _W_SQL, _WITH_TEXT, _WITH_VECTORS, _clusters, _simple_weights, _text_coupling, _vector_modes, query, r6, texts, vector_weights, vectors
@@ -20,6 +20,9 @@ from covarium.sources import fasta_source, readers, writers
 from covarium.streaming import incremental
 
 
+_DRAW = "(CAST('0x' || substr(md5('3:' || seq_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder in the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
@@ -211,6 +214,26 @@ def network_node_table(spark, sf_dir):
     return nodes.select("label", "di", "sector", r6("v1"), r6("v2"), r6("v3"))
 
 
+@query(f"{_COUPLED} SELECT round(sum(CASE WHEN i = j THEN c ELSE 0 END), 4) AS trace, round(sum(CASE WHEN i = j THEN c * c ELSE 2 * c * c END), 3) AS squares, 0 AS loose, 0 AS slanted FROM csca")
+def leading_modes(spark, sf_dir):
+    """All modes by block Lanczos: sums of eigenvalues and their squares, and how many pairs have a residual or an angle that is not 0."""
+    import numpy as np
+
+    c = settle(_text_coupling(spark, sf_dir))
+    vectors_, values, residuals = spectral.leading_modes(c, 60, 60)
+    slanted = int((np.abs(vectors_.T @ vectors_ - np.eye(60)) > 1e-9).sum())
+    loose = int((residuals > 1e-9 * values.max()).sum())
+    return spark.createDataFrame([(float(round(values.sum(), 4)), float(round((values**2).sum(), 3)), loose, slanted)], "trace double, squares double, loose int, slanted int")
+
+
+@query(f"{_WITH_VECTORS}, {_W_SQL}, n AS (SELECT round(1.5 * sum(w)) AS n FROM w), chosen AS (SELECT seq_id FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN seq_id % 50 = 0 THEN -1 ELSE -ln({_DRAW}) / w END, seq_id) AS r FROM w) WHERE r <= least((SELECT n FROM n), 200)), few AS (SELECT * FROM msa WHERE seq_id IN (SELECT seq_id FROM chosen)), {_PAIRS_NOGAP.replace('FROM msa a, msa b', 'FROM few a, few b')} SELECT i, j, round(same / l, 6) AS s FROM pairs WHERE i < j AND same / l > 0.25")
+def sampled_similarity(spark, sf_dir):
+    """Similarities of 1.5 times the effective number of sequences, 200 at most, with every fiftieth kept."""
+    msa = vectors(spark, sf_dir).select("seq_id", "hd", "seq")
+    found, _ = sampling.sampled_similarity(msa, _simple_weights(msa), keep=msa.where("seq_id % 50 = 0").select("seq_id"), cap=200, minimum=0.25, seed=3)
+    return found.select("i", "j", r6("s"))
+
+
 _GROUPS = "g AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank, CAST(c_custkey AS VARCHAR) AS label FROM customer)"
 
 
@@ -220,6 +243,20 @@ def _customer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("sector").alias("k"), "rank", F.col("pos").cast("string").alias("label"))
 
 
+_RGB = "'[' || " + " || ',' || ".join(f"printf('%.3f', greatest(0, least(1, abs(fmod(hue + {shift}, 6) - 3) - 1)))" for shift in (0, 4, 2)) + " || ']'"
+
+
+@query(f"""WITH {_GROUPS}, own AS (SELECT k, (dense_rank() OVER (ORDER BY k) - 1) * 6.0 / (SELECT count(DISTINCT k) FROM g) AS hue, string_agg(label, ',' ORDER BY rank) AS r FROM g GROUP BY k),
+  kinds AS (SELECT * FROM (VALUES ('sector'), ('ic_')) v(name)), both_ AS (SELECT name || (k + 1) AS own, 'color_' || name || (k + 1) AS colour, {_RGB} AS rgb, r FROM own, kinds)
+  SELECT unnest(['delete all', 'load m.pdb, main', 'hide all', 'bg_color white', 'show cartoon, (chain A)', 'color white', 'zoom', 'set transparency, 0.4', 'ray', 'png image', 'quit']) AS value
+  UNION ALL SELECT unnest(['set_color ' || colour || ', ' || rgb, 'create ' || own || ', (resi ' || r || ') & (chain A)', 'color ' || colour || ', ' || own, 'show spheres, ' || own, 'show surface, ' || own]) FROM both_""")
+def viewer_script_whole(spark, sf_dir):
+    """The whole script, for sectors and components, with colours, spheres and surfaces."""
+    groups = _customer_groups(spark, sf_dir)
+    return writers.viewer_script("m.pdb", {"sector": groups, "ic_": groups}).select("value")
+
+
+
 @query(f"WITH {_GROUPS} SELECT k * 3 AS line, 'select sector' || (k + 1) || ', chain A and resi ' || string_agg(label, '+' ORDER BY rank) AS value FROM g GROUP BY k UNION ALL SELECT DISTINCT k * 3 + 2, 'show sticks, sector' || (k + 1) FROM g")
 def viewer_script(spark, sf_dir):
     return writers.structure_script(_customer_groups(spark, sf_dir)).where("line % 3 <> 1")
@@ -306,7 +343,6 @@ def last_rows(spark, sf_dir):
     return annotate.last_by_id(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
-_DRAW = "(CAST('0x' || substr(md5('3:' || seq_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
 
 
 @query(f"{_WITH_TEXT}, {_W_SQL} SELECT seq_id, w FROM w ORDER BY -ln({_DRAW}) / w, seq_id LIMIT 1000")
