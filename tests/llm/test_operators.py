@@ -747,4 +747,4 @@ def test_native_plans(spark):
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
