@@ -9,11 +9,12 @@ backslash of the output starts an escape, the replacements may be undone one aft
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What opens a block, ends its role, parts its turns and ends it.
 OPEN, AFTER_ROLE, BETWEEN, CLOSE = "### ", ": ", "<turn>", "</turn>\n"
+STRIP = 1_024
 _ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
 
 
@@ -50,23 +51,30 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         tail = F.when((i == last - 1) | other(i, i + 1), F.lit(CLOSE)).otherwise(F.lit(""))
         return F.struct(head.alias("head"), escaped(t["text"]).alias("body"), tail.alias("tail"), (t["role"] == loss_role).alias("loss"))
 
-    pieces = sorted_.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["head"])
-        span = F.struct(start.alias("start"), F.length(p["body"]).alias("length"))
-        return F.struct((start + F.length(p["body"]) + F.length(p["tail"])).alias("at"), F.when(p["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return pieces.select(
+    # one row for each turn, so that lengths add up in one pass; rows stay where the conversation is
+    pieces = sorted_.select("conv_id", F.posexplode(F.transform("turns", piece)).alias("i", "p"))
+    before = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("p.head") + F.length("p.body") + F.length("p.tail")
+    start = F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int") + F.length("p.head")
+    placed = pieces.select("conv_id", "i", F.concat("p.head", "p.body", "p.tail").alias("piece"), F.when(F.col("p.loss"), F.struct(start.alias("start"), F.length("p.body").alias("length"))).alias("span"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "piece", "span"))).alias("parts"))
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.aggregate("pieces", zero, step)["spans"].alias("loss_spans"),
+        F.array_join("parts.piece", "").alias("formatted"),
+        F.filter("parts.span", lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often lambdas inside ask for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def read_chats(chats: DataFrame) -> DataFrame:
-    """The inverse: ``(conv_id, turns, loss_text)``, turns as (role, text) and the unescaped text under the loss mask."""
+    """The inverse: ``(conv_id, turns, loss_text)``, turns as (role, text) and the unescaped text under the loss mask.
+
+    Spans are cut from strips of ``STRIP`` characters, so that none is searched from the start of a long output.
+    """
     blocks = F.split("formatted", CLOSE, -1)
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
 
@@ -74,10 +82,18 @@ def read_chats(chats: DataFrame) -> DataFrame:
         head = F.substring_index(block, AFTER_ROLE, 1)
         body = F.substring(block, F.length(head) + len(AFTER_ROLE) + 1, F.length(block))
         role = unescaped(F.substring(head, F.lit(len(OPEN) + 1), F.length(head)), role=True)
-        return F.transform(F.split(body, BETWEEN, -1), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
+        return _bound(role, lambda r: F.transform(F.split(body, BETWEEN, -1), lambda t: F.struct(r.alias("role"), unescaped(t).alias("text"))))
+
+    def masked(strips: Column) -> Column:
+        def cut(s: Column) -> Column:
+            first = F.floor(s["start"] / STRIP).cast("int")
+            some = F.slice(strips, first + 1, F.floor((s["start"] + s["length"]) / STRIP).cast("int") - first + 1)
+            return unescaped(F.substring(F.array_join(some, ""), s["start"] - first * STRIP + 1, s["length"]))
+
+        return F.transform("loss_spans", cut)
 
-    masked = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
-    return chats.select("conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), F.array_join(masked, "").alias("loss_text"), F.length("formatted").alias("formatted_chars"))
+    strips = F.regexp_extract_all("formatted", F.lit("(?s).{1,%d}" % STRIP), F.lit(0))
+    return chats.select("conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), F.array_join(_bound(strips, masked), "").alias("loss_text"), F.length("formatted").alias("formatted_chars"))
 
 
 def digest(read: DataFrame) -> DataFrame:

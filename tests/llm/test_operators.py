@@ -470,6 +470,18 @@ def test_chats(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chats_of_many_turns(spark):
+    """Long conversations, of one block or of many, with characters outside the basic plane at the ends of strips."""
+    text = "\U0001f600 <a#b\\\n"
+    rows = [(c, t, "assistant" if c == 1 or t % 2 else "user", f"{text * (t % 5)}{t}") for c in (1, 2) for t in range(3_000)]
+    rows += [(3, 0, "assistant", text * 4_000), (3, 1, "user", ""), (3, 2, "assistant", "")]
+    read = {r["conv_id"]: r for r in chatformat.read_chats(chatformat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))).collect()}
+    for c in (1, 2, 3):
+        own = [(role, t) for k, _, role, t in rows if k == c]
+        assert [tuple(t) for t in read[c]["turns"]] == own
+        assert read[c]["loss_text"] == "".join(t for role, t in own if role == "assistant")
+
+
 def water_fill(children, budget):
     """children: name -> (weight, capacity); exact shares by repeated filling."""
     out, left, open_ = {}, budget, dict(children)
