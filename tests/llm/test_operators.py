@@ -641,6 +641,42 @@ def test_decontamination_against_brute_force(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 60
 
 
+def synonyms(rng, n_pairs=240, n_topics=24):
+    """Items, documents that say them in other words, and a corpus in which both words of a pair stand in the same contexts."""
+    small = [f"of{k}" for k in range(12)]
+    pairs = [(f"first{k}", f"second{k}") for k in range(n_pairs)]
+    context = [[f"topic{t}word{j}" for j in range(3)] for t in range(n_pairs)]
+    corpus = []
+    for i in range(1_600):
+        own = [(7 * i + 3 * j) % n_pairs for j in range(4)]
+        words = [w for k in own for w in (*context[k], rng.choice(pairs[k]) if i % 5 else pairs[k][1], *rng.choices(small, k=4))]
+        corpus.append(" ".join(words))
+    items, rows = [], []
+    for k in range(n_topics):
+        own = rng.sample(range(n_pairs), 8)
+        both = [(w, x) for n in own for w, x in [pairs[n], *[(s, s) for s in rng.choices(small, k=3)]]]
+        items.append((k, " ".join(w for w, _ in both)))
+        rows.append((10_000 + k, " ".join(x for _, x in both)))
+    return items, rows + list(enumerate(corpus))
+
+
+def test_decontamination_finds_other_words_by_latent_axes_alone(spark, monkeypatch):
+    """Without the axes of meaning, or with each word an axis of its own, the same paraphrases are missed."""
+    items, rows = synonyms(random.Random(21))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(10_000 + k, k) for k, _ in items}
+
+    def found():
+        return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
+
+    got = found()
+    assert len(got & want) >= 0.9 * len(want) and all(d >= 10_000 for d, _ in got)
+    real = decontaminate.alike
+    monkeypatch.setattr(decontaminate, "alike", lambda v, axes, terms: real(v, np.eye(len(v)), terms))
+    assert len(found() & want) <= 0.1 * len(want)
+
+
 def test_common_subsequence():
     rng = random.Random(10)
     for _ in range(30):
