@@ -8,8 +8,9 @@ takes texts from a longer one only where it parses them in fewer phrases. Chargi
 make a phrase of a sample of two letters cost one bit, and any text cheapest there.
 
 Automata come from at most ``SAMPLE`` letters of a language, taken from documents in a seeded order;
-this bound is a parameter. Texts are parsed whole, in blocks of ``BLOCK`` letters in which a phrase
-may not cross a block's end (the same for all languages); all blocks of a chunk step together.
+this bound is a parameter. Texts are parsed whole. All blocks of ``BLOCK`` letters of a chunk step together, each at first as if
+a phrase started with it; then the parse of the block before enters it, and its phrases are counted anew up to
+the letter from which both parses are in the same state. Where they stay apart to the block's end, the next block follows.
 """
 
 from __future__ import annotations
@@ -94,18 +95,44 @@ class Automata:
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each row of squeezed bytes needs in each language: (rows, languages)."""
         rows, k = len(offsets) - 1, len(self.langs)
-        size = np.diff(offsets)
-        blocks = -(-size // BLOCK)
+        blocks = -(-np.diff(offsets) // BLOCK)
+        last = np.cumsum(blocks) - 1
         row = np.repeat(np.arange(rows), blocks)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        within = np.arange(len(row)) - (last - blocks + 1)[row]
         start = offsets[:-1][row] + within * BLOCK
         long = np.minimum(start + BLOCK, offsets[1:][row]) - start
-        order = np.argsort(-long, kind="stable")
-        row, start, long = row[order], start[order], long[order]
+        roots = np.array(self.roots, np.int32)
+        count, end = self._from_roots(data, start, long)
+        entry = np.tile(roots, (len(row), 1))
+        at, lang = np.nonzero((end[:-1] != roots) & (within[1:, None] > 0))
+        at += 1
+        while len(at):
+            new = end[at - 1, lang]
+            more, state, met = self._entered(data, start[at], long[at], entry[at, lang], new, roots[lang])
+            count[at, lang] += more
+            entry[at, lang] = new
+            far = ~met & (state != end[at, lang])
+            at, lang = at[far], lang[far]
+            end[at, lang] = state[far]
+            at = at + 1
+            goes_on = at < len(row)
+            goes_on[goes_on] = within[at[goes_on]] > 0
+            at, lang = at[goes_on], lang[goes_on]
         out = np.zeros((rows, k), np.int64)
+        np.add.at(out, row, count)
+        some = np.flatnonzero(blocks > 0)
+        out[some] += end[last[some]] != roots
+        return out
+
+    def _from_roots(self, data: np.ndarray, start: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end inside each block if one starts with it, and the states at its end: both (blocks, languages)."""
+        k = len(self.langs)
+        counts, ends = np.zeros((len(start), k), np.int64), np.zeros((len(start), k), np.int32)
+        order = np.argsort(-long, kind="stable")
         lanes = 1024
-        for a in range(0, len(row), lanes):  # equal lengths together: few lanes end early
-            s, n, r = start[a : a + lanes], long[a : a + lanes], row[a : a + lanes]
+        for a in range(0, len(order), lanes):  # equal lengths together: few lanes end early
+            own = order[a : a + lanes]
+            s, n = start[own], long[own]
             root = np.tile(np.array(self.roots, np.int32), (len(s), 1))
             state, count = root.copy(), np.zeros((len(s), k), np.int32)
             active = len(s) - np.searchsorted(n[::-1], np.arange(int(n[0])), side="right")
@@ -123,9 +150,24 @@ class Automata:
                     flat_count[miss] += (flat_state[miss] != flat_root[miss]).astype(np.int32) + lost
                     flat_to[miss] = np.where(lost, flat_root[miss], again)
                 state[:m] = to
-            count += state != root
-            np.add.at(out, r, count)
-        return out
+            counts[own], ends[own] = count, state
+        return counts, ends
+
+    def _entered(self, data, start, long, old, new, root) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs of a block and a language: how many more phrases end inside it from state ``new`` than from ``old``, the state
+        at its end from ``new``, and whether both parses met (then it is the one from ``old``, and is not worked out)."""
+        states, more = np.stack([old, new]), np.zeros(len(start), np.int64)
+        live, t = np.arange(len(start)), 0
+        while len(live):
+            c = self.code[data[start[live] + t]].astype(np.int32)
+            own, base = states[:, live], root[live]
+            to, again = self.table.take(own + c), self.table.take(base + c)
+            ended = np.where(to < 0, (own != base).astype(np.int64) + (again < 0), 0)
+            more[live] += ended[1] - ended[0]
+            states[:, live] = np.where(to < 0, np.where(again < 0, base, again), to)
+            t += 1
+            live = live[(states[0, live] != states[1, live]) & (t < long[live])]
+        return more, states[1], states[0] == states[1]
 
 
 def _predict(samples):

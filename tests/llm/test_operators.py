@@ -178,6 +178,16 @@ def test_suffix_dedup_matches_brute_force(docs, texts, wide, monkeypatch):
     assert got == brute_repeats(texts)
 
 
+def test_a_gram_of_very_many_contexts(spark):
+    """50,000 different surroundings of one line: more than WIDE, of which no two are equal as a whole."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line, before, after = word(62), [word(50) for _ in range(499)], [word(50) for _ in range(503)]
+    rows = [(i, before[i % 499] + line + after[i * 7 % 503]) for i in range(50_000)]
+    got = {r[0]: tuple(r[1:5]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_suffix_dedup_edges(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 700)  # long texts come in overlapping pieces
     rng = random.Random(1)
@@ -264,11 +274,15 @@ def greedy_phrases(sample, text):
     return n
 
 
-def test_cross_parsing_matches_greedy_search():
+@pytest.mark.parametrize("block", [1, 7, 64, 1024])
+def test_cross_parsing_matches_greedy_search(monkeypatch, block):
+    """Phrases may cross blocks, of which whole matches of a sample are many long."""
+    monkeypatch.setattr(language, "BLOCK", block)
     rng = random.Random(3)
     samples = {"a": "".join(rng.choice("abc ") for _ in range(400)).encode(), "b": "".join(rng.choice("bcd ") for _ in range(300)).encode()}
     automata = language.Automata(samples)
-    rows = ["".join(rng.choice("abcde ") for _ in range(n)).encode() for n in (0, 1, 5, 80, 700, 1024)]
+    rows = ["".join(rng.choice("abcde ") for _ in range(n)).encode() for n in (0, 1, 5, 80, 700, 1024, 3000)]
+    rows += [samples["a"], samples["b"] * 3, b"", samples["a"][5:] + samples["b"] + b"e", b"a" * 2100]
     at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     got = automata.phrases(np.frombuffer(b"".join(rows), np.uint8), at)
     assert got.tolist() == [[greedy_phrases(samples[x], r) for x in ("a", "b")] for r in rows]
@@ -292,7 +306,7 @@ def test_language(spark):
 
 
 def test_language_matches_greedy_search(spark):
-    """The whole query against greedy search in the samples, block by block."""
+    """The whole query against greedy search in the samples, over whole texts."""
     rng = random.Random(14)
     letters = {"aa": "abcde fgh", "bb": "abcdf gij", "cc": "xyzab cd"}
     rows = [(i, "".join(rng.choice(letters[x]) for _ in range(rng.choice([3, 40, 2500]))), x) for i, x in enumerate(list(letters) * 25)]
@@ -303,7 +317,7 @@ def test_language_matches_greedy_search(spark):
     names = sorted(samples, key=lambda x: (-len(samples[x]), x))
     for r in language.identify(df).join(df.select("doc_id", "text"), "doc_id").collect():
         text = re.sub(r"[^a-z]+", " ", r["text"].lower()).encode()
-        need = [sum(greedy_phrases(samples[x], text[a : a + language.BLOCK]) for a in range(0, len(text), language.BLOCK)) for x in names]
+        need = [greedy_phrases(samples[x], text) for x in names]
         first, second = sorted(need)[:2]
         assert r["lang_pred"] == names[need.index(first)] and abs(r["score"] - (1 - first / second)) < 1e-9
 
