@@ -17,8 +17,8 @@ every 35 bytes:
    what the slices have left, gram by gram.
 
 Where a slice or a gram has more than ``MANY`` contexts (long runs of one character, boilerplate), equal ones are
-merged before the sort. Grams with more than ``WIDE`` contexts left are not sorted in one task: their windows are digested
-(192 bits) and the earliest place of each is found by a grouped minimum with map-side combining.
+merged before the sort. Grams with more than ``WIDE`` contexts left are not sorted in one task: Spark groups their windows, by all of
+their bytes, and finds the earliest place of each by a minimum with map-side combining.
 """
 
 from __future__ import annotations
@@ -421,9 +421,8 @@ def _wide_repeats(contexts: DataFrame) -> DataFrame:
     lo, more = F.shiftright("place", 31).alias("lo"), F.shiftright("place", 7).bitwiseAND((1 << 24) - 1)
     w = contexts.select("doc_id", lo, (F.shiftright("place", 31) + more).alias("hi"), "context")
     w = w.select("doc_id", F.explode(F.sequence("lo", "hi")).alias("p"), "lo", "context").select("doc_id", "p", F.expr("substring(context, cast(p - lo + 1 as int), 100)").alias("window"))
-    w = w.select("doc_id", "p", F.xxhash64("window").alias("h1"), F.md5("window").alias("h2"))
-    first = w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return w.join(first, ["h1", "h2"]).where(F.struct("doc_id", "p") != F.col("first")).select("doc_id", F.col("p").cast("int").alias("s"), (F.col("p") + LENGTH).cast("int").alias("e"))
+    first = w.groupBy("window").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return w.join(first, "window").where(F.struct("doc_id", "p") != F.col("first")).select("doc_id", F.col("p").cast("int").alias("s"), (F.col("p") + LENGTH).cast("int").alias("e"))
 
 
 def _keep_batches(batches):
