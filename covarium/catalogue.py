@@ -439,6 +439,35 @@ def seq_proj_dots(spark, sf_dir):
     return both.select(F.col("k").cast("int").alias("k"), F.col("l").cast("int").alias("l"), (F.round("dot", 5) + 0.0).alias("dot"))
 
 
+def _fixed_point(y):
+    """(k, l, value) of components (seq_id, k, u) as the unmixing matrix leaves them: the mean of tanh(u_k / 2) u_l over all rows."""
+    own = y.select("seq_id", "k", F.tanh(F.col("u") / 2).alias("t"))
+    n = F.count_distinct("seq_id")
+    both = own.join(y.select("seq_id", F.col("k").alias("l"), "u"), "seq_id").groupBy("k", "l").agg((F.sum(F.col("t") * F.col("u")) / n).alias("value"))
+    return both.select(F.col("k").cast("int").alias("k"), F.col("l").cast("int").alias("l"), (F.round("value", 5) + 0.0).alias("value"))
+
+
+_IDENTITY = "SELECT CAST(k AS INTEGER) AS k, CAST(l AS INTEGER) AS l, CAST(k = l AS DOUBLE) AS value FROM range({n}) a(k), range({n}) b(l)"
+
+
+@query(_IDENTITY.format(n=3))
+def seq_components_fixed_point(spark, sf_dir):
+    """What ends the rotation of the sequence space, over all sequences: the identity."""
+    msa = vectors(spark, sf_dir).select("seq_id", "hd", "seq")
+    u = settle(seqspace.projections(msa, vector_weights(msa), 3, ["weighted"])["weighted"])
+    return _fixed_point(seqspace.mixed(u, seqspace.unmixing(u, 3)))
+
+
+@query(_IDENTITY.format(n=4))
+def independent_components_fixed_point(spark, sf_dir):
+    """The same for the leading modes of the couplings, over all positions."""
+    from covarium.queries import _decomposed
+
+    v, _ = _decomposed(spark, sf_dir)
+    modes = spectral.modes_frame(spark, v[:, :4]).select(F.col("pos").alias("seq_id"), "k", F.col("v").alias("u"))
+    return _fixed_point(seqspace.mixed(modes, spectral.rotate(v[:, :4], 4)[1]))
+
+
 @query()
 def seq_proj(spark, sf_dir):
     """Sequences along the independent components of the weighted sequence space."""
