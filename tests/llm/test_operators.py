@@ -691,6 +691,36 @@ def test_decontamination_finds_other_words_by_latent_axes_alone(spark, monkeypat
     assert len(found() & want) <= 0.1 * len(want)
 
 
+def test_decontamination_counts_words_and_axes_over_all_passages(spark, monkeypatch):
+    """Words and passages of a corpus as counted one by one, and axes of meaning as of the whole matrix; no document and no window is left out."""
+    monkeypatch.setattr(decontaminate, "MEANING", 6)
+    rng = random.Random(22)
+    topics = [[f"t{k}w{j}" for j in range(30)] for k in range(6)]
+    texts = [" ".join(rng.choices(topics[i % 6], k=rng.randrange(1, 130)) + [f"once{i}"]) for i in range(2_400)]
+    items = decontaminate.Items.read([(0, " ".join(topics[0][:15])), (1, " ".join(topics[1][:15]))])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    terms = spark.sparkContext.broadcast(items.terms)
+    df, n, n_passages, often = decontaminate._counts(docs.select("text"), terms)
+    passages = [t.split()[a : a + decontaminate.WINDOW] for t in texts for a in range(0, len(t.split()), decontaminate.WINDOW)]
+    assert (n, n_passages) == (len(texts), len(passages))
+    of = {w: int(decontaminate._hashes(w)[0]) for t in topics for w in t}
+    name = {h: w for w, h in of.items()}
+    assert df.tolist() == [sum(name[int(h)] in t.split() for t in texts) for h in items.terms]
+    assert {int(h) for h in often} == set(of.values())
+    seen = {}
+    monkeypatch.setattr(decontaminate, "alike", lambda v, axes, t: seen.update(v=v, axes=axes) or (v[:0], np.zeros(0, np.int64), np.zeros(0)))
+    decontaminate._corpus_axes(docs.select("text"), terms, np.ones(len(items.terms) + 1), n_passages, often)
+    assert {int(h) for h in seen["v"]} == set(of.values())
+    column = {name[int(h)]: k for k, h in enumerate(seen["v"])}
+    whole = np.zeros((len(passages), len(column)))
+    for k, words in enumerate(passages):
+        for w in words:
+            if w in column:
+                whole[k, column[w]] += len(words) ** -0.5
+    leading = np.linalg.svd(whole, full_matrices=False)[2][:6].T
+    assert np.linalg.svd(leading.T @ seen["axes"])[1].min() > 0.999
+
+
 def test_common_subsequence():
     rng = random.Random(10)
     for _ in range(30):
