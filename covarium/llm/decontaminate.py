@@ -46,7 +46,7 @@ SHORT = 12
 CORPUS_AXES, DAMP = 16, 0.5
 MEANING, LEAST, SHARE, ALIKE = 64, 4, 0.002, 0.7
 CORPUS_PRODUCTS = 2
-CHUNK, GROUP, BLOCK = 1 << 21, 1 << 20, 1 << 16
+CHUNK, GROUP, BLOCK = 1 << 19, 1 << 20, 1 << 16
 ADDENDS = 64
 GROUPS = 16
 COSINE = 0.3
@@ -238,10 +238,11 @@ def _count_batches(number):
         for row, h, n_rows, texts in _chunks(batches):
             term = find(h)
             known = np.flatnonzero(term < terms)
-            key = (row[known].astype(np.int64) << 32) | term[known]
-            key.sort()
-            if len(key):
-                df += np.bincount(key[np.concatenate([[True], key[1:] != key[:-1]])] & 0xFFFFFFFF, minlength=terms)
+            order = known[np.argsort(term[known].astype(np.uint16) if terms <= 1 << 16 else term[known], kind="stable")]
+            key, of = term[order], row[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+            df += np.bincount(key[new], minlength=terms)
             n = int((-(-np.bincount(row, minlength=n_rows) // WINDOW)).sum())
             totals += (texts, n)
             group.append(h)
@@ -621,7 +622,7 @@ def _search_batches(index):
 
 def build_index(docs: DataFrame, items: Items) -> Index:
     spark = docs.sparkSession
-    texts, terms = docs.where("length(text) > 0").select("text"), spark.sparkContext.broadcast(items.terms)
+    texts, terms = docs.select("text"), spark.sparkContext.broadcast(items.terms)
     n_terms = len(items.terms)
     df, n, n_passages, often = _counts(texts, terms)
     idf = np.log((n + 1) / (np.minimum(df, n) + 1)) + 0.05
