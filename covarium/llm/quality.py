@@ -1,13 +1,15 @@
 """Quality classification by hierarchical empirical Bayes.
 
 Evidence of a document is a log-odds from a logistic model of text features (quality) and from a
-lexicon of words (toxicity), both learned from a bounded sample of labelled rows. Both go through the same hierarchy: hosts and the
+lexicon of words (toxicity), both learned from all labelled rows by sums over their partitions. Both go through the same hierarchy: hosts and the
 paths below them have Beta posteriors of their good and of their toxic share. A path's share is shrunk towards its host's, a
 host's towards the global one, with strengths found by moments from the grouped sums. A document's
 posterior odds are its own odds times the odds of its path (without the document itself) relative to the global odds.
 Sites with few documents thus stay at the global prior, and where sites do not differ, so do all.
 
-The text is read twice, by the grouped sums and by the final scores; nothing but sums is shuffled.
+The text is read three times: of labelled rows by the fit, of all rows by the grouped sums and by the final scores. Beyond sums, the fit
+shuffles words of toxic rows and numbers of those words that may be in the lexicon; and the labelled
+texts, with few others: bitmaps of the hashes of labelled ids go to all tasks first.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import types as T
 from covarium.llm import shared
 from covarium.llm.shared import cut
 
-#: Labelled rows used for fitting, about; a toxic word needs so many toxic witnesses, such a share of them, and such log-odds.
-#: The lexicon holds all words that have these, at most the words of the sample's toxic documents divided by LEXICON_LEAST.
-SAMPLE = 20_000
+#: A toxic word needs so many toxic witnesses, such a share of them, and such log-odds. The lexicon holds all words that have these, at most
+#: the mean number of words of a toxic witness divided by LEXICON_SHARE.
 LEXICON_LEAST, LEXICON_SHARE, LEXICON_ODDS = 3, 0.008, 3.9
 BROADCAST_PATHS = 200_000
+#: Bits of the bitmaps for each label: one text in so many without a label is shuffled as well.
+MARKS = 16
 KEEP_QUALITY, KEEP_TOXIC = 0.5, 0.98
 
 _CLASS = np.zeros((256, 5), np.int64)  # upper case, digit, symbol, letter, bar
@@ -113,15 +116,12 @@ class Model:
         return good, np.clip(toxic, -30, 30), n
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (intercept first) by Newton's method with a small ridge."""
-    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    w = np.zeros(x.shape[1])
+def logistic(sums, size: int, ridge: float = 1.0) -> np.ndarray:
+    """Weights (intercept first) by Newton's method with a small ridge; ``sums(w)`` is the slope and the bend of all rows at ``w``."""
+    w = np.zeros(size)
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * np.concatenate([[0], w[1:]])
-        bend = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
+        slope, bend = sums(w)
+        step = np.linalg.solve(bend + ridge * np.eye(size), slope + ridge * np.concatenate([[0], w[1:]]))
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -141,7 +141,7 @@ def witnesses(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sample_batches(batches):
+def _labelled_batches(batches):
     for batch in batches:
         data, offsets = shared.utf8(batch.column(1))
         for a, b in shared.row_chunks(offsets):
@@ -160,39 +160,130 @@ def _sample_batches(batches):
             )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from about ``sample`` labelled documents, chosen by a seeded hash of doc_id.
+def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
+    """The sum of ``of(x, quality)``, ``size`` numbers, over all rows; one such row leaves a task."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            total += of(batch.column(0).flatten().to_numpy().reshape(-1, N_FEATURES), batch.column(1).to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([shared.list_array(total, np.array([size]), pa.float64())], ["sums"])
+
+    return np.sum([r["sums"] for r in rows.select("x", "quality").mapInArrow(run, "sums array<double>").collect()] or [np.zeros(size)], axis=0)
+
+
+def _quality(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and scale of the features, and weights of the logistic model, over all rows: a pass for each of the first two and for each step."""
+    n, *total = _summed(rows, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0)]), 1 + N_FEATURES)
+    mean = np.array(total) / n
+    scale = np.maximum(np.sqrt(_summed(rows, lambda x, y: ((x - mean) ** 2).sum(axis=0), N_FEATURES) / n), 1e-9)
+    size = 1 + N_FEATURES
+
+    def sums(w):
+        def of(x, y):
+            x = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            return np.concatenate([x.T @ (p - y), ((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x).ravel()])
+
+        both = _summed(rows, of, size + size * size)
+        return both[:size], both[size:].reshape(size, size)
+
+    return mean, scale, logistic(sums, size)
+
+
+def _known_batches(words):
+    """For each witness of a batch, the numbers of those of ``words`` that its rows have."""
+
+    def run(batches):
+        known = words.value
+        for batch in batches:
+            lists = batch.column(1)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            h = lists.flatten().to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            witness, back = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            key = np.unique(back[row[hit]] * len(known) + at[hit])
+            counts = np.bincount(key // len(known), minlength=len(witness))
+            yield pa.RecordBatch.from_arrays([pa.array(witness), shared.list_array((key % len(known)).astype(np.int32), counts, pa.int32())], ["witness", "known"])
+
+    return run
+
+
+def _witness_counts(size: int):
+    """Witnesses that have each number, from rows sorted by witness; of one that batches share, ``had`` are the numbers so far."""
+
+    def run(batches):
+        n, had, last = np.zeros(size, np.int64), np.zeros(size, bool), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            witness, lists = batch.column(0).to_numpy(), batch.column(1)
+            group = np.concatenate([[0], np.cumsum(witness[1:] != witness[:-1])])
+            key = np.unique(np.repeat(group, lists.value_lengths().to_numpy()) * size + lists.flatten().to_numpy())
+            group_of, number = key // size, key % size
+            if witness[0] != last:
+                had[:] = False
+            n += np.bincount(number[(group_of > 0) | ~had[number]], minlength=size)
+            if group[-1] > 0:
+                had[:] = False
+            had[number[group_of == group[-1]]] = True
+            last = witness[-1]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["number", "n"])
+
+    return run
+
+
+def _lexicon(marked: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Toxic words, their log-odds, and the prior, from all of ``marked(toxic, witness, words)``. Near-copies of one text are one witness.
+
+    Words of enough toxic witnesses are found first, so that only these are counted among the others.
+    """
+    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.countDistinct("witness").alias("n")).collect()}
+    bad, fine = totals.get(1, 0), totals.get(0, 0)
+    if not bad or not fine:
+        return np.zeros(0, np.uint64), np.zeros(0), -4.0
+    prior = float(np.log(bad / fine))
+    seen = marked.where("toxic = 1").select("witness", F.explode("words").alias("w")).distinct()
+    often = seen.groupBy("w").agg(F.count("*").alias("b")).where(F.col("b") >= max(LEXICON_LEAST, LEXICON_SHARE * bad)).collect()
+    words, b = np.array([r["w"] for r in often], np.int64).view(np.uint64), np.array([r["b"] for r in often], np.int64)
+    if not len(words):
+        return words, np.zeros(0), prior
+    order = np.argsort(words)
+    words, b, f = words[order], b[order], np.zeros(len(words), np.int64)
+    known = marked.where("toxic = 0").select("witness", "words").mapInArrow(_known_batches(marked.sparkSession.sparkContext.broadcast(words)), "witness long, known array<int>")
+    counts = known.repartition("witness").sortWithinPartitions("witness").mapInArrow(_witness_counts(len(words)), "number int, n long")
+    for r in counts.groupBy("number").agg(F.sum("n").alias("n")).collect():
+        f[r["number"]] = r["n"]
+    odds = np.log((b + 0.5) / (bad + 1.0)) - np.log((f + 0.5) / (fine + 1.0))
+    return words[odds >= LEXICON_ODDS], odds[odds >= LEXICON_ODDS], prior
+
+
+def _marked(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """All of ``texts`` whose doc_id is in ``labels``, and about one in MARKS others, without a shuffle of texts."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS * max(labels.count(), 1))) + 1
+    marks = labels.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_marks"))
+    bit = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2) == 1
+    return texts.join(F.broadcast(marks), (F.bitmap_bucket_number(place) == F.col("_bucket")) & hit, "left_semi")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled documents.
 
     Rows of ``labels(doc_id, quality, toxic)`` without a label or a document are left out. Without
     labels of both kinds the evidence is neutral.
     """
     labels = labels.select("doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    n = labels.count()
-    some = labels.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
-    picked = cut(shared.only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").where("length(text) > 0").mapInArrow(_sample_batches, "quality int, toxic int, x array<double>, words array<long>, witness long"))
-    rows = picked.where("quality is not null").select("x", "quality").toArrow().combine_chunks()
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES) if rows.num_rows else np.zeros((0, N_FEATURES))
-    y = rows.column("quality").to_numpy().astype(float)
+    texts = shared.only(docs, "doc_id", "text").where("length(text) > 0")
+    labelled = cut(_marked(texts, labels.select("doc_id")).join(labels.hint("merge"), "doc_id").select("doc_id", "text", "quality", "toxic").mapInArrow(_labelled_batches, "quality int, toxic int, x array<double>, words array<long>, witness long"))
+    rows = labelled.where("quality is not null")
     weights, mean, scale = None, np.zeros(N_FEATURES), np.ones(N_FEATURES)
-    if len(set(y.tolist())) == 2:
-        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-        weights = logistic((x - mean) / scale, y)
-    # near-copies of one text are one witness
-    marked = picked.where("toxic is not null and size(words) > 0").select("toxic", "witness", "words")
-    totals = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.countDistinct("witness").alias("n")).collect()}
-    bad, fine = totals.get(1, 0), totals.get(0, 0)
-    lexicon, odds, prior = np.zeros(0, np.uint64), np.zeros(0), -4.0
-    if bad and fine:
-        seen = marked.select("toxic", "witness", F.explode("words").alias("w")).distinct()
-        words = seen.groupBy("w").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("f"))
-        ratio = F.log((F.col("b") + 0.5) / (bad + 1.0)) - F.log((F.col("f") + 0.5) / (fine + 1.0))
-        found = words.where(F.col("b") >= max(LEXICON_LEAST, LEXICON_SHARE * bad)).withColumn("odds", ratio).where(F.col("odds") >= LEXICON_ODDS).collect()
-        lexicon = np.array([r["w"] for r in found], np.int64).view(np.uint64)
-        odds = np.array([r["odds"] for r in found])
-        order = np.argsort(lexicon)
-        lexicon, odds = lexicon[order], odds[order]
-        prior = float(np.log(bad / fine))
-    return Model(mean, scale, weights, lexicon, odds, prior)
+    if rows.select("quality").distinct().count() == 2:
+        mean, scale, weights = _quality(rows)
+    return Model(mean, scale, weights, *_lexicon(labelled.where("toxic is not null and size(words) > 0").select("toxic", "witness", "words")))
 
 
 def _scores(model, text: int | None = None):

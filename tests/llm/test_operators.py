@@ -440,6 +440,48 @@ def test_quality_matches_numpy(spark):
         assert r["kept"] == (want[r["doc_id"]][0] >= quality.KEEP_QUALITY and want[r["doc_id"]][1] < quality.KEEP_TOXIC)
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """Mean, scale, weights and lexicon as by NumPy and counting over every labelled row, of more than 20,000; near-copies in many batches are one witness."""
+    rng = random.Random(31)
+    vocabulary = [f"word{k}" for k in range(400)]
+    vile = [f"vile{k}" for k in range(6)]
+    rows = []
+    for i in range(24_000):
+        words = rng.choices(vocabulary, k=rng.randrange(6, 14))
+        bad, toxic = rng.random() < 0.3, rng.random() < 0.1
+        if bad and rng.random() < 0.8:
+            words = [w.upper() if rng.random() < 0.3 else w + "##" for w in words]
+        if toxic:
+            words += rng.sample(vile, 2)
+        elif rng.random() < 0.002:
+            words.append(vile[0])
+        rows.append((i, " ".join(words), int(not bad), int(toxic)))
+    copy = " ".join(rng.choices(vocabulary, k=8)) + f" {vile[1]}"
+    rows += [(24_000 + i, copy, 1, 0) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").repartition(6)
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"))
+
+    raw = [r[1].encode() for r in rows]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    x, _, key = quality.features(data, offsets)
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-12) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-9), rtol=1e-9)
+    z, y = np.concatenate([np.ones((len(x), 1)), (x - model.mean) / model.scale], axis=1), np.array([r[2] for r in rows])
+    p = 1 / (1 + np.exp(-(z @ model.weights)))
+    assert np.abs(z.T @ (p - y) + np.append(0, model.weights[1:])).max() < 1e-6
+    witness = quality.witnesses(data, offsets)
+    of = [defaultdict(set), defaultdict(set)]
+    for k, h in zip((key >> np.uint64(48)).tolist(), (key & np.uint64((1 << 48) - 1)).tolist(), strict=True):
+        of[rows[k][3]][h].add(int(witness[k]))
+    fine, bad = (len({int(w) for w, r in zip(witness, rows, strict=True) if r[3] == t}) for t in (0, 1))
+    want = {}
+    for h, seen in of[1].items():
+        odds = np.log((len(seen) + 0.5) / (bad + 1)) - np.log((len(of[0][h]) + 0.5) / (fine + 1))
+        if len(seen) >= max(quality.LEXICON_LEAST, quality.LEXICON_SHARE * bad) and odds >= quality.LEXICON_ODDS:
+            want[h] = odds
+    assert len(want) == len(vile) and model.lexicon.tolist() == sorted(want)
+    assert np.allclose(model.odds, [want[h] for h in sorted(want)], atol=1e-12) and np.isclose(model.toxic_prior, np.log(bad / fine))
+
+
 def test_witnesses_merge_near_copies_only():
     rng = random.Random(17)
     base = prose(rng, 400)
