@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covarium.functions.numbering import numbered, offsets
@@ -118,6 +118,13 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 RESIDUES = "ALA CYS ASP GLU PHE GLY HIS ILE LYS LEU MET ASN PRO GLN ARG SER THR VAL TRP TYR"
 
 
+def residue_number(field: Column) -> Column:
+    """The residue number, as text, of its four columns: a number, or from 10,000 on hybrid-36 (A000 to ZZZZ, then a000 to zzzz)."""
+    first = F.substring(field, 1, 1)
+    value = F.conv(F.upper(field), 36, 10).cast("long") + (10_000 - 10 * 36**3)
+    return F.when(first.between("A", "Z"), value.cast("string")).when(first.between("a", "z"), (value + 26 * 36**3).cast("string")).otherwise(field)
+
+
 def read_structure(spark: SparkSession, path: str, chain: str = "A") -> tuple[DataFrame, DataFrame]:
     """Residues (idx, label, aa) and atoms (idx, x, y, z) of one chain in the first model of a PDB file.
 
@@ -129,7 +136,7 @@ def read_structure(spark: SparkSession, path: str, chain: str = "A") -> tuple[Da
     names = dict(zip(RESIDUES.split(), "ACDEFGHIKLMNPQRSTVWY", strict=True))
     letter = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     at = lambda a, n: F.trim(F.substring("text", a, n))
-    rows = atom.select("line", F.concat(at(23, 4), at(27, 1)).alias("label"), F.coalesce(letter[at(18, 3)], F.lit("X")).alias("aa"), *[at(a, 8).cast("double").alias(c) for c, a in (("x", 31), ("y", 39), ("z", 47))])
+    rows = atom.select("line", F.concat(residue_number(at(23, 4)), at(27, 1)).alias("label"), F.coalesce(letter[at(18, 3)], F.lit("X")).alias("aa"), *[at(a, 8).cast("double").alias(c) for c, a in (("x", 31), ("y", 39), ("z", 47))])
     residues = rows.groupBy("label").agg(F.min("line").alias("first"), F.first("aa").alias("aa"))
     residues = numbered(residues, "first", "idx").select(F.col("idx").cast("int").alias("idx"), "label", "aa")
     return residues, rows.join(residues.select("label", "idx"), "label").select("idx", "x", "y", "z")

@@ -5,6 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from covarium import catalogue
 from covarium.sources import fasta_source, readers, writers
 from covarium.streaming import incremental
 from tests.conftest import TOY
@@ -77,6 +78,20 @@ def test_structure(spark, tmp_path):
     assert d == {("16", "16"): 0.0, ("16", "16A"): 3.0, ("16A", "16"): 3.0, ("16A", "16A"): 0.0}
 
 
+def test_structure_of_many_residues(spark, tmp_path):
+    """Residue numbers of more than four digits, from vec_id as the registered queries write them."""
+    ids = [-7, 0, 9_999, 10_000, 10_255, 46_655, 102_564, 615_384, 1_223_055, 1_223_056, 2_436_111]
+    fields = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(ids)], "k long, v long").orderBy("k").select(writers.residue_field(F.col("v"))).collect()]
+    assert fields[2:4] == ["9999", "A000"] and fields[-3:] == ["ZZZZ", "a000", "zzzz"] and {len(f) for f in fields} == {4}
+    vectors = [(v, [float(v % 7), 1.0, 2.0, float(v % 7), 4.0, 5.0, 6.0], 2) for v in ids[1:]]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [r[0] for r in rows(catalogue.structure_residues(spark, str(tmp_path)).select("label", "idx"), "idx")] == [str(v) for v in ids[1:]]
+    found = {(r["a"], r["b"]) for r in catalogue.structure_contacts(spark, str(tmp_path)).collect()}
+    assert found == {(str(v), str(w)) for v in ids[1:] for w in ids[1:] if v % 7 == w % 7}
+    with pytest.raises(Exception, match="no residue number"):
+        spark.createDataFrame([(2_436_112,)], "v long").select(writers.residue_field(F.col("v"))).collect()
+
+
 def test_network_and_script(spark):
     c = spark.createDataFrame([(0, 1, 2.0), (0, 2, 0.5), (1, 2, 0.1)], "i int, j int, c double")
     labels = spark.createDataFrame([(0, "10"), (1, "11"), (2, "12")], "pos int, label string")
