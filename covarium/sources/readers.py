@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covarium.functions.numbering import numbered, offsets
+from covarium.functions.settle import settle
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -146,24 +150,64 @@ def residue_distances(residues: DataFrame, atoms: DataFrame, limit: float | None
     """(a, b, d): the smallest distance between atoms of two residues, by labels; with a ``limit`` only those below it.
 
     With a limit, atoms are dealt to cells as wide as it, and each is compared with those of its own cell and the 26 around, so that the
-    work grows with the contacts. Without, all pairs are compared.
+    work grows with the contacts. Without, all pairs are compared, in a grid of blocks of residues: atoms are shuffled, pairs never.
     """
+    if limit is None:
+        return _all_distances(residues, atoms)
     p = atoms.select(F.col("idx").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
     q = atoms.select(F.col("idx").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     d = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))
-    if limit is None:
-        near = p.join(q, F.col("i") <= F.col("j"))
-    else:
-        cell = lambda c: F.floor(F.col(c) / limit)
-        around = F.explode(F.array(*[F.array(*[F.lit(k) for k in step]) for step in itertools.product((-1, 0, 1), repeat=3)]))
-        p = p.select("*", around.alias("step")).select("i", "x1", "y1", "z1", *[(cell(f"{c}1") + F.col("step")[k]).alias(f"c{c}") for k, c in enumerate("xyz")])
-        q = q.select("*", *[cell(f"{c}2").alias(f"c{c}") for c in "xyz"])
-        near = p.join(q, ["cx", "cy", "cz"]).where((F.col("i") <= F.col("j")) & (d < limit))
+    cell = lambda c: F.floor(F.col(c) / limit)
+    around = F.explode(F.array(*[F.array(*[F.lit(k) for k in step]) for step in itertools.product((-1, 0, 1), repeat=3)]))
+    p = p.select("*", around.alias("step")).select("i", "x1", "y1", "z1", *[(cell(f"{c}1") + F.col("step")[k]).alias(f"c{c}") for k, c in enumerate("xyz")])
+    q = q.select("*", *[cell(f"{c}2").alias(f"c{c}") for c in "xyz"])
+    near = p.join(q, ["cx", "cy", "cz"]).where((F.col("i") <= F.col("j")) & (d < limit))
     pairs = near.groupBy("i", "j").agg(F.min(d).alias("d"))
     pairs = pairs.union(pairs.where("i < j").select("j", "i", "d"))
     names = residues.select("idx", "label")
     return pairs.join(names.select(F.col("idx").alias("i"), F.col("label").alias("a")), "i").join(names.select(F.col("idx").alias("j"), F.col("label").alias("b")), "j").select("a", "b", "d")
 
 
+#: Residues of a block, and distances of atoms that are held at once.
+RESIDUES_A_BLOCK = 1_024
+DISTANCES = 1 << 18
+
+
+def _all_distances(residues: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(a, b, d) of all pairs of residues; a cell of the grid gives those of two blocks, both ways round."""
+    rows = settle(atoms.join(residues.select("idx", "label"), "idx").select("idx", "label", *[F.col(c).cast("double").alias(c) for c in "xyz"]))
+    parts = 1 + (rows.agg(F.max("idx")).first()[0] or 0) // RESIDUES_A_BLOCK
+    part = F.floor(F.col("idx") / RESIDUES_A_BLOCK).cast("int")
+    cells = rows.withColumn("part", part).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+    cell = (F.least("part", "other").cast("long") * parts + F.greatest("part", "other")).alias("cell")
+    cells = cells.select(cell, (F.col("part") <= F.col("other")).alias("first"), (F.col("part") >= F.col("other")).alias("second"), "idx", "label", *"xyz")
+    tasks = min(parts * (parts + 1) // 2, 1 << 14)
+    return cells.repartition(tasks, "cell").groupBy("cell").applyInArrow(_distances_of_cell, "a string, b string, d double")
+
+
+def _distances_of_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(list(batches)).sort_by("idx")
+    first, second = t.filter(t.column("first")), t.filter(t.column("second"))
+    at = lambda side: np.stack([side.column(c).to_numpy() for c in "xyz"], axis=1)
+    edges = lambda side: np.flatnonzero(np.diff(side.column("idx").to_numpy(), prepend=-1))
+    p, q, starts, others = at(first), at(second), edges(first), edges(second)
+    names, other_names = first.column("label").take(starts).combine_chunks(), second.column("label").take(others).combine_chunks()
+    diagonal = first.num_rows == t.num_rows and second.num_rows == t.num_rows
+    ends = np.append(starts[1:], len(p))
+    lo = 0
+    while lo < len(starts) and len(others):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + max(1, DISTANCES // len(q)), "right")))
+        x = p[starts[lo] : ends[hi - 1]]
+        d = np.zeros((len(x), len(q)))
+        for c in range(3):
+            d += (x[:, c, None] - q[None, :, c]) ** 2
+        d = np.sqrt(np.minimum.reduceat(np.minimum.reduceat(d, others, axis=1), starts[lo:hi] - starts[lo], axis=0)).ravel()
+        a, b = pa.array(np.repeat(np.arange(lo, hi), len(others))), pa.array(np.tile(np.arange(len(others)), hi - lo))
+        a, b = names.take(a), other_names.take(b)
+        for pair in ((a, b),) if diagonal else ((a, b), (b, a)):
+            yield pa.RecordBatch.from_arrays([*pair, pa.array(d)], ["a", "b", "d"])
+        lo = hi
+
+
 def read_results(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

@@ -60,3 +60,21 @@ def test_contacts_by_cells(spark):
     whole = {(r["a"], r["b"]): r["d"] for r in readers.residue_distances(residues, atoms).collect()}
     near = {(r["a"], r["b"]): r["d"] for r in readers.residue_distances(residues, atoms, 5.0).collect()}
     assert len(whole) == 2500 and near == {k: d for k, d in whole.items() if d < 5.0} and len(near) > 60
+
+
+def test_distances_shuffle_atoms_not_pairs(spark, monkeypatch):
+    """A grid of blocks: residues of one to four atoms in several cells, each compared with all others once."""
+    monkeypatch.setattr(readers, "RESIDUES_A_BLOCK", 7)
+    monkeypatch.setattr(readers, "DISTANCES", 50)
+    rng = np.random.default_rng(5)
+    of = np.sort(np.concatenate([np.arange(40), rng.integers(0, 40, 60)]))
+    x = rng.uniform(-20, 20, (100, 3))
+    atoms = spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(of, x, strict=True)], "idx int, x double, y double, z double")
+    residues = spark.range(40).select(F.col("id").cast("int").alias("idx"), F.concat("id", F.lit("A")).alias("label"))
+    found = readers.residue_distances(residues, atoms)
+    got = [tuple(r) for r in found.collect()]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(f"{i}A", f"{j}A"): d[of == i][:, of == j].min() for i in range(40) for j in range(40)}
+    assert len(got) == 1600 and {(a, b): v for a, b, v in got} == pytest.approx(want, abs=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # pairs of atoms are no rows of a table
